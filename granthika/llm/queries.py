@@ -1,4 +1,4 @@
-"""Queries pN_... of the llm problems, and SQL for those that SQL can express."""
+"""Queries pN_... of the llm problems."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granthika.llm import conversations
+from granthika.llm import conversations, packing, tokens, truncation
 from granthika.sources.tables import table
 
 
@@ -18,5 +18,26 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return conversations.turns(table(spark, d, "chat_sessions"), table(spark, d, "chat_messages"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return packing.pack(tokens.token_counts(documents), table(spark, d, "token_windows"), documents.count())
+
+
+def p8_utilisation(spark: SparkSession, d: str) -> DataFrame:
+    return packing.utilisation(p8_containers(spark, d), table(spark, d, "token_windows"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.found(table(spark, d, "documents"))
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.per_source(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_turns": p4_turns}
+    return {f.__name__: f for f in (p4_found, p4_turns, p7_ids, p8_containers, p8_utilisation, p9_found, p9_sources)}
