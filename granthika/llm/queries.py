@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granthika.llm import conversations, packing, tokens, truncation
+from granthika.llm import conversations, lookalike, packing, tokens, truncation
 from granthika.sources.tables import table
 
 
@@ -18,6 +18,15 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return conversations.turns(table(spark, d, "chat_sessions"), table(spark, d, "chat_messages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.found(table(spark, d, "datasets"), table(spark, d, "chat_messages"))
+
+
+def p5_looks(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every text of both tables."""
+    return lookalike.looks(table(spark, d, "datasets"), table(spark, d, "chat_messages")).select("src", "id", "look")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -40,4 +49,4 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_turns, p7_ids, p8_containers, p8_utilisation, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p4_found, p4_turns, p5_found, p5_looks, p7_ids, p8_containers, p8_utilisation, p9_found, p9_sources)}
