@@ -1,0 +1,56 @@
+"""A small labelled table: sentences by language and script, from which the language prototypes are made."""
+
+SAMPLES = {
+    ("english", "latin"): """
+What can I do when the shop does not return my deposit? The landlord has not answered my letters about the rent. Is this allowed under the law?
+Please explain the section in simple words. How many days do I have to reply to the notice? Who decides a dispute over the boundary wall when nobody kept the papers?
+My file is with the clerk and the hearing was put off again. They want interest every month on the loan, is there any limit? I paid the money last year and still have no receipt.
+The officer must record the complaint and hand over a numbered slip. Can the police post refuse to take my report about the stolen bicycle? Which witnesses should I bring for the hearing?
+The toll-free desk only plays music, where else can I ask? The payment reference shows success but the bank denies it. The meter number on the bill is wrong, who corrects it?
+The parcel is still in transit and was marked as delivered, can I claim for the loss? Does the act cover a seed loan like this? If I lose the matter, must I pay the costs of the other side?
+The tribunal hears appeals on two mornings each week. A written demand should state the sum and the date on which it fell due. Nothing in this section prevents the parties from settling the claim between themselves.
+The surety remains bound until the whole of the principal sum has been released. Any person who knowingly enters a false weight commits an offence. The respondent denies any promise to return it.
+Could you write a polite reply that I can send today? My name is on the list and you can reach me on this number. Send the draft to this address. The notice was sent to the house in my absence.
+Keep the signed agreement, the photographs and every letter that came by registered post. The committee considered the statement of the neighbour and found it consistent with the map.
+The employer shall keep a diary and produce it whenever an inspector visits. No court fee is payable on a petition for inspection of a public register. Where the carrier stays absent, the matter may proceed.
+Thank you for the answer, it was clear and helped me. We would like to know whether the office is open on Monday. She lives near the market with her brother and works in a small workshop.
+He borrowed money from me and now he will not give it back. Kindly correct the name on the slip, it should match the card. Is the sum fair to ask for the broken pump? This is enough as proof, or do you need another form?
+My landlord lives at the house near the mill road and the old well. I am the tenant, please write to this address at any time. He signed as witness and his card number is on the form. The seller repaired the item and now blames the courier.
+the neighbour broke the pump and says that he never touched it, what should i do now and where do i go with the case
+""",
+    ("hindi", "latin"): """
+agar mukadma haar gaye to kya jurmana dena padega? thane wale chori ki report likhne se mana kar rahe hain, ab kya karoon? kya yeh sahi hai?
+padosi ne deewar par mere do patron ka uttar nahin diya. dukandar ne mere paise wapas nahin kiye. doosre paksh ne bakaya mazdoori nahin di.
+maine pichhle saal ko paise jama kiye the par raseed nahin mili. maine udhar diye the par koi kagaz nahin mila. jawab nahin aaya.
+notice ka jawab kitne dinon mein dena hota hai? notice ka virodh kaise karein? baithak ke liye kaun se gavah saath lane honge? sunvai ke liye kaun se kagaz chahiye?
+dhara ka matlab aasan shabdon mein samjhaiye. dhara ka arth seedhi bhasha mein bataiye. kya is mamle mein koi niyam meri madad karega? kya kanoon meri madad karega?
+kiraye ki jama rashi ke baare mein kahan shikayat karein? beej ka karz ke baare mein hum kya karein? kharab pump ke baare mein main kya kar sakta hoon?
+mera naam hai aur mera number yeh hai. form par yeh likha hai, kya yeh kaafi hai? mera pata yeh hai. is par jawab bhej dijiye. mujhe is number par phone karein.
+der se aaya parcel, kam taul, lauta hua cheque, chori hui cycle, naav ki durghatna, sajha kuan, seema ki deewar, bharan poshan ka dava.
+woh mujhse paise maang raha hai lekin maine kuchh nahin liya. hamara ghar gaon ke paas hai aur yahan bijli nahin aati. aapka bahut dhanyavaad, ab samajh mein aa gaya.
+adhikari ko shikayat darj karke parchi deni hogi. malik ne makan khali karne ko kaha hai. vakil ki fees kitni hogi aur kab deni hai? bill galat hai, ise kaun theek karega?
+""",
+    ("kannada", "latin"): """
+prakaranadalli sotare naanu danda kodabeke? prakaranadalli sotare naanu vechcha kodabeke? kanoonu nanage sahaya maaduttadeye? niyama nanage sahaya maaduttadeye?
+nereyavaru gode bagge nanna patragalige uttarisilla. angadiyavaru nanna hana kottilla. eduru pakshadavaru baki vetana kottilla. patragalige uttara sikkilla.
+naanu kaleda varsha randu hana kottiddene aadare raseedi sikkilla. naanu thevani ittiddene aadare uttara sikkilla.
+notice ge eshtu dinagalalli uttara kodabeku? vicharanege yava sakshigalannu tarabeku endu tilisi. vicharanege yava dakhalegalannu tarabeku endu tilisi.
+kalam artha saralavagi vivarisi. kalam artha sankshiptavagi vivarisi. vishayadalli kanoonu enu heluttade? nanna hesaru, nanna number, nanna vilasa.
+badige thevani bagge elli dooru kodabeku? bittane saala bagge naavu enu maadabeku? ketta pump bagge naanu enu maadabahudu? thane yavaru dooru tegedukollutta illa.
+arjiyalli idu endu baredide, idu saakaguttadeye? dayavittu ee vilasakke uttarisi. dayavittu ge uttara kalisi. nanage karemaadi.
+tadavada parcel, kadime tooka, maralida cheque, kalavada cycle, doni apaghata, hanchikeya bavi, gadi gode, jeevanamshada hakku, baki vetana.
+avaru nanna hatra hana keluttiddare aadare naanu enu tegedukondilla. namma mane oorina hatra ide mattu illi neeru baruvudilla. tumba dhanyavadagalu, eega artha aayitu.
+adhikari dooru baredu cheeti kodabeku. maneya maalika mane khali maadalu heliddare. vakeelara shulka eshtu mattu yavaga kodabeku? billu tappagide, yaru sari maaduttare?
+""",
+    ("hindi", "devanagari"): """
+अगर मुकदमा हार गए तो क्या जुर्माना देना पड़ेगा? थाने वाले चोरी की रिपोर्ट लिखने से मना कर रहे हैं, अब क्या करूँ? क्या यह सही है?
+पड़ोसी ने दीवार पर मेरे दो पत्रों का उत्तर नहीं दिया। मैंने पैसे जमा किए थे पर रसीद नहीं मिली। नोटिस का जवाब कितने दिनों में देना होता है?
+धारा का मतलब आसान शब्दों में समझाइए। क्या इस मामले में कोई नियम मेरी मदद करेगा? मेरा नाम यह है और मेरा नंबर यह है। ज़मानतदार तब तक बंधा रहेगा जब तक पूरी राशि चुका न दी जाए।
+आदेश के विरुद्ध अपील ज़िला पीठ में की जाती है। अधिकारी को शिकायत रजिस्टर में दर्ज करके पर्ची देनी होगी। दोनों पक्ष साझा रास्ते की देखभाल बराबर खर्च से करेंगे।
+""",
+    ("kannada", "kannada"): """
+ಪ್ರಕರಣದಲ್ಲಿ ಸೋತರೆ ನಾನು ದಂಡ ಕೊಡಬೇಕೇ? ಕಾನೂನು ನನಗೆ ಸಹಾಯ ಮಾಡುತ್ತದೆಯೇ? ನೆರೆಯವರು ನನ್ನ ಪತ್ರಗಳಿಗೆ ಉತ್ತರಿಸಿಲ್ಲ. ನೋಟಿಸಿಗೆ ಎಷ್ಟು ದಿನಗಳಲ್ಲಿ ಉತ್ತರ ಕೊಡಬೇಕು?
+ಕಲಂ ಅರ್ಥವನ್ನು ಸರಳವಾಗಿ ವಿವರಿಸಿ. ನನ್ನ ಹೆಸರು ಮತ್ತು ನನ್ನ ಸಂಖ್ಯೆ ಇದು. ನಾನು ಹಣ ಕೊಟ್ಟಿದ್ದೇನೆ ಆದರೆ ರಸೀದಿ ಸಿಕ್ಕಿಲ್ಲ. ಎಲ್ಲಿ ದೂರು ಕೊಡಬೇಕು?
+ಆದೇಶದ ವಿರುದ್ಧ ಜಿಲ್ಲಾ ಪೀಠಕ್ಕೆ ಮೇಲ್ಮನವಿ ಸಲ್ಲಿಸಬಹುದು. ಅಧಿಕಾರಿಯು ದೂರನ್ನು ನೋಂದಣಿ ಪುಸ್ತಕದಲ್ಲಿ ಬರೆದು ಚೀಟಿ ಕೊಡಬೇಕು. ಎರಡೂ ಪಕ್ಷಗಳು ಸಾಮಾನ್ಯ ದಾರಿಯನ್ನು ನೋಡಿಕೊಳ್ಳಬೇಕು.
+""",
+}
