@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granthika.llm import conversations, language, lookalike, packing, scans, tokens, truncation
+from granthika.llm import conversations, language, lookalike, packing, pii, scans, tokens, truncation
 from granthika.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "chat_messages"), table(spark, d, "analyze_text_requests"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "chat_messages"), table(spark, d, "analyze_text_requests"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "users"), table(spark, d, "conversations"), table(spark, d, "chat_messages"))
 
@@ -65,4 +73,4 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_texts, p4_found, p4_turns, p5_found, p5_looks, p7_ids, p8_containers, p8_utilisation, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_segments, p3_found, p3_texts, p4_found, p4_turns, p5_found, p5_looks, p7_ids, p8_containers, p8_utilisation, p9_found, p9_sources)}
