@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granthika.operators import nested
+from granthika.plans import documents, retrieval, service
 from granthika.sources.tables import table
 
 
@@ -29,7 +30,8 @@ def p6_citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_shapes": p6_shapes, "p6_citations": p6_citations}
+    own = {"p6_found": p6_found, "p6_shapes": p6_shapes, "p6_citations": p6_citations}
+    return own | retrieval.queries() | documents.queries() | service.queries()
 
 
 P6_FOUND = r"""
@@ -45,4 +47,4 @@ FROM tree WHERE type = 'OBJECT'
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_FOUND}
+    return {"p6_found": P6_FOUND} | retrieval.oracle_sql() | documents.oracle_sql() | service.oracle_sql()
