@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granthika.sources.tables import cut
+
 #: Words of an ending, and distinct texts by which a closing line is known.
 ENDING_WORDS, KNOWN_CLOSINGS = 4, 3
 #: From this share of unterminated texts on, a source's missing terminators say little.
@@ -168,8 +170,9 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     Only undecided tails are joined with the endings of the corpus, on equal strings, so both sides are
     partitioned by ending; the closing lines and sources are counted with partial aggregation.
     """
-    t = tails(documents, doc_id, text, source)
-    ends = endings(documents, text)
+    # Both are read several times below; a checkpoint keeps the texts from being read as often.
+    t = cut(tails(documents, doc_id, text, source))
+    ends = cut(endings(documents, text))
     open_ = t.where(F.col("evidence") == "")
     habits = t.groupBy("source").agg(F.avg((~F.col("terminated")).cast("double")).alias("unterminated"))
     lines = open_.where(F.col("closing") != "").groupBy("closing").agg(F.approx_count_distinct(F.col("doc_id")).alias("closers"))
@@ -205,5 +208,5 @@ def found(documents: DataFrame) -> DataFrame:
 def per_source(documents: DataFrame) -> DataFrame:
     """How often each source truncates: texts that show something, cut ones, and their share."""
     n: Column = F.count("*")
-    cut = F.sum(F.col("cut").cast("bigint"))
-    return judged(documents).groupBy("source").agg(n.alias("n_texts"), cut.alias("n_truncated"), F.round(cut / n, 6).alias("share"))
+    short = F.sum(F.col("cut").cast("bigint"))
+    return judged(documents).groupBy("source").agg(n.alias("n_texts"), short.alias("n_truncated"), F.round(short / n, 6).alias("share"))
