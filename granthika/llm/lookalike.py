@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granthika.llm.conversations import clean_role
+from granthika.sources.tables import cut
 
 # Letters of other scripts that look like the Latin letter at the same place.
 LATIN = "ABCEHIJKMNOPSTXYZ" + "aceijopsxyhdqwgvou"
@@ -217,6 +218,7 @@ def pairs(looks: DataFrame) -> DataFrame:
     many identical copies costs no more than the pairs that come out.
     """
     rows = looks.where(F.col("look") != "").select("src", "id", F.sha1(F.concat_ws("\x1e", "part", "look")).alias("k"), F.xxhash64("text", F.length("text")).alias("raw"))
+    rows = cut(rows)  # read three times below; texts are rewritten once
     spellings = rows.groupBy("src", "k", "raw").agg(F.lit(1).alias("one")).drop("one")
     several = spellings.groupBy("src", "k").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("src", "k")
     some = spellings.join(several, ["src", "k"], "left_semi")
