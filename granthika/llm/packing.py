@@ -60,9 +60,10 @@ def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def _pack() -> Callable[[pa.Table], pa.Table]:
     def run(part: pa.Table) -> pa.Table:
         name, shard, capacity = (part.column(c)[0].as_py() for c in ("window_name", "shard", "capacity"))
-        doc, n = part.column("doc_id").to_numpy(), part.column("n_tokens").to_numpy()
-        order = np.lexsort((doc, -n))
-        doc, n = doc[order], n[order]
+        ids, n = part.column("doc_id"), part.column("n_tokens").to_numpy()
+        order = np.lexsort((ids.fill_null(-(2**63)).to_numpy(), -n))
+        ids, n = ids.take(pa.array(order)), n[order]
+        doc = np.arange(len(n))  # places in the sorted table; ids may be null
         whole = np.where(n > capacity, n // capacity, 0)  # containers that a large document fills alone
         rest = n - whole * capacity
         # Full containers come first, then the packed rests; a document that fills its containers exactly has no rest.
@@ -74,7 +75,7 @@ def _pack() -> Callable[[pa.Table], pa.Table]:
         m = len(full_doc) + len(r_doc)
         columns = [
             pa.array([name] * m), pa.array([shard] * m, pa.int32()), pa.array(np.concatenate([np.arange(len(full_doc)), where]).astype(np.int32)),
-            pa.array(np.concatenate([full_doc, r_doc])), pa.array(np.concatenate([full_part, r_whole]).astype(np.int32)),
+            ids.take(pa.array(np.concatenate([full_doc, r_doc]).astype(np.int64))).combine_chunks(), pa.array(np.concatenate([full_part, r_whole]).astype(np.int32)),
             pa.array(np.concatenate([full_part * capacity, r_whole * capacity]).astype(np.int64)), pa.array(np.concatenate([np.full(len(full_doc), capacity), r_size]).astype(np.int64)),
         ]
         return pa.Table.from_arrays(columns, schema=_ARROW)

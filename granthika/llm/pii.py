@@ -73,8 +73,12 @@ def features(word: str) -> list[str]:
     w = _DIGIT.sub("0", word)
     low, shape = w.lower(), _shape(w)
     short = re.sub(r"(.)\1+", r"\1", shape)
-    out = [f"w={low}", f"s={shape[:14]}", f"c={short[:10]}", f"l={min(len(w), 14)}"]
+    out = [f"w={low}", f"c={short[:10]}"]
     digits = shape.count("0")
+    if shape.isalpha() and not digits:
+        out.append(f"l={'1' if len(w) == 1 else '2' if len(w) == 2 else '3' if len(w) < 5 else '5'}")
+    else:
+        out += [f"s={shape[:14]}", f"l={min(len(w), 14)}"]
     if digits:
         out += [f"d={min(digits, 15)}", f"dl={digits == len(w)}{min(len(w), 15)}"]
     if shape.isalpha() and not digits:

@@ -215,6 +215,11 @@ The municipal surveyor inspected the boundary and marked four stones along the n
 ಠಾಣೆಯಲ್ಲಿ FIR ದಾಖಲಾದ ನಂತರ <topic_kn> ಏನಾಗುತ್ತದೆ? ಅಂಗಡಿಯವರು <topic_kn> ಕುರಿತ ನನ್ನ ಎರಡು ಪತ್ರಗಳಿಗೆ ಉತ್ತರಿಸಿಲ್ಲ.
 <topic_kn> ಪ್ರಕರಣದಲ್ಲಿ ಸೋತರೆ ನಾನು ದಂಡ ಕೊಡಬೇಕೇ? <topic_kn> ನೋಟಿಸಿಗೆ ಎಷ್ಟು ದಿನಗಳಲ್ಲಿ ಉತ್ತರ ಕೊಡಬೇಕು? ಕಲಂ <section> ಅರ್ಥವನ್ನು ಸರಳವಾಗಿ ವಿವರಿಸಿ.
 ಠಾಣೆಯವರು <topic_kn> ದೂರನ್ನು ತೆಗೆದುಕೊಳ್ಳದಿರಬಹುದೇ? <topic_kn> ಮೇಲೆ 9% ಬಡ್ಡಿ ಕೇಳುತ್ತಿದ್ದಾರೆ, ಇದು ಸರಿಯೇ?
+The cross-examination of the eye-witness dealt with the ill-kept and hand-written muster.
+The co-owner made a well-known and long-standing promise of non-payment relief to the sub-tenant.
+A self-declared landlord sent a half-hearted reply to the re-issued and time-barred demand.
+ಎದುರು ಪಕ್ಷದವರು <topic_kn> ಕುರಿತ ನನ್ನ ಮೂರು ಪತ್ರಗಳಿಗೆ ಉತ್ತರಿಸಿಲ್ಲ.
+ನೆರೆಯವರು <topic_kn> ಕುರಿತ ನನ್ನ ಎರಡು ಪತ್ರಗಳಿಗೆ ಉತ್ತರಿಸಿಲ್ಲ. ಎದುರು ಪಕ್ಷದವರು ಉತ್ತರಿಸಿಲ್ಲ.
 padosi ne <topic> par mere do patron ka uttar nahin diya
 <place> mein <topic> ke baare mein kahan shikayat karein?
 <place> nalli <topic> bagge naanu enu maadabahudu?
@@ -345,10 +350,10 @@ class _Fill:
         return r.choice((f"{n}, ಹಳೆ ಬಾವಿ ರಸ್ತೆ, {p}", f"ಮನೆ ಸಂಖ್ಯೆ {n}, {n % 9}ನೇ ಅಡ್ಡರಸ್ತೆ, {p} {self.digits(6)}", f"ಮನೆ ಸಂಖ್ಯೆ {n}, {n % 9}ನೇ ಅಡ್ಡರಸ್ತೆ, {p}", self.address()))
 
     def place_hi(self) -> str:
-        return self.r.choice("केट्टानूर निराकोटे वर्णापेट डोराघाट सोलीमंगल तारापुर".split()) if self.r.random() < 0.4 else self.r.choice(_HI) + self.r.choice(_HI) + self.r.choice(("पुर", "कोटे", "पेट", "घाट", "गर"))
+        return self.r.choice("केट्टानूर|निराकोटे|रामसेतु बंदर|राजपुर बंदर|वर्णापेट|डोराघाट|सोलीमंगल|तारापुर".split("|")) if self.r.random() < 0.4 else self.r.choice(_HI) + self.r.choice(_HI) + self.r.choice(("पुर", "कोटे", "पेट", "घाट", "गर"))
 
     def place_kn(self) -> str:
-        return self.r.choice("ಕೆಟ್ಟಾನೂರು ನಿರಾಕೋಟೆ ವರ್ಣಾಪೇಟೆ ಡೋರಾಘಾಟ್ ಚಕೋರ್ಲಾ ತಾರಾಪುರ".split()) if self.r.random() < 0.4 else self.r.choice(_KN) + self.r.choice(_KN) + self.r.choice(("ಪುರ", "ಕೋಟೆ", "ಪೇಟೆ", "ಘಾಟ್"))
+        return self.r.choice("ಕೆಟ್ಟಾನೂರು|ನಿರಾಕೋಟೆ|ರಾಮಸೇತು ಬಂದರ್|ರಾಜಪುರ ಬಂದರ್|ವರ್ಣಾಪೇಟೆ|ಡೋರಾಘಾಟ್|ಚಕೋರ್ಲಾ|ತಾರಾಪುರ".split("|")) if self.r.random() < 0.4 else self.r.choice(_KN) + self.r.choice(_KN) + self.r.choice(("ಪುರ", "ಕೋಟೆ", "ಪೇಟೆ", "ಘಾಟ್"))
 
     def sum(self) -> str:
         n = f"{self.r.randint(1, 4)},{self.digits(2)},{self.digits(2)}0"
