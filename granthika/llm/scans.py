@@ -170,18 +170,34 @@ class Vocabulary:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        self._seen: dict[str, list[tuple[float, str]]] = {}
+        self._most: dict[int, int] = {}  # the count of the commonest word below each node
+        self._measure()
+        self._top = self._most[id(self._root)]
+        self._seen: dict[tuple[str, int], list[tuple[float, str]]] = {}
 
-    def candidates(self, word: str) -> list[tuple[float, str]]:
-        """Every word of the vocabulary within the budget of `word`, with its cost."""
-        found = self._seen.get(word)
+    def _measure(self) -> None:
+        order, stack = [], [self._root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(child for c, child in node.items() if c)
+        for node in reversed(order):
+            self._most[id(node)] = max((self._most[id(x)] if c else self.counts[x] for c, x in node.items()), default=0)
+
+    def settled(self, word: str) -> bool:
+        """Whether no word at all is RATIO times commoner, so that none can be meant."""
+        return self.counts.get(word, 0) * RATIO > self._top
+
+    def candidates(self, word: str, least: int = 0) -> list[tuple[float, str]]:
+        """Every word of the vocabulary within the budget of `word` that occurs `least` times, with its cost."""
+        found = self._seen.get((word, least))
         if found is None:
             if len(self._seen) > 200_000:
                 self._seen.clear()
-            found = self._seen[word] = self._walk(word)
+            found = self._seen[word, least] = self._walk(word, least)
         return found
 
-    def _walk(self, word: str) -> list[tuple[float, str]]:
+    def _walk(self, word: str, least: int) -> list[tuple[float, str]]:
         n = len(word)
         out: list[tuple[float, str]] = []
         stack = [(self._root, [i * EDIT for i in range(n + 1)], None, "")]
@@ -189,9 +205,11 @@ class Vocabulary:
             node, row, above, parent = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[n] <= BUDGET:
+                    if row[n] <= BUDGET and self.counts[child] >= least:
                         out.append((row[n], child))
                     continue
+                if self._most[id(child)] < least:
+                    continue
                 new = [row[0] + EDIT]
                 for j in range(1, n + 1):
                     w = word[j - 1]
@@ -216,9 +234,10 @@ class Vocabulary:
             return None
         odd = any(c in "0156!|$@89" for c in word)
         best = None
-        for cost, c in self.candidates(word):
+        for cost, c in self.candidates(word, RATIO * max(own, 1)):
             n = self.counts[c]
-            if c == word or n < RATIO * max(own, 1) or (own >= 30 and n < 100 * own and not odd):
+            # A form that occurs by itself needs the majority once for each confusion.
+            if c == word or n < RATIO ** (max(1, round(cost / CONFUSION)) if own else 1) * max(own, 1):
                 continue
             if cost > CONFUSION * 3 - 1e-9 and (cost >= EDIT - 1e-9 and (len(word) < 6 or token[:1].isupper() or n < 50 * max(own, 1))):
                 continue
@@ -263,7 +282,7 @@ def read(text: str, vocabulary: Vocabulary, known: frozenset[str] | set[str]) ->
                 left, right = core(a[:-1]).lower(), core(b).lower()
                 whole, compound = left + right, f"{left}-{right}"
                 if not _is_compound(left, right, whole, compound, a[-1], vocabulary):
-                    meant = vocabulary.meant(whole, "", "") if whole not in vocabulary.counts else None
+                    meant = vocabulary.meant(whole, "", "")
                     found.append(("hyphen", i + 1, meant or whole))
                     joined[i] = a[:-1] + b
                     tokens[j] = tokens[j][1:]
@@ -278,7 +297,7 @@ def read(text: str, vocabulary: Vocabulary, known: frozenset[str] | set[str]) ->
         if item is None:
             c = _core_scan(t)
             w = c.lower()
-            if not c or not c.isascii() or (w in vocabulary.counts and vocabulary.counts[w] >= 50) or not _misreadable(c):
+            if not c or not c.isascii() or vocabulary.settled(w) or not _misreadable(c):
                 continue
             item = vocabulary.meant(c, plain[at - 1] if at else "", plain[at + 1] if at + 1 < len(plain) else "")
             if item is None or (joined.get(i) == t and n == len(tokens[i]) - 1):

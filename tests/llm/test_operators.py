@@ -232,6 +232,15 @@ def test_automaton_finds_every_candidate():
         assert {w for _, w in v.candidates(noisy)} == want
 
 
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_readings_are_alike_at_every_size(times):
+    counts = {"shall": 8601, "sball": 28, "clerk": 900, "certified": 1201, "ccrtified": 12, "old": 130, "aid": 1926, "copy": 700}
+    v = scans.Vocabulary({w: n * times for w, n in counts.items()}, {})
+    found, repaired = scans.read("the clerk sball keep a ccrtified copy of the old deed and the copy sb-\nall remain", v, set())
+    assert sorted(found) == [("hyphen", 1, "shall"), ("misread", 1, "certified"), ("misread", 1, "shall")]
+    assert repaired == "the clerk shall keep a certified copy of the old deed and the copy shall remain"
+
+
 def test_page_numbers_are_not_readings():
     lines = ["text"] * 9 + ["Meter readings", "366", "383", "397"] + ["text"] * 9
     assert not any(ok for ok in scans.page_marks(lines).values())
