@@ -4,7 +4,8 @@ Every JSON object becomes one row that keeps the path of its nearest enclosing o
 tree automaton gives each value a state: scalars have the state of their type, an array the set of the
 states of its elements, an object the sorted list of (key, state of the value). The state of an object is
 its shape; objects are routed by kind (the path without array positions) and shape to typed subtype
-tables, which all keep row_id, path, parent_path and the keys common to every shape of the kind.
+tables, which all keep row_id, path, parent_path and the keys common to every shape of the kind. Columns
+and types of a table come from the shapes. Scalars in arrays are a child table by position.
 
 Defined results: null, blank, cut-off and otherwise unreadable JSON gives no rows; JSON text that is
 stored as a JSON string (once or more often) counts as its content; an empty object gives one row with an
@@ -16,6 +17,7 @@ iteratively, so depth isn't limited by the walk.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,6 +102,24 @@ def walk(value: object) -> list[tuple[str, str, str, str, list[tuple[str, str]]]
     return rows
 
 
+def scalars_of(value: object) -> list[tuple[str, str, str, str | None, int | None, str, str | None]]:
+    """(path, enclosing object's path, kind, key, index, state, text) of each scalar, in the order of the text.
+
+    A field of an object has the object's path and its key; an element of an array has the array's path and its index.
+    """
+    rows = []
+    stack: list[tuple] = [(_inner(value), "$", "$", "", "", "", None, None)]
+    while stack:
+        v, path, kind, above, holder, held, key, index = stack.pop()
+        if isinstance(v, dict):
+            stack.extend((_inner(x), f"{path}.{k}", f"{kind}.{k}", path, path, kind, k, None) for k, x in reversed(list(v.items())))
+        elif isinstance(v, list):
+            stack.extend((_inner(x), f"{path}[{i}]", f"{kind}[]", above, path, kind, None, i) for i, x in reversed(list(enumerate(v))))
+        elif holder:
+            rows.append((holder, above, held, key, index, _scalar_state(v), v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)))
+    return rows
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -125,6 +145,41 @@ def json_objects(df: DataFrame, src: str, row_id: str, text: str) -> DataFrame:
     return picked.where(F.col("text").contains("{")).mapInArrow(_explode, NODE_SCHEMA)
 
 
+SCALAR_SCHEMA = "src string, row_id bigint, path string, object_path string, kind string, key string, index int, type string, value string"
+_SCALAR_ARROW = pa.schema([(c, pa.int64() if c == "row_id" else pa.int32() if c == "index" else pa.string()) for c in ("src", "row_id", "path", "object_path", "kind", "key", "index", "type", "value")])
+
+
+def _scalars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for src, row_id, text in zip(*(batch.column(c).to_pylist() for c in ("src", "row_id", "text")), strict=True):
+            rows.extend((src, row_id, *x) for x in scalars_of(read_json(text)))
+            if len(rows) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SCALAR_ARROW, strict=True)], schema=_SCALAR_ARROW)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SCALAR_ARROW, strict=True)], schema=_SCALAR_ARROW)
+
+
+def json_scalars(df: DataFrame, src: str, row_id: str, text: str) -> DataFrame:
+    """One row for each scalar of `text`, of objects by key and of arrays by index; map-side only."""
+    picked = df.select(F.lit(src).alias("src"), df[row_id].cast("bigint").alias("row_id"), df[text].alias("text"))
+    return picked.where(F.col("text").rlike(r"[\[{]")).mapInArrow(_scalars, SCALAR_SCHEMA)
+
+
+def array_values(scalars: DataFrame) -> DataFrame:
+    """The child table of scalars in arrays: path of the array, the enclosing object's path, position and value."""
+    picked = scalars.where(F.col("index").isNotNull())
+    return picked.select("src", "row_id", "path", F.col("object_path").alias("parent_path"), "kind", "index", "type", "value")
+
+
+def field_values(scalars: DataFrame) -> DataFrame:
+    """The scalar fields of the objects of every kind, each in the column of its type."""
+    of = lambda t, to: F.when(F.col("type") == t, F.col("value").try_cast(to))
+    picked = scalars.where(F.col("key").isNotNull())
+    return picked.select("src", "row_id", "path", "kind", "key", "type", of("string", "string").alias("as_string"), of("number", "double").alias("as_number"), of("bool", "boolean").alias("as_bool"))
+
+
 def found(nodes: DataFrame) -> DataFrame:
     return nodes.select("src", "row_id", "path", "parent_path")
 
@@ -134,32 +189,87 @@ def shapes(nodes: DataFrame) -> DataFrame:
 
     Counting is partial on the map side; what is shuffled is one row per variant and task.
     """
-    per = nodes.groupBy("src", "kind", "shape").agg(F.count("*").alias("n_objects"), F.first(F.array_sort(F.map_keys("fields")), True).alias("scalar_keys"))
-    keys = per.withColumn("keys", shape_keys(F.col("shape")))
+    per = nodes.groupBy("src", "kind", "shape").agg(F.count("*").alias("n_objects"))
+    keys = _with_keys(per)
     common = keys.groupBy("src", "kind").agg(F.count("*").alias("n_shapes"), F.collect_set("keys").alias("each"))
     common = common.select("src", "kind", "n_shapes", F.aggregate("each", F.expr("each[0]"), lambda a, b: F.array_intersect(a, b)).alias("common_keys"))
     joined = keys.join(common, ["src", "kind"])
     return joined.select("src", "kind", F.sha1("shape").alias("shape_id"), "shape", "n_objects", "n_shapes", F.array_join(F.array_sort("common_keys"), ",").alias("common_keys"))
 
 
-def shape_keys(shape: Column) -> Column:
-    """The keys of the outermost object of a shape text."""
-    inner = F.regexp_replace(shape, r"^\{|\}$", "")
-    flat = inner
-    for _ in range(6):  # inner objects and arrays are emptied from the inside out
-        flat = F.regexp_replace(flat, r"\{[^{}]*\}|\[[^\[\]]*\]", "")
-    pairs = F.filter(F.split(flat, ","), lambda x: x != "")
-    return F.transform(pairs, lambda x: F.regexp_replace(x, r":[^:]*$", ""))
+def shape_states(shape: str) -> list[tuple[str, str]]:
+    """(key, state) of the outermost object of a shape text, at any depth below it."""
+    parts, depth, at = [], 0, 1
+    for i, c in enumerate(shape):
+        depth += (c in "{[") - (c in "}]")
+        if (c == "," and depth == 1) or (depth == 0 and i):
+            parts.append(shape[at:i])
+            at = i + 1
+    pairs = []
+    for p in parts:
+        if p:
+            m = _STATE.search(p)
+            pairs.append((p[: m.start()], m.group(1)))
+    return pairs
+
+
+# The state begins at the first colon that a complete state follows.
+_STATE = re.compile(r":(null|bool|number|string|[{\[].*)$", re.S)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        each = [shape_states(x) for x in batch.column("shape").to_pylist()]
+        keys = pa.array([[k for k, _ in x] for x in each], pa.list_(pa.string()))
+        states = pa.array([[v for _, v in x] for x in each], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys, states], [*batch.schema.names, "keys", "states"])
+
+
+def _with_keys(variants: DataFrame) -> DataFrame:
+    """One row per variant, with keys and states of its outermost object."""
+    columns = ", ".join(f"{c} {t}" for c, t in variants.dtypes)
+    return variants.mapInArrow(_keys, f"{columns}, keys array<string>, states array<string>")
+
+
+def typed_columns(nodes: DataFrame) -> dict[str, str]:
+    """Key and Spark type of the scalar fields of the rows, from their shapes; keys of several types are text.
+
+    What reaches the driver is one row for each key and type, however many rows or shapes there are.
+    """
+    each = _with_keys(nodes.select("shape").distinct()).select(F.explode(F.arrays_zip("keys", "states")).alias("x")).select(F.col("x.keys").alias("k"), F.col("x.states").alias("s"))
+    each = each.where(F.col("s").isin("null", "bool", "number", "string")).distinct()
+    types: dict[str, set[str]] = {}
+    for r in each.collect():
+        types.setdefault(r.k, set()).update({"bool": ["boolean"], "number": ["double"], "string": ["string"]}.get(r.s, []))
+    return {k: t.pop() if len(t) == 1 else "string" for k, t in sorted(types.items())}
 
 
-def subtype_table(nodes: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
-    """The typed table of one kind: `columns` maps keys to Spark types; text that doesn't fit its type is null.
+def subtype_table(nodes: DataFrame, kind: str | list[str] | None, columns: dict[str, str] | None = None, shape_id: str | None = None) -> DataFrame:
+    """The typed table of a kind, of several kinds or of all rows: `columns` maps keys to Spark types.
 
-    Every table keeps src, row_id, path and parent_path, so children join their parents on
+    Without `columns` they come from the shapes, and then no value is lost; text that doesn't fit a given
+    type is null. Every table keeps src, row_id, path and parent_path, so children join their parents on
     (src, row_id, parent_path = path), and shape_id, by which one structural variant can be picked.
     """
-    typed = [F.expr(f"try_cast(fields[{_sql(k)}] AS {t})").alias(k) for k, t in columns.items()]
-    return nodes.where(F.col("kind") == kind).select("src", "row_id", "path", "parent_path", F.sha1("shape").alias("shape_id"), *typed)
+    if kind is not None:
+        nodes = nodes.where(F.col("kind").isin([kind] if isinstance(kind, str) else kind))
+    if shape_id is not None:
+        nodes = nodes.where(F.sha1("shape") == shape_id)
+    if columns is None:
+        columns = typed_columns(nodes)
+    taken, typed = {"src", "row_id", "path", "parent_path", "shape_id"}, []
+    for k, t in columns.items():
+        name = k
+        while name.lower() in taken:  # Spark's names have no case
+            name += "_value"
+        taken.add(name.lower())
+        typed.append(F.expr(f"try_cast(fields[{_sql(k)}] AS {t})").alias(name))
+    return nodes.select("src", "row_id", "path", "parent_path", F.sha1("shape").alias("shape_id"), *typed)
+
+
+def last_key(kind: Column) -> Column:
+    """The key under which objects of a kind are held; `$` for the outermost."""
+    return F.regexp_extract(kind, r"([^.\[\]]+)(?:\[\])*$", 1)
 
 
 def _sql(text: str) -> str:

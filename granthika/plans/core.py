@@ -5,15 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granthika.operators import nested
 from granthika.plans import documents, retrieval, service
 from granthika.sources.tables import table
 
 
+# The keys that hold objects, each with a typed table; p6_fields has the fields of any other.
+HELD = (
+    "amended_by", "amounts", "authority", "claims", "conditions", "conflicts", "contact", "dates", "details", "documents", "edges", "entities", "error", "evidence_graph", "excerpts", "facts", "failed_files",
+    "grounding", "metadata", "nodes", "parties", "plan", "primary_provision", "provision_analysis", "provisions", "related", "sources", "supported_by", "timeline",
+)
+CITATION = {"act_name": "string", "section": "string", "authority_score": "double", "section_title": "string", "is_verified": "boolean", "page": "int"}
+
+
+def _chat(spark: SparkSession, d: str) -> DataFrame:
+    return nested.json_objects(table(spark, d, "chat_messages"), "chat_messages", "id", "sources_json")
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return nested.json_objects(table(spark, d, "case_history"), "case_history", "id", "data_json")
+
+
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    chat = nested.json_objects(table(spark, d, "chat_messages"), "chat_messages", "id", "sources_json")
-    return chat.unionAll(nested.json_objects(table(spark, d, "case_history"), "case_history", "id", "data_json"))
+    return _chat(spark, d).unionAll(_cases(spark, d))
+
+
+def _scalars(spark: SparkSession, d: str) -> DataFrame:
+    chat = nested.json_scalars(table(spark, d, "chat_messages"), "chat_messages", "id", "sources_json")
+    return chat.unionAll(nested.json_scalars(table(spark, d, "case_history"), "case_history", "id", "data_json"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,12 +46,36 @@ def p6_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_citations(spark: SparkSession, d: str) -> DataFrame:
-    """The typed table of the citations of chat messages."""
-    return nested.subtype_table(_nodes(spark, d), "$[]", {"act_name": "string", "section": "string", "authority_score": "double", "section_title": "string", "is_verified": "boolean", "page": "int"})
+    """The typed table of the citations of chat messages, in a list or alone, with every scalar key they have."""
+    nodes = _chat(spark, d).where(F.col("kind").isin("$", "$[]"))
+    return nested.subtype_table(nodes, None, CITATION | {k: t for k, t in nested.typed_columns(nodes).items() if k not in CITATION})
+
+
+def p6_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of the outermost objects of case_history."""
+    return nested.subtype_table(_cases(spark, d).where(F.col("kind").rlike(r"^\$(\[\])*$")), None)
+
+
+def p6_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The scalar fields of objects of every kind."""
+    return nested.field_values(_scalars(spark, d))
+
+
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """The scalars in arrays, by position."""
+    return nested.array_values(_scalars(spark, d))
+
+
+def _held(key: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return nested.subtype_table(_nodes(spark, d).where(nested.last_key(F.col("kind")) == key), None)
+
+    run.__name__, run.__doc__ = f"p6_{key}", f"The typed table of the objects under `{key}`."
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"p6_found": p6_found, "p6_shapes": p6_shapes, "p6_citations": p6_citations}
+    own = {f.__name__: f for f in (p6_found, p6_shapes, p6_citations, p6_cases, p6_fields, p6_values, *map(_held, HELD))}
     return own | retrieval.queries() | documents.queries() | service.queries()
 
 

@@ -96,3 +96,30 @@ def test_nested_tables(spark):
     common = {r.kind: r.common_keys for r in nested.shapes(nodes).collect()}
     assert common["$[]"] == "act,page"
     assert nested.json_objects(df.limit(0), "t", "id", "j").count() == 0
+
+
+def test_every_scalar_reaches_a_typed_table(spark):
+    one = '{"act": "A", "page": 3, "ok": true, "excerpts": [{"lines": [4, 7], "tags": [["x"], null]}]}'
+    df = spark.createDataFrame([(1, one), (2, f'[{one}, {{"act": "B", "page": "x"}}]')], "id long, j string")
+    nodes = nested.json_objects(df, "t", "id", "j")
+    cited = nested.subtype_table(nodes, ["$", "$[]"])
+    assert dict(cited.dtypes) | {"act": "string", "page": "string", "ok": "boolean"} == dict(cited.dtypes) and "excerpts" not in cited.columns
+    assert sorted((r.row_id, r.path, r.act, r.page, r.ok) for r in cited.collect()) == [(1, "$", "A", "3", True), (2, "$[0]", "A", "3", True), (2, "$[1]", "B", "x", None)]
+    shape = cited.where("path = '$[1]'").first().shape_id
+    assert [r.path for r in nested.subtype_table(nodes, "$[]", shape_id=shape).collect()] == ["$[1]"]
+    values = nested.array_values(nested.json_scalars(df, "t", "id", "j")).where("row_id = 1").collect()
+    at = "$.excerpts[0]"
+    assert sorted((r.path, r.parent_path, r["index"], r.type, r.value) for r in values) == [(f"{at}.lines", at, 0, "number", "4"), (f"{at}.lines", at, 1, "number", "7"), (f"{at}.tags", at, 1, "null", None), (f"{at}.tags[0]", at, 0, "string", "x")]
+
+
+def test_lone_citation_and_every_kind_have_a_table(spark, tmp_path):
+    from granthika.plans import core
+
+    deep = "[" * 9 + '{"z": 1}' + "]" * 9
+    spark.createDataFrame([(1, '{"act_name": "A", "page": 2, "note": "n"}'), (2, '[{"act_name": "B"}]')], "id long, sources_json string").write.parquet(str(tmp_path / "chat_messages.parquet"))
+    spark.createDataFrame([(7, f'{{"facts": {{"amounts": [{{"value": "5", "page": 1}}]}}, "deep": {deep}, "odd": {{"k": 1.5}}}}')], "id long, data_json string").write.parquet(str(tmp_path / "case_history.parquet"))
+    q = {n: f for n, f in core.queries().items() if n.startswith("p6_")}
+    assert sorted((r.path, r.act_name, r.page, r.note) for r in q["p6_citations"](spark, str(tmp_path)).collect()) == [("$", "A", 2, "n"), ("$[0]", "B", None, None)]
+    assert [(r.path, r.parent_path, r.value, r.page) for r in q["p6_amounts"](spark, str(tmp_path)).collect()] == [("$.facts.amounts[0]", "$.facts", "5", 1.0)]
+    assert [(r.path, r.as_number) for r in q["p6_fields"](spark, str(tmp_path)).where("key = 'k'").collect()] == [("$.odd", 1.5)]
+    assert {r.kind: r.common_keys for r in q["p6_shapes"](spark, str(tmp_path)).collect()}["$"] in ("act_name,note,page", "deep,facts,odd")
