@@ -6,7 +6,8 @@ like a single letter, spaces, and characters that show nothing. Union-find makes
 representative of a class is its most frequent member in the corpus, counted by Spark over all texts. A
 multi-pattern automaton rewrites every other member, leftmost and longest first, until nothing changes.
 
-Defined results: null stays null; texts that show nothing have no look and make no pairs; white space at
+Defined results: null stays null; texts that show nothing have an empty look and make no pairs; messages without a
+session or a usable role have a look but make no pairs; white space at
 the ends of a text and of its lines isn't seen; case, accents, punctuation and runs of spaces are seen;
 equal counts choose the shorter, then the smaller string; texts of any length are rewritten whole;
 repeated rows pair like others if their ids differ; an empty table gives an empty result.
@@ -205,10 +206,13 @@ def rows_of(df: DataFrame, src: str, id_: str, part: Column | None = None) -> Da
 
 
 def all_rows(datasets: DataFrame, messages: DataFrame) -> DataFrame:
-    """The texts to compare: datasets with one another, messages within a session and speaker role."""
-    part = F.concat_ws("\x1f", messages["session_id"], clean_role(messages["role"]))
-    chat = messages.where(messages["session_id"].isNotNull() & clean_role(messages["role"]).isNotNull())
-    return rows_of(datasets, "datasets", "dataset_id").unionAll(rows_of(chat, "chat_messages", "id", part))
+    """All texts with what they are compared within: datasets with one another, messages within a session and speaker role.
+
+    A message without a session or a usable role has no part; it is rewritten, but pairs with none.
+    """
+    known = messages["session_id"].isNotNull() & clean_role(messages["role"]).isNotNull()
+    part = F.when(known, F.concat_ws("\x1f", messages["session_id"], clean_role(messages["role"])))
+    return rows_of(datasets, "datasets", "dataset_id").unionAll(rows_of(messages, "chat_messages", "id", part))
 
 
 def pairs(looks: DataFrame) -> DataFrame:
@@ -217,7 +221,7 @@ def pairs(looks: DataFrame) -> DataFrame:
     Distinct spellings of a look are paired first and their rows joined afterwards, so that a look with very
     many identical copies costs no more than the pairs that come out.
     """
-    rows = looks.where(F.col("look") != "").select("src", "id", F.sha1(F.concat_ws("\x1e", "part", "look")).alias("k"), F.xxhash64("text", F.length("text")).alias("raw"))
+    rows = looks.where((F.col("look") != "") & F.col("part").isNotNull()).select("src", "id", F.sha1(F.concat_ws("\x1e", "part", "look")).alias("k"), F.xxhash64("text", F.length("text")).alias("raw"))
     rows = cut(rows)  # read three times below; texts are rewritten once
     spellings = rows.groupBy("src", "k", "raw").agg(F.lit(1).alias("one")).drop("one")
     several = spellings.groupBy("src", "k").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("src", "k")
@@ -229,10 +233,12 @@ def pairs(looks: DataFrame) -> DataFrame:
     return y.where("x <> y").select("src", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
 
 
-def looks(datasets: DataFrame, messages: DataFrame) -> DataFrame:
+def looks(datasets: DataFrame, messages: DataFrame, paired: bool = False) -> DataFrame:
+    """The look of every text, or only of the rows that can be `paired`."""
     to = representatives(member_counts([datasets.select("text"), messages.select("text")]))
-    return with_look(all_rows(datasets, messages), to)
+    rows = all_rows(datasets, messages)
+    return with_look(rows.where(F.col("part").isNotNull()) if paired else rows, to)
 
 
 def found(datasets: DataFrame, messages: DataFrame) -> DataFrame:
-    return pairs(looks(datasets, messages))
+    return pairs(looks(datasets, messages, paired=True))

@@ -114,6 +114,14 @@ def test_pairs_against_brute_force(spark):
     assert got == want | {("chat_messages", 1, 2), ("chat_messages", 2, 6)}
 
 
+def test_every_text_has_a_look(spark):
+    data = spark.createDataFrame([(1, "p\u0430y"), (2, None)], "dataset_id long, text string")
+    chat = spark.createDataFrame([(1, "s", "user", "pay"), (2, None, "user", "p\u0430y"), (3, "s", "?", "p\u200bay"), (4, "s", None, "pay"), (5, None, None, None)], "id long, session_id string, role string, text string")
+    got = {(x.src, x.id): x.look for x in lookalike.looks(data, chat).collect()}
+    assert got == {("datasets", 1): "pay", ("datasets", 2): None, ("chat_messages", 5): None} | {("chat_messages", i): "pay" for i in (1, 2, 3, 4)}
+    assert lookalike.pairs(lookalike.looks(data, chat)).count() == lookalike.found(data, chat).count() == 0
+
+
 # 7 and 8: tokens and packing
 
 
