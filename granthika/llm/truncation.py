@@ -4,8 +4,8 @@ A stack automaton reads each text and reports what is open at its end: quotes, b
 multibyte sequence or escape. Texts that end without a terminator are compared with how sentences of this
 corpus end: the last four words of every terminated sentence, digits masked one by one, form a table that
 Spark gathers from all texts; an unfinished last sentence with such an ending merely lacks its full stop.
-Closing lines (signature, list entry, heading, date, sum, seal) are known by their form, or by how many
-different texts close with the same masked line. What remains is weighed against the source: where more
+Closing lines (signature, list entry, heading, date, sum, seal) are known by their form, or by the share
+of different texts that close with the same masked line. What remains is weighed against the source: where more
 than half of a source's texts lack a terminator, a text of it counts as cut only if its last word is
 unknown to the corpus' endings as well.
 
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from granthika.sources.tables import cut
 
-#: Words of an ending, and distinct texts by which a closing line is known.
+#: Words of an ending, and the least distinct texts by which a closing line is known.
 ENDING_WORDS, KNOWN_CLOSINGS = 4, 3
+#: Share of all distinct texts from which a line counts as a closing; chance repeats of cut lines stay below it.
+CLOSING_SHARE = 0.0005
 #: From this share of unterminated texts on, a source's missing terminators say little.
 HABIT = 0.5
 #: A field limit: at least so many texts, and this share of the source's undecided texts, have one length.
@@ -175,13 +177,16 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     ends = cut(endings(documents, text))
     open_ = t.where(F.col("evidence") == "")
     habits = t.groupBy("source").agg(F.avg((~F.col("terminated")).cast("double")).alias("unterminated"))
-    lines = open_.where(F.col("closing") != "").groupBy("closing").agg(F.approx_count_distinct(F.col("doc_id")).alias("closers"))
-    known = lines.where(F.col("closers") >= KNOWN_CLOSINGS).where(F.size(F.split("closing", " ")) <= 8)
+    # Copies under another doc_id are one text.
+    lines = open_.where(F.col("closing") != "").select("closing", "h").distinct().groupBy("closing").agg(F.count("*").alias("closers"))
+    all_texts = t.select("h").distinct().agg(F.count("*").alias("all_texts"))
+    lines = lines.where(F.col("closers") >= KNOWN_CLOSINGS).crossJoin(F.broadcast(all_texts))
+    known = lines.where(F.col("closers") >= CLOSING_SHARE * F.col("all_texts")).where(F.size(F.split("closing", " ")) <= 8)
     words = ends.select(F.element_at(F.split("ending", " "), -1).alias("last_word")).distinct()
     x = open_.join(ends.withColumn("ends", F.lit(True)), "ending", "left")
     x = x.join(known.select("closing", F.lit(True).alias("closes")), "closing", "left")
     x = x.join(words.withColumn("worded", F.lit(True)), "last_word", "left")
-    per = open_.groupBy("source", "n").agg(F.approx_count_distinct("h").alias("texts"))
+    per = open_.select("source", "n", "h").distinct().groupBy("source", "n").agg(F.count("*").alias("texts"))
     of = per.groupBy("source").agg(F.sum("texts").alias("all_texts"))
     limits = per.where(F.col("texts") >= LIMIT_TEXTS).join(of.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     limits = limits.where(F.col("texts") >= LIMIT_SHARE * F.col("all_texts")).select("source", "n", F.lit(True).alias("limited"))

@@ -191,6 +191,17 @@ def test_truncation_learns_endings(spark):
     assert {r.doc_id for r in truncation.found(df).collect()} == {11}
 
 
+def test_copies_and_chance_repeats_are_no_closings(spark):
+    docs = [(i, f"The office holds the {'a' * (i + 1)} book.", "s") for i in range(100)]
+    docs += [(200 + i, "The clerk keeps a book.\nThe matter was reg", "s") for i in range(5)]
+    docs += [(300 + i, f"The clerk keeps {w}.\nCopy to: the record room", "s") for i, w in enumerate(["maps", "rules", "petitions"])]
+    few = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert {r.doc_id for r in truncation.found(few).collect()} == {200, 201, 202, 203, 204}
+    more = few.unionAll(spark.range(1000, 11_000).select("id", F.concat(F.lit("The register has the entry of number "), "id", F.lit(".")), F.lit("s")))
+    more = more.unionAll(spark.createDataFrame([(400 + i, f"The clerk keeps {w}.\nThe keeper of t", "s") for i, w in enumerate(["maps", "rules", "petitions"])], few.schema))
+    assert {r.doc_id for r in truncation.found(more).collect()} >= {200, 201, 202, 203, 204, 400, 401, 402}
+
+
 # 3: scans
 
 
