@@ -123,3 +123,11 @@ def test_lone_citation_and_every_kind_have_a_table(spark, tmp_path):
     assert [(r.path, r.parent_path, r.value, r.page) for r in q["p6_amounts"](spark, str(tmp_path)).collect()] == [("$.facts.amounts[0]", "$.facts", "5", 1.0)]
     assert [(r.path, r.as_number) for r in q["p6_fields"](spark, str(tmp_path)).where("key = 'k'").collect()] == [("$.odd", 1.5)]
     assert {r.kind: r.common_keys for r in q["p6_shapes"](spark, str(tmp_path)).collect()}["$"] in ("act_name,note,page", "deep,facts,odd")
+
+
+def test_new_sections_tests_every_row(spark, tmp_path):
+    from granthika.plans import documents
+
+    rows = [(2, "A", "One  rule."), (3, "A", "one rule."), (4, "A", "Two."), (5, "B", "One rule."), (7, "B", "Three."), (9, "B", "three."), (6, None, None), (8, None, "")]
+    spark.createDataFrame(rows, "dataset_id long, act_name string, text string").write.parquet(str(tmp_path / "datasets.parquet"))
+    assert sorted(r.dataset_id for r in documents.queries()["new_sections"](spark, str(tmp_path)).collect()) == [2, 4, 5, 6, 7]
