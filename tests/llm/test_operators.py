@@ -75,6 +75,19 @@ def test_random_sessions_against_brute_force(spark):
     assert verdict(spark, rows) == want
 
 
+def test_notices_by_form(spark):
+    yes = ["HTTP 500 Internal Server Error", "Error 503: the answer service is not available.", "Request timed out, please try again.", "upstream connect error: connection refused", "[generation failed]", "Sorry, something went wrong on our side.", "Oops! An unexpected error occurred. Please try again later.", "The server is temporarily unavailable", "ser\u200bver error"]
+    no = ["Section 500 deals with the server of the summons.", "Sorry, the request must name the section.", "The connection was refused by the water board, so you may appeal.", "ಲಿಖಿತ ಬೇಡಿಕೆಯಲ್ಲಿ ₹450 ಮೊತ್ತ", "", None, "Error 503 is what the meter shows; ask the inspector."]
+    got = spark.createDataFrame([(x,) for x in yes + no], "x string").select(C.is_notice(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [True] * len(yes) + [False] * len(no)
+
+
+def test_retries_fold_to_their_turn(spark):
+    rows = [("s", 1, 1, "user", "q", 10.0), ("s", 2, 1, "user", "q", 13.0), ("s", 3, 1, "user", "q", 16.9), ("s", 4, 1, "bot", "a", 3598.0), ("s", 5, 1, "bot", "a", 3601.0), ("s", 6, 1, "bot", "a", 3604.5)]
+    got = C.turns(spark.createDataFrame([], "id string"), log(spark, *rows)).orderBy("turn_no").collect()
+    assert [(x.turn_no, x.role, x.id, x.said_at) for x in got] == [(1, "user", 1, 10.0), (2, "assistant", 4, 3598.0)]
+
+
 def test_turns_are_numbered_across_days(spark):
     rows = [("s", i, 1, ["user", "assistant"][i % 2], f"t{i}", 10.0 + i * DAY / 2) for i in range(6)]
     got = C.turns(spark.createDataFrame([], "id string"), log(spark, *rows)).orderBy("turn_no").collect()
