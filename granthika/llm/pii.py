@@ -16,6 +16,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ _TIMES = {"double": 2, "triple": 3}
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Places whose words bear on a word's label and how much each counts, rounds of training, its step and regularisation.
-NEAR, SCALE, ROUNDS, STEP, L2 = (-3, -2, -1, 0, 1, 2, 3), (0.5, 0.8, 1.2, 2.0, 1.0, 0.6, 0.4), 60, 0.4, 0.1
+NEAR, SCALE, ROUNDS, STEP, L2 = (-3, -2, -1, 0, 1, 2, 3), (0.5, 0.8, 1.2, 2.0, 1.0, 0.6, 0.4), 90, 0.4, 0.1
 #: Occurrences in the labelled table from which on a feature counts.
 LEAST = 24
 #: Distinct words and sentences kept per Python worker; beyond this the tables start afresh.
@@ -90,6 +91,8 @@ def features(word: str) -> list[str]:
         out.append("initial")
     if not any(c.isalnum() for c in w):
         out.append("mark")
+    elif len(w) > 3 and not digits:
+        out += [f"e={low[-n:]}" for n in (2, 3)]
     return out
 
 
@@ -144,9 +147,9 @@ class Field:
         return [out[i, :k] for i, k in enumerate(lengths)]
 
 
-def _training_rows() -> list[tuple[list[str], list[int]]]:
+def _training_rows(table: list[list[tuple[str, str]]]) -> list[tuple[list[str], list[int]]]:
     rows = []
-    for parts in labelled_table():
+    for parts in table:
         text, kinds = "", []
         for piece, kind in parts:
             kinds += [(kind, len(text))] * len(piece)
@@ -157,8 +160,9 @@ def _training_rows() -> list[tuple[list[str], list[int]]]:
             kind = kinds[a]
             tags.append(0 if not kind[0] else TAGS.index(("I-" if kind == before else "B-") + kind[0]))
             before = kind
-            words.append(text[a:b])
-        rows.append((words, tags))
+            words.append(_DIGIT.sub("0", text[a:b]))
+        if words:
+            rows.append((words, tags))
     return rows
 
 
@@ -169,81 +173,111 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts, found
 
 
+def _marginals(emit: np.ndarray, between: np.ndarray, first: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of tags by place, and expected pairs, of sentences sorted by falling length.
+
+    The forward and backward vectors are scaled at each place, so that no logarithm is needed; `live` holds
+    how many sentences reach each place.
+    """
+    n, longest, k = emit.shape
+    e = np.exp(emit - emit.max(axis=2, keepdims=True))
+    step, alpha, beta = np.exp(between), np.zeros_like(e), np.ones_like(e)
+    alpha[:, 0] = np.exp(first) * e[:, 0]
+    alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
+    scale = np.ones((n, longest, 1), np.float32)
+    for t in range(1, longest):
+        m = live[t]
+        x = (alpha[:m, t - 1] @ step) * e[:m, t]
+        scale[:m, t] = x.sum(axis=1, keepdims=True)
+        alpha[:m, t] = x / scale[:m, t]
+    pair = np.zeros((k, k), np.float32)
+    for t in range(longest - 1, 0, -1):
+        m = live[t]
+        ahead = e[:m, t] * beta[:m, t] / scale[:m, t]
+        beta[:m, t - 1] = ahead @ step.T
+        pair += alpha[:m, t - 1].T @ ahead
+    return alpha * beta, pair * step
+
+
+def train(table: list[list[tuple[str, str]]] | None = None) -> Field:
+    """The field of a labelled table, by default the whole of ours: full-batch gradient ascent with adaptive steps."""
+    return _whole() if table is None else _train(table)
+
+
 @lru_cache(maxsize=1)
-def train() -> Field:
-    """The field of the labelled table: full-batch gradient ascent with adaptive steps, deterministic."""
-    rows = _training_rows()
+def _whole() -> Field:
+    return _train(labelled_table())
+
+
+def _train(table: list[list[tuple[str, str]]]) -> Field:
+    rows = sorted(_training_rows(table), key=lambda r: -len(r[0]))
     vocabulary = sorted({w for words, _ in rows for w in words})
     # A word is known by itself if it occurs outside personal data, or often; else by its shape, as new words are.
-    seen: Counter = Counter(f for words, _ in rows for w in words for f in features(w))
-    seen.update(f for words, tags in rows for w, tag in zip(words, tags, strict=True) if not tag for f in features(w)[:1] for _ in range(LEAST // 3))
+    of_word = {w: features(w) for w in vocabulary}
+    seen: Counter = Counter()
+    for words, tags in rows:
+        for w, tag in zip(words, tags, strict=True):
+            # How a word ends counts by what it ends outside personal data: names aren't told by their syllables.
+            seen.update(f for f in of_word[w] if not tag or f[:2] != "e=")
+            if not tag:
+                seen[of_word[w][0]] += LEAST // 3
     index = {"new": 0, "cap new": 1}
     for f, n in sorted(seen.items()):
         if n >= LEAST:
             index[f] = len(index)
     of = [known_features(w, index) for w in vocabulary]
-    width = max(map(len, of))
-    none = len(index)
+    width, none, at, k = max(map(len, of)), len(index), {w: i for i, w in enumerate(vocabulary)}, len(TAGS)
     feats = np.array([x + [none] * (width - len(x)) for x in of])
-    at = {w: i for i, w in enumerate(vocabulary)}
-    n, longest, k = len(rows), max(len(w) for w, _ in rows), len(TAGS)
-    edge = max(NEAR)
-    pad = len(vocabulary)
-    ids = np.full((n, longest + 2 * edge), pad)
-    gold = np.zeros((n, longest), int)
-    length = np.array([len(w) for w, _ in rows])
-    for i, (words, tags) in enumerate(rows):
-        ids[i, edge : edge + len(words)] = [at[w] for w in words]
-        gold[i, : len(tags)] = tags
-    mask = np.arange(longest) < length[:, None]
-    weights = np.zeros((len(NEAR), none + 1, k), np.float32)
-    between, first = np.zeros((k, k), np.float32), np.zeros(k, np.float32)
-    sums = [np.full_like(x, 1e-8) for x in (weights, between, first)]
+    edge, pad = max(NEAR), len(vocabulary)
+    # Blocks of rows of like length, so that little is computed for places beyond a row's end.
+    blocks = []
+    for i in range(0, len(rows), 512):
+        part = rows[i : i + 512]
+        n, longest = len(part), len(part[0][0])
+        ids, gold = np.full((n, longest + 2 * edge), pad), np.zeros((n, longest), int)
+        for j, (words, tags) in enumerate(part):
+            ids[j, edge : edge + len(words)] = [at[w] for w in words]
+            gold[j, : len(tags)] = tags
+        length = np.array([len(w) for w, _ in part])
+        mask = np.arange(longest) < length[:, None]
+        blocks.append((ids, gold, mask, [int((length > t).sum()) for t in range(longest)]))
+    inside = [np.concatenate([ids[:, edge + by : edge + by + m.shape[1]][m] for ids, _, m, _ in blocks]) for by in NEAR]
     one = np.eye(k, dtype=np.float32)
-    gold_one = one[gold] * mask[:, :, None]
-    gold_between = np.zeros((k, k))
-    np.add.at(gold_between, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
-    rows_ix = np.arange(n)
+    gold_one = np.concatenate([one[g[m]] for _, g, m, _ in blocks])
+    gold_between, gold_first = np.zeros((k, k), np.float32), np.zeros(k, np.float32)
+    for _, g, m, _ in blocks:
+        np.add.at(gold_between, (g[:, :-1][m[:, 1:]], g[:, 1:][m[:, 1:]]), 1)
+        gold_first += one[g[:, 0]].sum(axis=0)
+    weights, between, first = np.zeros((len(NEAR), none + 1, k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32)
+    sums = [np.full_like(x, 1e-8) for x in (weights, between, first)]
     scale = np.array(SCALE, np.float32)[:, None, None]
     # Sums by word and by feature, as sorted runs.
-    by_word = [_runs(ids[:, edge + by : edge + by + longest].reshape(-1)) for by in NEAR]
+    by_word = [_runs(x) for x in inside]
     f_order, f_starts, f_ids = _runs(feats.reshape(-1))
     f_rows = f_order // width
     for _ in range(ROUNDS):
         shares = np.zeros((len(NEAR), pad + 1, k), np.float32)
-        shares[:, :pad] = weights[:, feats].sum(axis=2) * scale
-        emit = sum(shares[o][ids[:, edge + by : edge + by + longest]] for o, by in enumerate(NEAR))
-        alpha = np.empty((n, longest, k), np.float32)
-        alpha[:, 0] = first + emit[:, 0]
-        expb = np.exp(between)
-        for t in range(1, longest):
-            m = alpha[:, t - 1].max(axis=1, keepdims=True)
-            alpha[:, t] = np.where(mask[:, t : t + 1], np.log(np.exp(alpha[:, t - 1] - m) @ expb) + m + emit[:, t], alpha[:, t - 1])
-        beta = np.zeros((n, longest, k), np.float32)
-        for t in range(longest - 2, -1, -1):
-            x = beta[:, t + 1] + emit[:, t + 1]
-            m = x.max(axis=1, keepdims=True)
-            beta[:, t] = np.where(mask[:, t + 1 : t + 2], np.log(np.exp(x - m) @ expb.T) + m, 0.0)
-        end = alpha[rows_ix, length - 1]
-        top = end.max(axis=1, keepdims=True)
-        z = (np.log(np.exp(end - top).sum(axis=1, keepdims=True)) + top)[:, :, None]
-        prob = np.exp(alpha + beta - z) * mask[:, :, None]
-        pair = np.zeros((k, k))
-        for t in range(1, longest):
-            live = mask[:, t]
-            a, b = alpha[live, t - 1], beta[live, t] + emit[live, t]
-            ma, mb = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
-            pair += (np.exp(a - ma) * np.exp(ma + mb - z[live, 0])).T @ np.exp(b - mb) * expb
-        d = gold_one - prob
-        flat = d.reshape(-1, k)
+        for j in range(width):
+            shares[:, :pad] += weights[:, feats[:, j]]
+        shares *= scale
+        emit = sum(shares[o][inside[o]] for o in range(len(NEAR)))
+        d, pair, g_first, from_ = np.empty_like(emit), np.zeros((k, k), np.float32), gold_first.copy(), 0
+        for ids, _, mask, live in blocks:
+            n = int(mask.sum())
+            full = np.zeros((*mask.shape, k), np.float32)
+            full[mask] = emit[from_ : from_ + n]
+            prob, pairs = _marginals(full, between, first, live)
+            pair += pairs
+            g_first -= prob[:, 0].sum(axis=0)
+            d[from_ : from_ + n] = gold_one[from_ : from_ + n] - prob[mask]
+            from_ += n
         share = np.zeros((len(NEAR), pad + 1, k), np.float32)
         for o, (order, starts, words) in enumerate(by_word):
-            share[o, words] = np.add.reduceat(flat[order], starts) * SCALE[o]
+            share[o, words] = np.add.reduceat(d[order], starts) * SCALE[o]
         g_weights = np.zeros_like(weights)
         g_weights[:, f_ids] = np.add.reduceat(share[:, f_rows], f_starts, axis=1)
         g_weights[:, none] = 0
-        grads = (g_weights - L2 * weights, gold_between - pair - L2 * between, gold_one[:, 0].sum(axis=0) - prob[:, 0].sum(axis=0))
-        for x, g, s in zip((weights, between, first), grads, sums, strict=True):
+        for x, g, s in zip((weights, between, first), (g_weights - L2 * weights, gold_between - pair - L2 * between, g_first), sums, strict=True):
             s += g * g
             x += STEP * g / np.sqrt(s)
     # An I- tag follows only its own kind; this is no matter of weights.
@@ -253,7 +287,7 @@ def train() -> Field:
                 if before[2:] != tag[2:]:
                     between[i, j] = -1e4
             first[j] = -1e4
-    return Field(index, weights[:, :none] * scale, between.astype(np.float32), first.astype(np.float32))
+    return Field(index, weights[:, :none] * scale, between, first)
 
 
 def sentences(text: str, wrapped: bool) -> list[tuple[int, int]]:
@@ -330,8 +364,8 @@ def value(kind: str, span: str) -> str | None:
             s = t
         s = s.lower()
         return s if len(s) > 2 and not any(c.isdigit() for c in s) and "@" not in s else None
-    words = span.split()
-    return "" if len(words) >= 3 and len(span) >= 10 and len(re.findall(r"[^\W\d_]", span)) >= 4 and not re.match(r"[-\[\s]|O\.S|HTTP|Error", span) else None
+    # An address has a number, names something, and has a part after a comma.
+    return "" if "," in span and any(c.isdigit() for c in span) and len(span.split()) >= 3 and len(re.findall(r"[^\W\d_]", span)) >= 4 else None
 
 
 _known: dict[str, list[tuple[str, int, int]]] = {}
@@ -383,6 +417,25 @@ def find(field: Field, texts: list[str], wrapped: bool) -> list[tuple[str, list[
     return out
 
 
+def places(text: str, wrapped: bool) -> tuple[str, list[tuple[int, int]]]:
+    """The plain form of a text by clusters of a letter and its marks, and where each of its characters comes from."""
+    out, at, i = [], [], 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and unicodedata.category(text[j])[0] == "M":
+            j += 1
+        for c in plain(text[i:j]):
+            out.append(c)
+            at.append((i, j))
+        i = j
+    folded = "".join(out)
+    if wrapped:
+        for m in reversed(list(_HYPHENATED.finditer(folded))):
+            folded = folded[: m.start()] + folded[m.end() :]
+            del at[m.start() : m.end()]
+    return folded, at
+
+
 def _task(model, redact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = _field(model)
@@ -396,9 +449,9 @@ def _task(model, redact: bool):
                         yield _rows([(src[i], ids[i], texts[i]) for i in blank], redact)
                 if at:
                     rows: list[tuple] = []
-                    for i, (text, items) in zip(at, find(field, [texts[i] for i in at], wrapped), strict=True):
+                    for i, (folded, items) in zip(at, find(field, [texts[i] for i in at], wrapped), strict=True):
                         if redact:
-                            rows.append((src[i], ids[i], _replaced(text, items) if items else texts[i]))
+                            rows.append((src[i], ids[i], _replaced(texts[i], folded, items, wrapped) if items else texts[i]))
                         else:
                             rows.extend((src[i], ids[i], k, v) for k, v in {(k, v) for k, v, _, _ in items})
                     if rows:
@@ -407,9 +460,16 @@ def _task(model, redact: bool):
     return run
 
 
-def _replaced(text: str, items: list[tuple[str, str, int, int]]) -> str:
+def _replaced(text: str, folded: str, items: list[tuple[str, str, int, int]], wrapped: bool) -> str:
+    """The text as it was written, with placeholders for the items; all other characters stay as they are."""
+    if folded != text:
+        own, at = places(text, wrapped)
+        if own != folded:  # clusters that fold only together: the plain form is what the places refer to
+            text, at = folded, [(i, i + 1) for i in range(len(folded))]
+    else:
+        at = [(i, i + 1) for i in range(len(text))]
     for kind, _, a, b in sorted(items, key=lambda x: -x[2]):
-        text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
+        text = f"{text[: at[a][0]]}[{kind.upper()}]{text[at[b - 1][1] :]}"
     return text
 
 

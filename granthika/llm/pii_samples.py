@@ -1,8 +1,10 @@
-"""A small labelled table: sentences with marked slots, and the rule that fills them.
+"""A small labelled table: sentence forms with marked slots, and the rule that fills them.
 
 Slots in braces are personal data (name, phone, email, id_number, address); slots in angle brackets look
-alike but aren't (cases, meters, parcels, payments, places, acts, organisations). Names are made of
-syllables, so that the model learns shapes and neighbours instead of a list of names.
+alike but aren't (cases, meters, parcels, payments, places, acts, organisations). Alternatives stand in
+round brackets with bars. Names are made of syllables, so that the model learns shapes and neighbours
+instead of a list of names. All forms, names, places and organisations are written for this table; none is
+taken from the tables that the queries read. A form is the unit that is held out when accuracy is measured.
 """
 
 from __future__ import annotations
@@ -10,240 +12,494 @@ from __future__ import annotations
 import random
 import re
 
-from granthika.llm.language_samples import SAMPLES
-
 KINDS = ("name", "phone", "email", "id_number", "address")
 
 SENTENCES = """
-My name is {name} and you can reach me on {phone}.
-I am {name}, please write to {email}.
-this is {name_low}, my no is {phone}
-ring {phone} or mail {email}
-ring {phone_words} or mail {email}
-Call me at {phone} after six in the evening.
-Call me at {phone_words} after six in the evening.
-{phone_words} is my number, call after nine.
-my number is {phone_words}
-Phone: {phone}, mail: {email}
-The notice was sent to {address} last month.
-I moved from {address} last month.
-call me at {phone} or write to {email}
-Shri {name} of {address} borrowed <sum> from me.
-Smt. {name} of {address} borrowed <sum> from me.
-{name} of {address} borrowed <sum> from me.
-{name} lives at {address}.
-My landlord Mr. {name} lives at {address}.
-Smt. {name} signed as witness, her card number is {id_number}.
-{name} signed as witness, his card number is {id_number}.
-My identity number {id_number} was copied by the agent on <date>.
-{id_number} is on the form, is that enough as proof?
-Kindly correct {name} on the slip, it should match {id_number}.
-For the record: {name_up}, {id_number}, {phone}.
-Send the draft to {email} or {email} today.
-The notice was sent to {address} in my absence.
-The complaint names {name}, s/o {name}, as the second respondent.
-The complaint names {name}, d/o {name} of <place>.
-Regards, {name}
-Regards, {name}
-Thanks and regards, {name}
-Yours faithfully, {name}
-Petitioner: {name}
-From: {name}, {address}
-Dr. {name} examined the wound and can be reached on {phone}.
-Please tell {name} that the hearing at <place> is on <date>.
-My passport {id_number} and my voter card {id_number} are lost.
-I live at {address} and my licence is {id_number}.
-मैं {name_hi} बोल रहा हूँ, {phone} पर बात करें।
-मैं {name_hi} बोल रही हूँ, {phone_hi} पर बात करें।
-श्री {name_hi} ने मुझसे <sum> उधार लिए।
-श्रीमती {name_hi} का पहचान क्रमांक {id_number} है।
-श्रीमती {name_hi} का पहचान क्रमांक {id_hi} है।
-मेरा पता {address_hi} है।
-नोटिस {address_hi} पर भेजा गया था।
-मैं {name_hi}, {phone} पर फ़ोन करें।
-फ़ॉर्म पर {id_number} लिखा है।
-{id_number} मेरा पहचान क्रमांक है।
-मेरा नाम {name_hi} है और मेरा नंबर {phone} है।
-प्रेषक: {name_hi}, {address_hi}
-भवदीय, {name_hi}
-फ़ॉर्म पर {id_number} लिखा है, क्या यह काफ़ी है?
-{email} पर जवाब भेज दीजिए।
-कृपया {email} पर लिखें।
-ನನ್ನ ಹೆಸರು {name_kn}, ನನ್ನ ಸಂಖ್ಯೆ {phone}.
-ನನ್ನ ಹೆಸರು {name_kn}, ನನ್ನ ಸಂಖ್ಯೆ {phone_kn}.
-ಶ್ರೀಮತಿ {name_kn} ಅವರ ಗುರುತಿನ ಸಂಖ್ಯೆ {id_number}.
-ಶ್ರೀ {name_kn} ನನ್ನಿಂದ <sum> ಸಾಲ ಪಡೆದರು.
-ಶ್ರೀ {name_kn} ಅವರು <sum> ಕೊಟ್ಟಿಲ್ಲ.
-ನನ್ನ ವಿಳಾಸ {address_kn}.
-ನೋಟಿಸನ್ನು {address_kn} ಗೆ ಕಳುಹಿಸಲಾಗಿದೆ.
-ನಾನು {name_kn}, {phone} ಗೆ ಕರೆ ಮಾಡಿ.
-ನಾನು {name_kn}, {phone_kn} ಗೆ ಕರೆ ಮಾಡಿ.
-ದಯವಿಟ್ಟು {email} ಗೆ ಉತ್ತರಿಸಿ.
-ಅರ್ಜಿಯಲ್ಲಿ {id_number} ಎಂದು ಬರೆದಿದೆ.
-ಇಂದ: {name_kn}, {address_kn}
-ತಮ್ಮ ವಿಶ್ವಾಸಿ, {name_kn}
-mera naam {name} hai aur number {phone} hai
-mera naam {name} hai aur mera pata {address} hai
-nanna hesaru {name}, nanna number {phone}
-mera pata {address} hai
-nanna vilasa {address}
-form par {id_number} likha hai, kya yeh kaafi hai?
-form par {id_low} likha hai, kya yeh kaafi hai?
-arjiyalli {id_number} endu baredide
-arjiyalli {id_low} endu baredide
-{email} par jawab bhej dijiye
-dayavittu {email} ge uttarisi
+(Hello|Good morning|Sir), (my name is|myself|I am) {name} (from <place>|and I write about a <topic>|of the tenants' union).
+(I am called|They know me as|People call me) {name}(, a teacher in <place>|.)
+(Hi|hello), {name_low} here, (text|ping|ring) me on {phone}
+i'm {name_low} and my mobile is {phone}
+this is {name_low} (speaking|writing), number {phone}
+(hello this is|me) {name_low}, (the no is|no.) {phone} (thanks|pls reply)
+(You may|Please|Do) (phone|telephone|ring) me on {phone} (before noon|on weekdays|at any hour).
+(Call|Reach|Contact) (me|us|him) (at|on|via) {phone} (from nine to five|till late|when it is ready)(.|, please.)
+(If needed|In an emergency), (dial|ring|call) {phone} or {phone}.
+My (mobile|telephone|landline|whatsapp) (number|no.) is {phone}, (not|no longer) {phone}.
+(My|The) (wife|son|uncle|lawyer) {name} (uses|has the number|answers on) {phone}.
+Contact: {phone}
+Tel. {phone} / {email}
+(dial|ring|text|phone) {phone_words} (before lunch|after work|tonight|in the morning)
+my (phone|mobile|contact) (is|no is) {phone_words} (thanks|ok|please)
+(Dial|Ring|Phone|Try) {phone_words} (and ask for me|tomorrow|once the office closes).
+{phone_words}, that is my (mobile|telephone).
+(ring|text|dial) {phone} or (write to|mail|drop a line at) {email}
+(ring|text|dial) {phone_words} or (write to|mail|drop a line at) {email}
+(Answers|Papers|Replies|The receipt) can (go|be sent|be mailed) to {email}.
+(Mail|Forward|Email) the (copy|order|scan) to {email} (and {email}|or {email})(.| by Friday.)
+(Write|Reply) (to|at) {email} (instead|if the line is busy|as before).
+E-mail: {email}
+my (mail|email|mail id) is {email} (and not {email}|, it works)
+(Dear Sir|Madam), I, {name}, residing at {address}, (state|declare|affirm) (the following|that I owe nothing).
+(Mr.|Mrs.|Ms.|Dr.|Shri|Smt.|Kumari) {name} (of|residing at|from) {address} (owes me <sum>|sold me a cow|took <sum> in cash).
+(Mr.|Mrs.|Ms.|Dr.|Shri|Smt.) {name} (refused|agreed|promised|failed) to (pay|vacate|sign) (on <date>|last winter|before the bench).
+(Mr.|Mrs.|Ms.|Dr.|Shri|Smt.) {name} (was present|gave evidence|put a thumb mark), (the|his|her) (card|licence) (number is|no.) {id_number}.
+(Mr.|Mrs.|Ms.|Dr.|Shri|Smt.) {name} (gave|showed|produced) a card with the number {id_number}.
+{name} (stays|resides|is staying|lives) (at|in) {address}.
+{name} (stays|resides|lives) with {name} at {address}.
+My (tenant|neighbour|employer|brother|landlord), (Mr.|Ms.|Shri|Dr.) {name}, (stays|lives|resides) at {address}.
+(The tenant|The buyer|Our neighbour|A certain) {name} of {address} (never paid|holds the keys|took <sum> as advance).
+(Summons|The letter|The parcel|A warning) (went|came back|was posted|was delivered) to {address} (though nobody was home|in March|while I was away).
+(Please|Kindly) (post|deliver|courier) (it|the order|the copy) to {address}.
+We (shifted|moved) (to|out of|from) {address} (in June|two years ago|after the flood).
+(Our|My) (home|postal|permanent|mailing) address: {address}
+Address: {address}
+(I|We) (own|rent|occupy) {address} since <date>.
+My (aadhaar|voter card|pan card|licence|passport|ration card) (number|no.) is {id_number}.
+(aadhaar|pan|passport|licence) (no|number) {id_number}
+(Somebody|A broker|The shopkeeper) (misused|copied|noted) my (card|passport|licence) {id_number} (on <date>|without asking).
+(Is|Will) {id_number} (valid|accepted|sufficient) (at the counter|for the form|as a proof)?
+{id_low} (is written|is what the slip says|was stamped) (on it|there|on the card), (will that do|is it right|is that fine)?
+{id_number} (is written|is what the slip says|was stamped) (on it|there|on the card), (will that do|is it right|is that fine)?
+(my card|the form|it) (says|has|reads) {id_low} (ok|right)?
+{id_number} (was printed|appears|stands) on my (slip|card|application).
+The (slip|form|application) (shows|carries|has) {id_number} (as my identity|under my name|in the third column).
+(Lost|Stolen|Missing): voter card {id_number}, passport {id_number}(.| and a purse.)
+(My|Her|His) (licence|passport) {id_number} (expired|was impounded|was torn) and the address on it is {address}.
+The (name|spelling) (on the slip|in the register) must (be|read) {name}(, see|, as on) {id_number}.
+(Please|Kindly) (write|put|spell|correct|enter) {name} (as the owner|on the card|in the list|there), (as in|like) {id_number}.
+(Put|Set|Get) {name} right on the (card|list|roll), (as|since) (it differs from|the card says) {id_number}.
+(Correct|Change|Amend) {name} to {name} (in|on) (the roll|the card|register B).
+(Witness|Attested by|Signed by): {name}, {id_number}
+(Witness|Nominee|Guarantor|Heir) {name}, (son|daughter|wife|widow) of {name}(, resident of <place>|, aged 44).
+{name}, (s/o|d/o|w/o|c/o) {name}, (applied|appeared|was heard) (on <date>|in person|at <place>).
+(Opposite party|The accused|Respondent no. 2|Defendant) (is|:) {name}(, s/o {name}|, d/o {name}).
+(The petition|My plaint|This suit) (is against|names|accuses) {name}(, s/o {name}, as a party| and {name}|, d/o {name} of <place>).
+Details: {name_up}, {id_number}, {phone}.
+(Entry|My record|Registered as|Noted): {name_up}, {id_number}, {phone}.
+(Entry|Registered): {name_up}, {phone}, {id_number}
+(Entry|Registered): {name}, {id_number}, {phone}.
+Particulars - {name_up}, {phone}, {email}
+(Applicant|Complainant|Petitioner|Deponent|Appellant): {name}
+(Sender|From|Sent by): {name}, {address}
+(Yours truly|Sincerely|With respect|Best wishes|Regards), {name}
+(Yours truly|Sincerely|With thanks|Warm regards|Thanks), {name} {phone}
+(Yours|Obediently), {name} <place>, <date>
+Ask (Mr.|Ms.|Dr.) {name} (at|on) {phone} (about the survey|for the key).
+(Tell|Inform|Remind) {name} (that|when) the (bench|meeting|survey) (sits|is) on <date>.
+(Dr.|Advocate|Inspector|Constable) {name} (treated|met|stopped) me (and gave the number|, reach him on) {phone}.
+मैं {name_hi} (हूँ|लिख रहा हूँ|लिख रही हूँ), मेरा मोबाइल {phone} है।
+(नंबर|फ़ोन नंबर|मेरा नंबर) {phone} (है|नोट करें)(।|, इसी पर बात करें।)
+(नंबर|फ़ोन नंबर|मेरा नंबर) {phone_hi} (है|नोट करें)।
+मेरा नाम {name_hi} (है|लिखें) और (फ़ोन|नंबर) {phone} है।
+मैं {name_hi} (बोल रही हूँ|बोल रहा हूँ|यहाँ का किरायेदार हूँ), {phone_hi} पर संपर्क करें।
+नाम: {name_hi}, फ़ोन: {phone}
+मेरा नाम {name_hi} (है।|है और मैं <place_hi> में रहता हूँ।|है और फ़ोन {phone_hi} है।)
+(श्री|श्रीमती|सुश्री|डॉ.) {name_hi} (ने <sum> लौटाने का वादा किया|ने काग़ज़ छिपा लिए|मेरे मकान मालिक हैं|को गवाही देनी है)।
+(श्री|श्रीमती) {name_hi} के (आधार|कार्ड|पासपोर्ट) का नंबर {id_number} (है|लिखा गया)।
+(श्री|श्रीमती) {name_hi} के (आधार|कार्ड) का नंबर {id_hi} (है|बताया गया)।
+मेरा (आधार|कार्ड) नंबर {id_hi} है।
+मेरे (कार्ड|पर्चे|आवेदन) पर {id_number} (छपा है|दर्ज है)(।|, क्या यह ठीक है?)
+{id_number} मेरे (कार्ड|लाइसेंस) का नंबर है।
+हमारा (घर|मकान) {address_hi} (में है|पर है)।
+मेरा (वर्तमान|स्थायी) पता {address_hi} है।
+(चिट्ठी|समन|पत्र) {address_hi} (पर आया था|पर डाल दीजिए|भेजा गया)।
+(सूचना|पर्ची) {email} पर (भेजिए|डाल दें)।
+(ईमेल|मेल) {email} (है|पर करें)।
+(आवेदक|गवाह|भेजने वाला|प्रेषक|प्रार्थी): {name_hi}, {address_hi}
+(आवेदक|वादी|प्रतिवादी|प्रेषक|प्रार्थी): {name_hi}
+(श्री|श्रीमती) {name_hi} (का|की) (पहचान पत्र|लाइसेंस|कार्ड) (क्रमांक|नंबर) {id_number} (है|दर्ज हुआ)।
+(श्री|श्रीमती) {name_hi} (का|की) (पहचान पत्र|कार्ड) (क्रमांक|संख्या) {id_hi} (है|दर्ज हुआ)।
+(आपका|सधन्यवाद|भवदीय|भवदीया|निवेदक|आपकी), {name_hi}
+{name_hi} के बेटे {name_hi} ने (दस्तख़त किए|आवेदन दिया)।
+ನಾನು {name_kn} (ಮಾತನಾಡುತ್ತಿದ್ದೇನೆ|ಬರೆಯುತ್ತಿದ್ದೇನೆ), {phone} ಸಂಖ್ಯೆಯಲ್ಲಿ ಸಿಗುತ್ತೇನೆ.
+ನಾನು {name_kn}, (ಮೊಬೈಲ್|ದೂರವಾಣಿ) {phone_kn}.
+ಹೆಸರು: {name_kn}, ಫೋನ್: {phone_kn}
+ನನ್ನ ಹೆಸರು {name_kn} (ಮತ್ತು ನಾನು <place_kn> ನಿವಾಸಿ|, ಫೋನ್ {phone}).
+(ಶ್ರೀ|ಶ್ರೀಮತಿ|ಡಾ.) {name_kn} (ಅವರು <sum> ವಾಪಸ್ ಕೊಡಲಿಲ್ಲ|ಅವರೇ ಮನೆಯ ಮಾಲೀಕರು|ಸಾಕ್ಷಿ ಹೇಳಬೇಕು).
+(ಶ್ರೀ|ಶ್ರೀಮತಿ) {name_kn} ಅವರ (ಆಧಾರ್|ಕಾರ್ಡ್) ಸಂಖ್ಯೆ {id_number} (ಆಗಿದೆ|).
+ನನ್ನ (ಕಾರ್ಡ್|ಚೀಟಿ) ಮೇಲೆ {id_number} (ಎಂದು ಇದೆ|ಮುದ್ರಿತವಾಗಿದೆ).
+{id_number} ನನ್ನ (ಆಧಾರ್|ಪರವಾನಗಿ) ಸಂಖ್ಯೆ.
+ನಮ್ಮ (ಮನೆ|ವಾಸ) {address_kn} (ದಲ್ಲಿದೆ|).
+ನನ್ನ (ಖಾಯಂ|ಈಗಿನ) ವಿಳಾಸ: {address_kn}
+(ಪತ್ರವನ್ನು|ಸಮನ್ಸ್ ಅನ್ನು) {address_kn} ಗೆ (ಕಳಿಸಿ|ಹಾಕಿ).
+(ಉತ್ತರವನ್ನು|ಪ್ರತಿಯನ್ನು) {email} ಗೆ (ಕಳಿಸಿ|ಹಾಕಿ).
+(ಅರ್ಜಿದಾರ|ಸಾಕ್ಷಿ|ಕಳುಹಿಸಿದವರು|ಇಂದ): {name_kn}, {address_kn}
+(ಅರ್ಜಿದಾರ|ವಾದಿ|ಪ್ರತಿವಾದಿ|ಇಂದ): {name_kn}
+(ನನ್ನ|ಅವರ) (ಸಂಖ್ಯೆ|ನಂಬರ್|ಫೋನ್ ಸಂಖ್ಯೆ) {phone} (ಬರೆದುಕೊಳ್ಳಿ|ಇದೆ|)
+(ನನ್ನ|ಅವರ) (ಸಂಖ್ಯೆ|ನಂಬರ್|ಫೋನ್ ಸಂಖ್ಯೆ) {phone_kn} (ಬರೆದುಕೊಳ್ಳಿ|ಇದೆ|.)
+ನಾನು {name_kn}, {phone} (ಗೆ ಫೋನ್ ಮಾಡಿ|ನಲ್ಲಿ ಮಾತನಾಡಿ).
+ನಾನು {name_kn}, {phone_kn} (ಗೆ ಫೋನ್ ಮಾಡಿ|ನಲ್ಲಿ ಮಾತನಾಡಿ).
+(ಶ್ರೀ|ಶ್ರೀಮತಿ) {name_kn} ಅವರ (ಗುರುತಿನ ಚೀಟಿ|ಪರವಾನಗಿ) (ಸಂಖ್ಯೆ|ನಂ.) {id_number}.
+(ಇಂತಿ|ಧನ್ಯವಾದಗಳು|ವಂದನೆಗಳು|ವಿಶ್ವಾಸಿ), {name_kn}
+(ತಮ್ಮ|ನಿಮ್ಮ|ಇಂತಿ) (ವಿಶ್ವಾಸಿ|ವಿಧೇಯ|ಹಿತೈಷಿ|ಸೇವಕ), {name_kn}
+(main|hum) {name} bol (raha|rahi) hoon, mobile {phone} hai
+mera naam {name} (hai|likhiye)(, mobile {phone}|)
+nanna hesaru {name}(, mobile {phone}|, number {phone}|)
+mera shubh naam {name} hai, phone {phone} par (karein|kijiye)
+ghar ka pata {address} hai
+(mere|hamare) card par {id_number} (chhapa|darj) hai
+(mere|hamare) card par {id_low} (chhapa|darj) hai
+(copy|parchi) {email} par (bhejein|daal dein)
+naanu {name} maatadtiddene, mobile {phone}
+namma mane vilasa {address}
+nanna card mele {id_number} endide
+nanna card mele {id_low} endide
+uttaravannu {email} ge (kalisi|haaki)
+(I am|My name is|Myself) {name}, <words>.
+(Mr.|Mrs.|Ms.|Dr.|Shri|Smt.|Sri) {name} <words>.
+(Mr.|Shri|Smt.) {name} <words>, <words>.
+{name}, <words>, {name}.
+<words> {name} of {address} <words>.
+<words> {phone} <words>.
+<words> {phone}, <words>
+(my|his|her|the) (no|number|mobile) is {phone} <words>
+<words> {phone_words} <words>
+<words> {email} <words>
+<words> {email}, {email} <words>
+<words> {id_number} <words>.
+<words> {id_low}, <words>?
+<words> (to|at|from|in) {address} <words>.
+<words> (to|at|from|in) {address_low} <words>.
+(ghar|vilasa|pata|address) {address_low}
+<words>: {address}
+<words>: {name}
+<words>: {name}, {id_number}, {phone}
+(श्री|श्रीमती|सुश्री|डॉ.) {name_hi} <words_hi>।
+मैं {name_hi} <words_hi>, {phone} <words_hi>।
+<words_hi>: {name_hi}, {address_hi}
+<words_hi> {address_hi} <words_hi>।
+<words_hi> {phone} <words_hi>।
+<words_hi> {phone_hi} <words_hi>।
+<words_hi> {id_number} <words_hi>।
+<words_hi> {id_low} <words_hi>।
+<words_hi> {id_hi} <words_hi>।
+<words_hi> {email} <words_hi>।
+(ಶ್ರೀ|ಶ್ರೀಮತಿ|ಡಾ.) {name_kn} <words_kn>.
+(ಶ್ರೀ|ಶ್ರೀಮತಿ) {name_kn} <words_kn> <sum> <words_kn>.
+ನಾನು {name_kn}, {phone} <words_kn>.
+<words_kn>: {name_kn}, {address_kn}
+<words_kn> {address_kn} <words_kn>.
+<words_kn> {address_kn}.
+<words_kn> {phone} <words_kn>.
+<words_kn> {phone_kn} <words_kn>.
+<words_kn> {id_number} <words_kn>.
+<words_kn> {email} <words_kn>.
 """
 
 PLAIN = """
-The meter number <number10> on the bill is wrong, who corrects it for the <topic>?
-The meter number <number10> on the bill is not ours, who corrects it?
-The meter number <number10> on the bill is smudged, who corrects it for the <topic>?
-Consignment <number13> is marked lost, can I claim for the <topic>?
-Consignment <number13s> is shown as delivered, can I claim for the <topic>?
-Consignment <number13> is still in transit, can I claim for the <topic>?
-My payment reference <utr> shows success but the bank in <place> denies it.
-My payment reference <utr> shows success but the shop in <place> wants it twice.
-The toll-free desk <tollfree> only plays music, where else can I ask about the <topic>?
-My file is case <case> and the hearing was adjourned again, is that allowed?
-The matter was registered as <case> and was listed for final hearing.
-The tribunal at <place> hears appeals of <topic> on three evenings each month.
-Under section <section> of the <act>, a tenant in possession may appeal within 90 days.
-Does the <act>, 1987 cover a <topic> like this?
-The <act> does not apply to bonds made outside the district.
-Please explain section <section> of the <act> in plain language.
-Messrs <org> sold the item and now blames me.
-<org> leased the item and now blames the courier.
-<org> repaired the item and now blames me.
-Can the office in <place> refuse to take my complaint about the <topic>?
-What may I do about my <topic> in <place>? Who decides a dispute over a <topic>?
-The complainant submits that the <topic> arose at <place> on <date> and has worsened since.
-An appeal against the order lies to the district bench within 45 days of <date>.
-I deposited <sum> on <date> and still have no receipt for the <topic>.
-They want 18% interest each year on the <topic>, is there any limit?
-Is <sum> a fair sum to pay in the <topic>?
-You can ask the legal aid counter for a lawyer when your yearly income is below <sum>.
-The surety remains bound until the whole of the principal sum has been released.
-The respondent denies any duty to return it. The registrar shall note the petition in the day book.
-The committee considered the statement of the neighbour and found it consistent with the map.
-Both parties shall repair the common courtyard at shared expense. Possession alone does not prove title.
-The keeper of the seal shall issue a certified copy on payment of the usual fee.
-Keep the signed agreement, the photographs and every letter that came by registered post.
-To: The Officer in Charge, <place>
-Before the tribunal at <place>
-Subject: <topic>, demand dated <date>
-Reply to the notice dated <date>
-Registrar, <place>
-IN THE TRIBUNAL AT <place>
-<place> Legal Clinic | File <case>
-Copy kept by the registry of <place>
-Certified copy, not for resale
-Lease deed, schedule B
-Statement of the applicant
-Legal notice about a <topic>
-Meter readings 366 383 397
---- Page 3 ---
-- 14 -
-Page 5 of 9
-[12]
-Pg. 7
-2 | P a g e
-<case>
-<case>  Page 6
+(Electricity|Water) meter <number10> (ran backwards|was replaced|shows zero) (last month|since the <topic> began|on <date>).
+Who (reads|tests|replaces) meter no. <number10> (in <place>|after a <topic>)?
+(Invoice|Bill|Account|Ticket|Token|Folio) (no.|number) <number10> (was charged twice|is overdue|does not open|was closed).
+(Courier|Parcel|Consignment|Tracking) (no.|number) <number13> (never moved|shows returned|was sent to <place>).
+(The courier|The post office) (says|writes) that consignment <number13s> (left <place>|went missing), (whom do I ask|is it insured)?
+Where is (parcel|consignment) <number13> (now|since <date>)?
+(UPI|Bank|Payment|Transfer) reference <utr> (failed|was reversed|shows pending) (although|while) the (agent|bank|shop) (got|kept) the money.
+(To|Copy to|For): The (<word> <word>|<word> of <word>|<word> in <word>), <place>
+The <act> (does not (extend|reach) to|covers|governs) (shops|loans|boats|those) (made|kept) (here|elsewhere).
+<place> <word> <word> | <word> <case>
+(Before|By|At) the <word> (at|of|in) <place>
+(Subject|About|Re): <words>, <word> (of|dated) <date>
+<words>, <words>
+<words>, <place>
+The <word> (of|in|for|at) <word>, <place>
+(To|For|Attn): <word> (of|in) <word>, <place>
+<word> <word>, <place>
+<words>, <place>, <date>
+<words>, <words> and <words> (are kept|must be shown|go together).
+(The|This) (toll-free|help) line <tollfree> (rings out|is always busy|plays music) (and nobody helps with a <topic>|, is there another).
+Call the (toll-free|information) desk on <tollfree> (for a <topic>|during office hours).
+(Matter|Suit|Case|File|Petition) <case> (was posted|stands|is listed|was adjourned) (to <date>|for orders|again without reason).
+My (lawyer|clerk) (filed|lost|withdrew) <case> (in <place>|before lunch).
+(In|Under) section <section> of the <act> (a lessee may object|the clerk shall answer|no fee is due) within 20 days.
+(Does|Can|Will) the <act> (apply|help) (to|in|with) a <topic>(?| in <place>?)
+(Read|Explain|Summarise) section <section> of the <act>(, 1971|) (slowly|for a layman|in two lines).
+(Section|Rule) <section> of the <act> (was repealed|binds the State|says nothing about a <topic>).
+(A <topic>|This) falls under the <act>, 1994(, section <section>|).
 <act>
-<act>  Page 6
-<act>, 1962
-See also: <act>, 1987, section <section>
-HTTP 500 Internal Server Error
-Error 503: the answer service is not available.
-Request timed out, please try again.
-upstream connect error: connection refused
-[generation failed]
-Answer in plain words and name the section you rely on.
-प्रमाणित प्रति, बिक्री के लिए नहीं
-पट्टा विलेख, अनुसूची ख
-<topic_hi> संबंधी सूचना
-<topic_hi> संबंधी सूचना
-<case>  पृष्ठ 7
-ದೃಢೀಕೃತ ಪ್ರತಿ, ಮಾರಾಟಕ್ಕಲ್ಲ
-<topic_kn> ಕುರಿತ ಸೂಚನೆ
-<topic_kn> ಕುರಿತ ಸೂಚನೆ
-ಪುಟ 7
-<org> and <org> are not on the list. Shri <org> repaired the item and now blames me.
-Who decides a dispute over a <topic> when nobody kept the deed? Which papers should I bring for the hearing on <date>?
-The owner has ignored two letters about the <topic>, what is my next step?
-A written demand should name the sum of <sum> and the date on which it fell due.
-Any person who knowingly enters a false weight commits an offence under section <section>.
-The municipal surveyor inspected the boundary and marked four stones along the northern edge.
-मामला संख्या <case> की तारीख़ फिर बढ़ गई, अब क्या होगा?
-बिल पर मीटर संख्या <number10> ग़लत है, इसे कौन सुधारेगा?
-मैंने <date> को <sum> जमा किए थे पर रसीद नहीं मिला।
-<place_hi> में <topic_hi> के बारे में मैं क्या कर सकता हूँ?
-<place_hi> का अधिकरण कम तौल के मामले महीने में तीन दिन सुनता है।
-क्या बकाया मज़दूरी के मामले में कोई नियम मेरी मदद करेगा? धारा <section> का मतलब आसान शब्दों में समझाइए।
-पड़ोसी ने साझा कुआँ पर मेरे दो पत्रों का उत्तर नहीं दिया। नोटिस का जवाब कितने दिनों में देना होता है?
-ज़मानतदार तब तक बंधा रहेगा जब तक पूरी राशि चुका न दी जाए। लिखित माँग में <sum> की राशि और देय महीना लिखा होना चाहिए।
-सेवा में: प्रभारी अधिकारी, <place_hi>
-विषय: <topic_hi>, दिनांक <date>
-अधिकरण, <place_hi>
-समिति ने चौकीदार के बयान पर विचार किया और उसे नाप के अनुरूप पाया। पंजीयक को शिकायत रजिस्टर में दर्ज करके पक्षों को सूचना देनी होगी।
-ಪ್ರಕರಣ ಸಂಖ್ಯೆ <case> ಮತ್ತೆ ಮುಂದೂಡಲಾಗಿದೆ, ಇದು ಸರಿಯೇ?
-ಬಿಲ್ಲಿನಲ್ಲಿ ಮೀಟರ್ ಸಂಖ್ಯೆ <number10> ತಪ್ಪಾಗಿದೆ, ಯಾರು ಸರಿಪಡಿಸುತ್ತಾರೆ?
-ನಾನು <date> ರಂದು <sum> ಠೇವಣಿ ಇಟ್ಟಿದ್ದೇನೆ ಆದರೆ ಉತ್ತರ ಸಿಕ್ಕಿಲ್ಲ.
-<place_kn> ನಲ್ಲಿ <topic_kn> ಬಗ್ಗೆ ನಾನು ಏನು ಮಾಡಬಹುದು?
-<place_kn> ನ್ಯಾಯಮಂಡಳಿ <topic_kn> ಪ್ರಕರಣಗಳನ್ನು ವಾರಕ್ಕೆ ಮೂರು ದಿನ ಕೇಳುತ್ತದೆ.
-ಗೆ: ಉಸ್ತುವಾರಿ ಅಧಿಕಾರಿ, <place_kn>
-ವಿಷಯ: <topic_kn>, ದಿನಾಂಕ <date>
-ನ್ಯಾಯಮಂಡಳಿ, <place_kn>
-ಕಲಂ <section> ಪ್ರಕಾರ ಬಾಡಿಗೆದಾರರು 60 ದಿನಗಳಲ್ಲಿ ಅರ್ಜಿ ಸಲ್ಲಿಸಬಹುದು. ಜಾಮೀನುದಾರರು ಗೈರುಹಾಜರಾದರೆ ಪ್ರಕರಣವನ್ನು ಮುಂದುವರಿಸಬಹುದು.
-ನೆರೆಯವರು ದೋಣಿ ಅಪಘಾತ ಕುರಿತ ನನ್ನ ಎರಡು ಪತ್ರಗಳಿಗೆ ಉತ್ತರಿಸಿಲ್ಲ. ವಿಚಾರಣೆಗೆ ಯಾವ ದಾಖಲೆಗಳನ್ನು ತರಬೇಕು ಎಂದು ತಿಳಿಸಿ.
-मूल अनुबंध, फ़ोटो और रजिस्टर्ड डाक से आए सभी पत्र संभालकर रखें।
-नाप के लिए कौन से काग़ज़ साथ लाने होंगे? बैठक के लिए कौन से गवाह साथ लाने होंगे?
-दूसरे पक्ष ने <topic_hi> पर मेरे तीन पत्रों का उत्तर नहीं दिया। वे <topic_hi> पर 12% ब्याज माँग रहे हैं, क्या यह सही है?
-थाने में FIR दर्ज कराने के बाद <topic_hi> का क्या होता है? PDF में दी गई रसीद <topic_hi> के लिए काफ़ी है क्या?
-शिकायतकर्ता का कहना है कि <topic_hi> <date> से चल रहा है। जानबूझकर ग़लत तौल लिखने वाला व्यक्ति अपराध करता है।
-आदेश के विरुद्ध अपील 30 दिनों के भीतर ज़िला पीठ में की जाती है। प्रतिवादी के अनुपस्थित रहने पर मामला आगे बढ़ाया जा सकता है।
-दोनों पक्ष साझा आँगन की देखभाल बराबर खर्च से करेंगे। 9% से अधिक ब्याज तभी मिलेगा जब दोनों पक्षों ने हस्ताक्षर किए हों।
-धारा <section> के अनुसार नुकसान उठाने वाला व्यक्ति 60 दिनों में आपत्ति कर सकता है। लिपिक को शिकायत रजिस्टर में दर्ज करके क्रमांकित पर्ची देनी होगी।
-रजिस्टर का रखवाला सामान्य शुल्क पर प्रमाणित प्रति देगा। क्या <place_hi> का दफ़्तर <topic_hi> की शिकायत लेने से मना कर सकता है? क्या <place_hi> का थाना मेरी शिकायत लेने से मना कर सकता है?
-ದೂರುದಾರರ ಪ್ರಕಾರ <topic_kn> ಸಮಸ್ಯೆ <date> ರಿಂದ ಮುಂದುವರಿದಿದೆ. ಅರ್ಜಿದಾರರ ಪ್ರಕಾರ <topic_kn> ಸಮಸ್ಯೆ <date> ರಿಂದ ಮುಂದುವರಿದಿದೆ.
-ಮೂಲ ಒಪ್ಪಂದ, ಚಿತ್ರಗಳು ಮತ್ತು ಎಲ್ಲ ಪತ್ರಗಳನ್ನು ಜೋಪಾನವಾಗಿ ಇಡಿ. ತಿಳಿದೂ ತಪ್ಪು ಅಳತೆ ಬರೆಯುವವರು ಅಪರಾಧ ಮಾಡುತ್ತಾರೆ.
-ಲಿಖಿತ ಬೇಡಿಕೆಯಲ್ಲಿ <sum> ಮೊತ್ತ ಮತ್ತು ತಿಂಗಳು ಇರಬೇಕು. ಪೂರ್ಣ ಮೊತ್ತ ತೀರುವವರೆಗೆ ಜಾಮೀನುದಾರರು ಬದ್ಧರಾಗಿರುತ್ತಾರೆ.
-ಆದೇಶದ ವಿರುದ್ಧ 45 ದಿನಗಳೊಳಗೆ ಜಿಲ್ಲಾ ಪೀಠಕ್ಕೆ ಮೇಲ್ಮನವಿ ಸಲ್ಲಿಸಬಹುದು. ಸಮಿತಿಯು ನೆರೆಹೊರೆಯವರ ಹೇಳಿಕೆಯನ್ನು ಪರಿಗಣಿಸಿತು.
-ಅಧಿಕಾರಿಯು ದೂರನ್ನು ನೋಂದಣಿ ಪುಸ್ತಕದಲ್ಲಿ ಬರೆದು ಪಕ್ಷಗಳಿಗೆ ತಿಳಿಸಬೇಕು. ಎರಡೂ ಪಕ್ಷಗಳು ಸಾಮಾನ್ಯ ದಾರಿಯನ್ನು ಸಮಾನ ವೆಚ್ಚದಲ್ಲಿ ನೋಡಿಕೊಳ್ಳಬೇಕು.
-ಸಾಮಾನ್ಯ ಶುಲ್ಕಕ್ಕೆ ದೃಢೀಕೃತ ಪ್ರತಿಯನ್ನು ನೀಡಲಾಗುತ್ತದೆ. 18% ಗಿಂತ ಹೆಚ್ಚಿನ ಬಡ್ಡಿಗೆ ಪೀಠದ ಅನುಮತಿ ಬೇಕು.
-ಠಾಣೆಯಲ್ಲಿ FIR ದಾಖಲಾದ ನಂತರ <topic_kn> ಏನಾಗುತ್ತದೆ? ಅಂಗಡಿಯವರು <topic_kn> ಕುರಿತ ನನ್ನ ಎರಡು ಪತ್ರಗಳಿಗೆ ಉತ್ತರಿಸಿಲ್ಲ.
-<topic_kn> ಪ್ರಕರಣದಲ್ಲಿ ಸೋತರೆ ನಾನು ದಂಡ ಕೊಡಬೇಕೇ? <topic_kn> ನೋಟಿಸಿಗೆ ಎಷ್ಟು ದಿನಗಳಲ್ಲಿ ಉತ್ತರ ಕೊಡಬೇಕು? ಕಲಂ <section> ಅರ್ಥವನ್ನು ಸರಳವಾಗಿ ವಿವರಿಸಿ.
-ಠಾಣೆಯವರು <topic_kn> ದೂರನ್ನು ತೆಗೆದುಕೊಳ್ಳದಿರಬಹುದೇ? <topic_kn> ಮೇಲೆ 9% ಬಡ್ಡಿ ಕೇಳುತ್ತಿದ್ದಾರೆ, ಇದು ಸರಿಯೇ?
-The cross-examination of the eye-witness dealt with the ill-kept and hand-written muster.
-The co-owner made a well-known and long-standing promise of non-payment relief to the sub-tenant.
-A self-declared landlord sent a half-hearted reply to the re-issued and time-barred demand.
-ಎದುರು ಪಕ್ಷದವರು <topic_kn> ಕುರಿತ ನನ್ನ ಮೂರು ಪತ್ರಗಳಿಗೆ ಉತ್ತರಿಸಿಲ್ಲ.
-ನೆರೆಯವರು <topic_kn> ಕುರಿತ ನನ್ನ ಎರಡು ಪತ್ರಗಳಿಗೆ ಉತ್ತರಿಸಿಲ್ಲ. ಎದುರು ಪಕ್ಷದವರು ಉತ್ತರಿಸಿಲ್ಲ.
-padosi ne <topic> par mere do patron ka uttar nahin diya
-<place> mein <topic> ke baare mein kahan shikayat karein?
-<place> nalli <topic> bagge naanu enu maadabahudu?
-kalam <section> artha saralavagi vivarisi
-dhara <section> ka matlab aasan shabdon mein samjhaiye
-maine <date> ko <sum> jama kiye the par raseed nahin mili
-naanu <date> randu <sum> kottiddene aadare uttara sikkilla
-agar <topic> mein haar gaye to kya kharch dena padega?
+<act>, 1971
+<act>  Page 3
+(cf.|Compare|Read with): <act>, 1968, section <section>
+(The firm|The company|M/s|Messrs|The shop|The society) <org> (overcharged me|closed its branch|will not refund <sum>|denies the <topic>).
+<org> (refuses|promised) to (repair|return|replace) the (pump|cart|stove).
+I (bought|hired|rented) it from <org> (in <place>|on <date>)(.| and have the bill.)
+(Mr.|Shri) <org> (is a shop|sells tools), (not a person|ask there).
+(Is|Was) <org> (registered|allowed) (in <place>|to lend <sum>)?
+(What|How much) (do I pay|is due) for a <topic> (in <place>|under the rules)?
+(Where|When) (can|should) (I|we) (file|report|register) a <topic> (in <place>|at night)?
+(Our|The) <topic> (started|became worse|was settled) (at|in) <place> (on <date>|last year).
+The (bench|collector|office|court) (at|in) <place> (sits|opens|decides) (twice a week|after ten|on <topic> alone).
+(The inspector|An officer|The surveyor) from <place> (measured|sealed|photographed) the (yard|field|shed).
+I (paid|deposited|lent|handed over) <sum> (on <date>|in cash) (but|and) (got no bill|lost the slip).
+(Refund|Rent|Advance|Penalty): <sum>
+(Must|May) they (charge|take|ask for) 15% (a month|per year) (on|over) a <topic>?
+<sum> (is|was) (far too much|the usual fee|what the notice asks).
+(An|The) appeal (must be filed|lies|is heard) within 75 days (of <date>|, not later).
+(Nobody|Neither side) (kept|signed|brought) the (deed|map|ledger) of the <topic>.
+(The guard|The tenant|The clerk|The debtor) (denied|admitted|repeated) (it|everything) (before the bench|in writing|on <date>).
+(Every|Each|Any) (owner|lessee|carrier) (shall|must|may) (keep|show|renew) a (register|licence|receipt) (each season|on demand).
+Whoever (hides|forges|tears) a (receipt|register|boundary mark) (is liable|commits a wrong) under rule <section>.
+(The surety|A partner|The heir) (is free|stays liable|pays) (until|once|when) the (loan|last sum|claim) is (settled|repaid).
+(The registrar|The keeper|This office) (issues|stamps|stores) (a copy|the seal|each petition) for a (small|fixed) fee.
+(Could|Can) you (draft|send|show) (me|us) a (short|firm|sample) (notice|reply|complaint) about a <topic>?
+(Thank you|Thanks|Great), (that helped|now it is clear|the answer was good).
+What (papers|proof|photographs|witnesses) (are needed|do I carry|must we show) (on <date>|for the survey)?
+The (shop|bank|office) (never|has not) (opened|replied to|read) my (three|two|last) letters (on the <topic>|).
+Can the (police|ward office|counter) (in|at) <place> (turn me away|refuse a report)(?| about a <topic>?)
+If the <topic> (fails|is lost), who (pays|bears) the (cost|lawyer)?
+(To|Attention|To the): (The Manager|The Collector|The Head Clerk), <place>
+(Re|Sub|Subject): (<topic>|refund of <sum>|<case>)
+(Ref|Reference|Answer to): (your letter of <date>|<case>)
+(Before|In) (the court|the bench|the forum) (of|at) <place>
+IN THE COURT OF THE COLLECTOR, <place>
+<place> (Help Desk|Legal Aid|Law Office|Citizens' Counter) | (Ref|Matter) <case>
+(True copy|Office copy|Draft|Not valid for sale)
+(Rent|Sale|Partition) (agreement|deed), (annexure|schedule|part) (A|C|II)
+(Deposition|Affidavit|Sworn statement) (of the tenant|of a witness)
+(Notice|Memo|Letter) (concerning|on) a <topic>
+(Weights|Counts|Totals|Readings) 214 229 251
+--- 7 ---
+- 3 -
+(Page|Pg.|Sheet) 4 (of 11|)
+[8]
+(iii)
+<case>
+<case>  Page 9
+<place>
+<date>
+(HTTP|Status|Error) 502(: bad gateway| Service Unavailable|)
+(Sorry|Oops), the (server|assistant|service) (stopped|failed|is busy), (retry|try again).
+[no answer]
+connection lost
+(Answer|Reply) (briefly|in simple words|politely) and (cite|name) (the rule|a section).
+मीटर नंबर <number10> (बंद है|बदल दिया गया), (शिकायत कहाँ करूँ|कौन देखेगा)?
+(बिल|खाता) नंबर <number10> (ग़लत है|बंद हो गया)।
+(मुक़दमा|फ़ाइल) <case> (कब सुना जाएगा|फिर टल गया)?
+(पार्सल|खेप) <number13> (कहाँ है|नहीं पहुँची)?
+(मैंने|हमने) <sum> (चुका दिए|दिए थे) (पर बिल नहीं मिला|और <date> को लौटाने थे)।
+<place_hi> (में|के) (<topic_hi> का नियम|कचहरी का समय|दफ़्तर का पता) (क्या है|बताइए)?
+<topic_hi> (कब तक चलेगा|का क्या नियम है|में किसे बुलाएँ)?
+धारा <section> (किस बारे में है|कब लागू होती है)?
+(सूचना का उत्तर|अपील) (किस तारीख़ तक|20 दिनों में) (देना है|करनी है)।
+(कर्ज़दार|गवाह|किरायेदार) (को बुलाया गया|ने मना किया|ग़ैरहाज़िर रहा)।
+(पंजीयक|लिपिक|अधिकारी) हर (काग़ज़|आवेदन) पर (मुहर लगाएगा|क्रमांक लिखेगा)।
+जो (मुहर|रसीद|नाप) छिपाए (वह दोषी है|उस पर जुर्माना होगा)।
+(थाना|दफ़्तर) <topic_hi> की (रपट|अर्ज़ी) (क्यों नहीं लेता|लेगा या नहीं)?
+(सेवा में|प्रति|समक्ष): <words_hi>, <place_hi>
+(प्रति|सेवा में): <words_hi>, <place_hi>
+(विषय|संदर्भ): <words_hi>, <words_hi>
+<words_hi> <words_hi>, <words_hi> <words_hi>।
+(विषय|बारे में): <words_hi>, दिनांक <date>
+<words_hi>, <words_hi>
+<words_hi>, <words_hi> और <words_hi> (रखें|लाएँ|दिखाइए|दे दें)।
+<words_hi>, <words_hi> (या|और) <words_hi> (चाहिए|कहाँ मिलेगा)?
+<words_hi>, <place_hi>
+<words_hi> (पर|में) <sum> (और|या) <words_hi>।
+(सेवा में|प्रति): (प्रबंधक|मुख्य लिपिक|ज़िलाधिकारी), <place_hi>
+(बारे में|संदर्भ): (<topic_hi>|<case>)
+(सच्ची प्रति|कार्यालय प्रति|किरायानामा, भाग ग)
+(पन्ना|पृष्ठ) 5
+<topic_hi> (पर पत्र|के बारे में नोटिस)
+<place_hi>
+(समझ में आ गया|धन्यवाद), (अब क्या करना है|उत्तर ठीक था)।
+(हम|वे) (बराबर ख़र्च|आधा किराया) देंगे और (नाली|दीवार) (साफ़ रखेंगे|बनाएँगे)।
+क्या वे <topic_hi> पर 15% (ब्याज|जुर्माना) (ले सकते हैं|माँग सकते हैं)?
+ಮೀಟರ್ ಸಂಖ್ಯೆ <number10> (ನಿಂತಿದೆ|ಬದಲಾಗಿದೆ), (ಯಾರನ್ನು ಕೇಳಲಿ|ಏನು ಮಾಡಲಿ)?
+(ಬಿಲ್|ಖಾತೆ) ಸಂಖ್ಯೆ <number10> (ತಪ್ಪು|ಮುಚ್ಚಿದೆ).
+(ಮೊಕದ್ದಮೆ|ಕಡತ) <case> (ಯಾವಾಗ ಬರುತ್ತದೆ|ಮತ್ತೆ ತಡವಾಯಿತು)?
+(ನಮ್ಮ|ಅವರ|ನಿಮ್ಮ) <words_kn> ಪ್ರಕಾರ <words_kn>.
+(ನಾನು|ನಾವು) <sum> (ಪಾವತಿಸಿದೆವು|ಕೊಟ್ಟೆ) (ಆದರೆ ಬಿಲ್ ಬಂದಿಲ್ಲ|, <date> ರಂದು).
+<place_kn> (ದಲ್ಲಿ|ಊರಿನಲ್ಲಿ) <topic_kn> (ನಿಯಮ ಏನು|ಯಾರ ಕೆಲಸ)?
+<topic_kn> (ಎಷ್ಟು ದಿನ|ಯಾರಿಗೆ ಹೇಳಬೇಕು|ವಿಷಯದಲ್ಲಿ ಏನು ದಾರಿ)?
+ಕಲಂ <section> (ಏನು ಹೇಳುತ್ತದೆ|ಯಾವಾಗ ಅನ್ವಯ)?
+(ಸಾಲಗಾರ|ಸಾಕ್ಷಿ|ಬಾಡಿಗೆದಾರ) (ಬರಲಿಲ್ಲ|ಒಪ್ಪಲಿಲ್ಲ|ಹಣ ಕಟ್ಟಿದ).
+(ಗುಮಾಸ್ತ|ನೋಂದಣಾಧಿಕಾರಿ) ಪ್ರತಿ (ಅರ್ಜಿಗೆ|ಪತ್ರಕ್ಕೆ) (ಮುದ್ರೆ ಹಾಕಬೇಕು|ಸಂಖ್ಯೆ ಕೊಡಬೇಕು).
+ಯಾರು (ರಸೀದಿ|ಮುದ್ರೆ) ಮುಚ್ಚಿಡುತ್ತಾರೋ (ಅವರಿಗೆ ದಂಡ|ಅವರು ತಪ್ಪಿತಸ್ಥರು).
+(ಗೆ|ರವರಿಗೆ): <words_kn>, <place_kn>
+<words_kn> ನಾನು <words_kn>?
+<words_kn> ನಾನು <words_kn> ಬೇಕೇ?
+ನಾನು <words_kn>, <words_kn>.
+<words_kn> <words_kn>, <words_kn> <words_kn>.
+(ವಿಷಯ|ಬಗ್ಗೆ): <words_kn>, ದಿನಾಂಕ <date>
+<words_kn>, <words_kn>
+<words_kn>, <words_kn> ಮತ್ತು <words_kn> (ಇಡಿ|ತನ್ನಿ|ತೋರಿಸಿ|ಕೊಡಿ).
+<words_kn>, <words_kn> (ಅಥವಾ|ಮತ್ತು) <words_kn> (ಬೇಕು|ಎಲ್ಲಿ ಸಿಗುತ್ತದೆ)?
+<words_kn>, <place_kn>
+<words_kn> <sum> (ಮತ್ತು|ಅಥವಾ) <words_kn>.
+(ಗೆ|ರವರಿಗೆ): (ವ್ಯವಸ್ಥಾಪಕರು|ಮುಖ್ಯ ಗುಮಾಸ್ತರು), <place_kn>
+(ವಿಷಯ|ಉಲ್ಲೇಖ): (<topic_kn>|<case>)
+(ನಿಜ ಪ್ರತಿ|ಕಚೇರಿ ಪ್ರತಿ|ಬಾಡಿಗೆ ಕರಾರು, ಭಾಗ ಗ)
+(ಪುಟ|ಹಾಳೆ) 6
+<topic_kn> (ಬಗ್ಗೆ ಪತ್ರ|ಕುರಿತು ಮನವಿ)
+<place_kn>
+(ತಿಳಿಯಿತು|ಧನ್ಯವಾದ), (ಮುಂದೇನು|ಉತ್ತರ ಸರಿ ಇದೆ).
+(ಮೇಲ್ಮನವಿ|ಉತ್ತರ) 20 (ದಿನದಲ್ಲಿ|ದಿನಗಳ ಒಳಗೆ) (ಕೊಡಿ|ಆಗಬೇಕು).
+(ಅವರು|ಅಂಗಡಿ) <topic_kn> ಮೇಲೆ 15% (ಬಡ್ಡಿ|ದಂಡ) (ಹಾಕಬಹುದೇ|ಕೇಳಬಹುದೇ)?
+<place> (mein|ka) <topic> (ka kya niyam hai|kaun dekhega)?
+(maine|humne) <date> ko <sum> (chukaye|diye) par bill nahin aaya
+dhara <section> (kab lagti hai|kya kehti hai)?
+(police|daftar) <topic> ki (rapat|arzi) kyon nahin leta?
+(dhanyavaad|theek hai), (samajh gaya|ab kya karna hai)
+<place> (dalli|oorinalli) <topic> (niyama enu|yaara kelasa)?
+(naanu|naavu) <date> randu <sum> (kattidde|pavatisidevu) aadare bill bandilla
+kalam <section> (enu heluttade|yavaga anvaya)?
+(dhanyavada|sari), (tiliyitu|mundenu)
+The (part-time|short-lived|so-called) (co-tenant|sub-lessee|vice-chair) (re-opened|over-valued) a (one-sided|hand-drawn|year-old) (map|deed).
+(Fast|Old|Blue|Grey) (carts|boats|looms) (need|carry) (no|a yearly) (permit|licence|tax) (in the lake zone|near the mill|on feast days).
+The (Harvest|Spring|Monsoon|Temple) (Committee|Board|Council|Festival) (meets|sits|ended) (on Mondays|in May|late).
+(On|By|Since) (Monday|Friday|January|October) (the|our) (Water Board|Ward Office|District Bench|High Court|Supreme Court) (ruled|closed|wrote).
+"""
+
+# Words of such letters, besides those of the prose.
+VOCABULARY = """
+act adjourned agent agreement allowed appeal applicant arrears authority award bench bicycle bond boundary cart case certified cheque claim clause clerk clinic commerce complaint consignment
+contract copy counsel county court covers deed demand deposit desk dispute district document duty evidence evening farm fee ferry file form free hearing home identity instalment instrument interest
+joint kettle labour lake landlord larceny lawyer lease legal letter liability licence lien loan maintenance map market matter meter mill minutes mortgage municipal night notice oath objection offence officer online
+order orchard original owner panel parcel partition party pass payment penalty permit petition petitioner plaintiff pledge police pond possession power principal proceeding proof property pump purse
+record refund register registry relief remedy rent reply respondent river road room sale salt schedule scheme seal section seed session shop signature society staircase stamp statement station step sum summons surety surveyor tank
+tenancy tenant territory title toll tool town trade transit trespass tribunal trust union valley village wage wall warranty watch water weight well will witness workshop writ yard
+अदालत अधिकरण अधिकारी अनुबंध अनुसूची अपील अपराध अर्ज़ी आदेश आवेदन इक़रार ईमान उत्तर उधार कचहरी कर्ज़ क़ानून क़ब्ज़ा काग़ज़ किराया किस्त कुआँ खाता खेत गवाह गारंटी गिरवी घोषणा चालान चुनौती चेक चौकीदार जमा जमानत ज़मीन जवाब जाँच जुर्माना झगड़ा ठेका डाक
+तारीख़ तौल दंड दफ़्तर दलील दस्तावेज़ दावा दिनांक दीवार देय धारा नक़्शा नाप निपटारा नियम निर्णय नोटिस न्याय पंचायत पंजी पंजीयक पक्ष पट्टा पड़ोसी पता पर्ची पहचान पार्सल पीठ पुलिस प्रकरण प्रति प्रतिवादी प्रभारी प्रमाण प्रमाणित बंटवारा बकाया बयान बिक्री बिल बीज बैठक ब्याज भरण भुगतान
+मकान मज़दूरी माँग मामला माप मार्ग मालिक मीटर मुआवज़ा मुक़दमा मुहर मूल यात्रा रकम रजिस्टर रसीद राशि रोक लिखित लिपिक लेखा वकील वसूली वादी विभाग विरोध विलेख विवाद विषय व्यापारी शपथ शर्त शाखा शिकायत शुल्क संपत्ति संबंधी समिति समझौता साक्षी साझा साइकिल सीमा सुनवाई सूचना सेवा स्वामी हक़ हस्ताक्षर हानि
+ಅಂಗಡಿ ಅಂಚೆ ಅಧಿಕಾರಿ ಅನುಸೂಚಿ ಅಪರಾಧ ಅಪಘಾತ ಅರ್ಜಿ ಅರ್ಥ ಅಳತೆ ಆಕ್ಷೇಪ ಆದೇಶ ಆಸ್ತಿ ಇಲಾಖೆ ಉತ್ತರ ಉಸ್ತುವಾರಿ ಒಪ್ಪಂದ ಕಂತು ಕಚೇರಿ ಕಡತ ಕಡಿಮೆ ಕರಾರು ಕಲಂ ಕಾನೂನು ಕಾಯ್ದೆ ಕಾವಲು ಕೂಲಿ ಖರೀದಿ ಖಾತೆ ಗಡಿ ಗುರುತು ಗೋಡೆ ಘೋಷಣೆ ಚರಾಸ್ತಿ ಚೀಟಿ ಚೆಕ್ ಜಗಳ ಜಮೀನು ಜಾಮೀನು ಜೀವನಾಂಶ ಠಾಣೆ ಠೇವಣಿ ತಕರಾರು ತನಿಖೆ ತೀರ್ಪು ತೂಕ ತೆರಿಗೆ
+ದಂಡ ದರ ದಾಖಲೆ ದಾರಿ ದಾವೆ ದಿನಾಂಕ ದೂರು ದೋಣಿ ನಕ್ಷೆ ನಷ್ಟ ನಿಯಮ ನೋಂದಣಿ ನೋಟಿಸು ನ್ಯಾಯಮಂಡಳಿ ನ್ಯಾಯಾಲಯ ಪಂಚಾಯತಿ ಪಕ್ಷ ಪಟ್ಟಾ ಪಂಪ್ ಪಾರ್ಸೆಲ್ ಪೀಠ ಪಾವತಿ ಪುರಾವೆ ಪೊಲೀಸ್ ಪ್ರಕರಣ ಪ್ರತಿ ಪ್ರತಿವಾದಿ ಪ್ರಮಾಣ ಬಡ್ಡಿ ಬಾಕಿ ಬಾಡಿಗೆ ಬಾವಿ ಬಿತ್ತನೆ ಬಿಲ್ ಬೇಡಿಕೆ ಭಾಗ ಮಂಡಳಿ ಮಾರಾಟ ಮಾಲೀಕ ಮುದ್ರೆ ಮೂಲ ಮೇಲ್ಮನವಿ ಮೊತ್ತ
+ಯೋಜನೆ ರಸೀದಿ ವಕೀಲ ವಾದಿ ವಿಚಾರಣೆ ವಿಭಾಗ ವಿರೋಧ ವಿಳಾಸ ವಿವಾದ ವಿಷಯ ವೆಚ್ಚ ವೇತನ ಶುಲ್ಕ ಷರತ್ತು ಸಂಖ್ಯೆ ಸಂಘ ಸಭೆ ಸಮಿತಿ ಸರದಿ ಸಹಿ ಸಾಕ್ಷಿ ಸಾಲ ಸೂಚನೆ ಸೇವೆ ಸೈಕಲ್ ಹಂಚಿಕೆ ಹಕ್ಕು ಹಣ ಹಳೆ ಹಸ್ತಾಕ್ಷರ ಹಾನಿ ಹೊಲ
 """
 
-_A = "ka ro vi sa mi te lo pa nu de ha gu ri ne su ta ji bo ke ma ya re shi dra la vo ki do".split()
-_Z = "nath ram vel kar patil giri deva rao swamy mani than bir ran pur mal das sen wala murti shwar".split()
-_HI = "का रो वि सा मि ते लो पा नु दे हा गु रि ने सु ता जि के मा या".split()
-_HI_Z = "नाथ राम कर गिरि देव राव मल दास सेन वाले पति नूरु".split()
-_KN = "ಕಾ ರೊ ವಿ ಸಾ ಮಿ ತೆ ಲೋ ಪಾ ನು ದೇ ಹಾ ಗು ರಿ ನೇ ಸು ತಾ ಜಿ ಕೆ ಮಾ".split()
-_KN_Z = "ನಾಥ್ ರಾಮ್ ಕರ್ ಗಿರಿ ದೇವ್ ರಾವ್ ಮಲ್ ದಾಸ್ ಸೇನ್ ಪತಿ ನೂರು".split()
-_PLACES = "Kettanur Nirakote Palékudi Varnapet Dorāghat Solimangal Ramsetu_Bandar Tarapur Belmandi Sunagar".split()
-_STREETS = "Granary Lane|Mill Road|Ferry Ghat Road|Tank Street|Temple Street|Station Road|Market Lane".split("|")
-_ACTS = "Lakeshore Tenancy Act|Parcel Carriage Act|Market Weights Act|Seed Loan Relief Act|Workshop Wages Act|Home Appliances Warranty Act|Public Registers Disclosure Act".split("|")
-_ACT_WORDS = "Grain Storage Fair Bargain Street Vendors Night Watch Hill Roads Ferry Passengers Village Ponds Boundary Walls Surety Bonds Free Counsel Copper Kettle Lake View River Silver Lantern Online Trespass Lost Goods Larceny Threats Affray Partition Orchards Apprentices Protection Honoured Cheques Household Maintenance Disclosure Registers Relief Wages Workshop Water Bridges Schools Forest Salt Cotton Labour Tools Rents Debts Wills Trusts Harbour Mines Canal Cattle Poultry Dairy Market Weights Measures Carriage Pitch Warranty".split()
-_ORGS = "Blue Harbour Cycles|Lantern Stores|Green Valley Traders|Sunrise Parcel Service|Old Mill Works".split("|")
-_TOPICS = "tenancy deposit|stolen bicycle|late parcel|seed loan|shared well|returned cheque|wage arrears|boundary wall|broken pump".split("|")
+_A = "ka ro vi sa mi te lo pa nu de ha gu ri ne su ta ji bo ke ma ya re shi dra la vo ki do an ar ba che jo um el pra ira o gan vee".split()
+_Z = "nath ram vel kar patil giri deva rao swamy mani than bir ran pur mal das sen wala murti shwar ti kumari ya ndra pal singh devi yan esh na ra ppa amma gowda iah".split()
+_HI = "का रो वि सा मि ते लो पा नु दे हा गु रि ने सु ता जि के मा या अ उ प्र शि च ल".split()
+_HI_Z = "नाथ राम कर गिरि देव राव मल दास सेन वाले पति सिंह ती देवी लाल वी यादव रानी ल शा".split()
+_KN = "ಕಾ ರೊ ವಿ ಸಾ ಮಿ ತೆ ಲೋ ಪಾ ನು ದೇ ಹಾ ಗು ರಿ ನೇ ಸು ತಾ ಜಿ ಕೆ ಮಾ ಅ ಉ ಪ್ರ ಶಿ ಚ ಲ".split()
+_KN_Z = "ನಾಥ್ ರಾಮ್ ಕರ್ ಗಿರಿ ದೇವ್ ರಾವ್ ಮಲ್ ದಾಸ್ ಸೇನ್ ಪತಿ ಪ್ಪ ಮ್ಮ ಗೌಡ ಯ್ಯ ದೇವಿ ಶೆಟ್ಟಿ ತಿ ಲು".split()
+_STREETS = "Church Road|Lake View Road|Nehru Street|Old Court Road|Bazaar Street|Hospital Road|Third Main Road|Weavers Street|Canal Road|College Lane|Palm Avenue|Fort Lane".split("|")
+_HOUSES = "Rose Villa|Green Park|Lotus Apartments|Sai Residency|Hill Top Flats|Shanti Niwas".split("|")
+_NEARBY = "near Clock Tower|opp. Bus Stand|behind City Hospital|near Big Banyan|opposite Ration Shop|next to Post Office".split("|")
+_ACT_WORDS = "Irrigation Rent Control Motor Vehicles Consumer Protection Evidence Transfer Property Succession Land Reforms Stamp Court Fees Arbitration Limitation Contract Goods Electricity Telegraph Cinema Factories Mines Minimum Bonus Payment Gratuity Plantation Excise Customs Police Prisons Juvenile Guardians Wards Forests Fisheries Cooperative Societies Municipal Panchayat Gas Cylinders Cold Storage Weavers Potters Bridges Tolls Lotteries Census Quarry".split()
+_ORG_WORDS = "Sapphire Himalaya Coastal Deccan Metro Royal Modern Golden National Star Evergreen Pioneer Comfort Bright Unity Eastern Galaxy Prime Sunder Navjyoti Orient Diamond Regal Trinity Copper Silver Crystal".split()
+_ORG_ENDS = "Traders|Motors|Finance|Co-operative Bank|Logistics|Couriers|Textiles|Electricals|Housing Society|Enterprises|Agencies|Mills|Stores|Bicycles|Hardware|Travels|Pvt Ltd".split("|")
+_TOPICS = "leaking roof|unpaid overtime|forged receipt|barking dog|road accident|school fee|broken lift|water bill|cancelled ticket|property tax|faulty fridge|street light|hostel deposit|crop insurance|noise at night|blocked drain|lost passbook|delayed pension".split("|")
+_TOPICS_HI = "टपकती छत|बिजली का बिल|जाली रसीद|सड़क दुर्घटना|स्कूल की फ़ीस|रुकी पेंशन|फ़सल बीमा|टूटी नाली|रद्द टिकट|ज़मीन का नाप".split("|")
+_TOPICS_KN = "ಸೋರುವ ಮಾಳಿಗೆ|ವಿದ್ಯುತ್ ಬಿಲ್|ನಕಲಿ ರಸೀದಿ|ರಸ್ತೆ ಅಪಘಾತ|ಶಾಲಾ ಶುಲ್ಕ|ತಡೆದ ಪಿಂಚಣಿ|ಬೆಳೆ ವಿಮೆ|ಒಡೆದ ಚರಂಡಿ|ಜಮೀನಿನ ಅಳತೆ".split("|")
 _NATIVE = {"hi": str.maketrans("0123456789", "०१२३४५६७८९"), "kn": str.maketrans("0123456789", "೦೧೨೩೪೫೬೭೮೯")}
 
+# Prose without personal data, by lines; a full stop, a question mark or a danda ends a sentence.
+PROSE = """
+The village council met under the old tree and heard both families before evening. Nobody objected to the new path, so the stones were moved at once.
+When the rains came late, the farmers asked the bank to wait for one more season. The manager agreed, but wanted a written promise from the whole group.
+How long may a shop keep a phone for repair? The counter gave me a slip without a date and says the part has to come from abroad.
+A person who finds a purse must hand it over at the nearest station. If the owner does not come within a year, the finder may ask for it.
+I would like to know whether a verbal promise counts. The contractor took an advance, broke the kitchen wall and left for another town.
+The rules of the hostel forbid loud music after ten, yet the warden plays the radio himself. What remedy do the students have against this?
+Our building has no lift and the old people suffer every day. Can they make the owner install one, and who would pay for it?
+The judge asked for the map, the ledger and two photographs. She then visited the field and found that the fence stood a metre too far to the west.
+Is an electronic signature as good as one in ink? The office said yes, the bank said no, and now my form has been lying there for weeks.
+Please tell me the steps in the right order. First the letter, then the reminder, then the forum, or should it be the other way round?
+The employer may not cut wages for a holiday that the law itself grants. A worker can ask the labour officer to look into the books.
+Whoever lets out a house must give a receipt for the rent when the tenant asks. An agreement for more than eleven months has to be registered.
+My daughter was refused admission because one certificate was in another language. The school wants a translation with a stamp, which costs more than the fee.
+The cow wandered into the neighbour's crop and now he has locked it in his yard. May he keep the animal until we pay for the damage?
+Under this clause the buyer carries the risk from the moment the goods leave the store. The seller must still pack them with ordinary care.
+The committee will publish the list on the board outside the hall. Objections are to be made in writing, with reasons, before the end of the week.
+It is not enough to say that something is unfair. Show what was promised, what was delivered and what the difference has cost you.
+They cut our water without any warning although the bill was settled in full. Which authority looks after such matters in a small town?
+An honest mistake in the form can be corrected without a fine. A false statement made on purpose is another thing and may be punished.
+The driver says the signal was green, the witness says it was red. The camera at the crossing belongs to a private firm that will not share the film.
+Two brothers share one well and one motor. The elder runs it at night and sends half of the cost to the younger, who has been away for years.
+Before you sign, read the last page, since the heavy conditions are often hidden there. Ask for a copy in the language that you understand best.
+No one shall be removed from a dwelling without an order. The order must name the day, the hour and the officer who carries it out.
+The insurer wants the original bills, but the hospital kept them. Can a certified duplicate be used, and is there a form for that?
+The trees along the canal belong to the department, their fruit to the villagers. This old custom was written down only last spring.
+We have been waiting since January for the result of the enquiry. Each time we go, another clerk sits there and asks us to come next month.
+He lent his cart to a cousin who sold it at the fair. The buyer acted in good faith and refuses to give it up.
+The society raised the charges twice this year without a meeting. Members who protested got no parking and were left off the notice board.
+A minor cannot be bound by such a contract, though a guardian may agree to it for his benefit. The court looks at what helps the child.
+The night train was cancelled and the counter refused to return the fare. A message on the screen said that money comes back by itself, but nothing arrived.
+Every claim should rest on papers, not on anger. Collect them, number them and keep one set at home.
+In such a case the first thing is to stay calm, and the second is to write down what happened while you still remember.
+the landlord cut the power again, can we stop paying or is that a mistake
+what happens to the deposit if the house is sold, does the new owner have to return it
+i bought a used scooter and the papers are still with the agent who does not pick up
+they promised a job abroad and took money from eleven people in our street
+THE TERMS BELOW FORM PART OF THE LEASE. ALL DUES MUST BE CLEARED BEFORE THE KEYS ARE RETURNED.
+List of papers to be produced, in order of date. Statement of accounts for the year, with remarks.
+गाँव की बैठक में तय हुआ कि नई सड़क पुराने तालाब के किनारे से जाएगी। किसी ने आपत्ति नहीं की, इसलिए काम अगले सप्ताह शुरू होगा।
+बारिश देर से हुई तो किसानों ने बैंक से समय माँगा। प्रबंधक मान गए, लेकिन लिखित वचन चाहते हैं।
+दुकानदार कहता है कि मरम्मत के बाद वापसी नहीं होती, क्या ऐसा कोई नियम है? पर्ची पर तो कुछ भी नहीं लिखा है।
+अगर किसी को रास्ते में थैला मिले तो उसे नज़दीकी चौकी में जमा करना चाहिए। साल भर बाद वह उसे माँग सकता है।
+ठेकेदार ने अग्रिम लिया, रसोई की छत तोड़ी और दूसरे शहर चला गया। मौखिक समझौता अदालत में चलेगा या नहीं?
+छात्रावास में दस बजे के बाद शोर मना है, फिर भी रोज़ रेडियो बजता है। विद्यार्थी किससे कहें?
+न्यायाधीश ने नक़्शा, बही और दो तस्वीरें मँगवाईं। फिर वे खुद खेत देखने गईं और बाड़ को टेढ़ा पाया।
+काम करने वालों की मज़दूरी छुट्टी के नाम पर नहीं काटी जा सकती। श्रम अधिकारी बही देख सकता है।
+मकान देने वाले को माँगने पर किराये का बिल देना ही होगा। ग्यारह महीने से लंबा करार पंजीकृत कराना पड़ता है।
+बेटी को स्कूल में जगह नहीं मिली क्योंकि प्रमाणपत्र दूसरी भाषा में था। अब अनुवाद पर मुहर चाहिए, जो बहुत महँगा है।
+गाय पड़ोस के खेत में चली गई और उन्होंने उसे बाँध रखा है। क्या वे नुकसान मिलने तक उसे रोक सकते हैं?
+समिति सूची को सूचना पट पर लगाएगी। आपत्तियाँ कारण सहित लिखकर सप्ताह के अंत तक देनी हैं।
+केवल यह कहना काफ़ी नहीं कि अन्याय हुआ। बताइए कि क्या वादा था, क्या मिला और कितना घाटा हुआ।
+बिना बताए पानी काट दिया गया जबकि बिल पूरा भरा था। छोटे कस्बे में ऐसी बात कौन सुनता है?
+फ़ॉर्म की भूल बिना दंड के सुधर सकती है। जानबूझकर दी गई झूठी जानकारी अलग बात है।
+चालक कहता है बत्ती हरी थी, राहगीर कहता है लाल थी। कैमरा एक निजी कंपनी का है जो फ़िल्म नहीं देती।
+दस्तख़त से पहले आख़िरी पन्ना ज़रूर पढ़ें, कठिन शर्तें अक्सर वहीं होती हैं। अपनी भाषा में नक़ल माँगें।
+बिना आदेश के किसी को घर से नहीं निकाला जा सकता। आदेश में दिन, समय और अधिकारी का पद लिखा होता है।
+बीमा वाले असली बिल चाहते हैं पर अस्पताल ने रख लिए। क्या प्रमाणित नक़ल से काम चल जाएगा?
+जनवरी से जाँच का नतीजा नहीं आया। हर बार नया बाबू बैठा मिलता है और अगले महीने बुलाता है।
+उसने अपनी बैलगाड़ी भाई को दी थी जिसने मेले में बेच डाली। ख़रीदार लौटाने को तैयार नहीं।
+सबसे पहले शांत रहिए, फिर जो हुआ उसे याद रहते लिख डालिए। काग़ज़ों पर नंबर डालकर एक सेट घर में रखिए।
+हम लोग कई साल से यहीं रहते हैं और टैक्स भी भरते हैं। अब कहते हैं कि ज़मीन सरकार की है।
+नहर के पेड़ विभाग के हैं और फल गाँव वालों के। यह पुराना रिवाज अब लिख लिया गया है।
+आपने जो बताया वह मैंने किया, मगर उन्होंने पत्र लेने से इनकार किया। अब आगे का रास्ता क्या है?
+कंपनी ने विदेश में नौकरी का लालच देकर ग्यारह लोगों से पैसे लिए। कोई रसीद नहीं दी और दफ़्तर बंद है।
+ಊರಿನ ಸಭೆಯಲ್ಲಿ ಹೊಸ ದಾರಿ ಹಳೆಯ ಕೆರೆಯ ಪಕ್ಕದಲ್ಲಿ ಹೋಗಬೇಕೆಂದು ತೀರ್ಮಾನವಾಯಿತು. ಯಾರೂ ವಿರೋಧಿಸಲಿಲ್ಲ, ಮುಂದಿನ ವಾರ ಕೆಲಸ ಶುರುವಾಗುತ್ತದೆ.
+ಮಳೆ ತಡವಾಗಿ ಬಂದಿದ್ದರಿಂದ ರೈತರು ಬ್ಯಾಂಕಿನಿಂದ ಸಮಯ ಕೇಳಿದರು. ವ್ಯವಸ್ಥಾಪಕರು ಒಪ್ಪಿದರು, ಆದರೆ ಬರಹದಲ್ಲಿ ಮಾತು ಕೊಡಬೇಕು.
+ರಿಪೇರಿ ಮಾಡಿದ ವಸ್ತುವನ್ನು ಹಿಂತಿರುಗಿಸುವುದಿಲ್ಲ ಎಂದು ಅಂಗಡಿಯವನು ಹೇಳುತ್ತಾನೆ, ಇಂಥ ನಿಯಮ ಇದೆಯೇ? ಚೀಟಿಯಲ್ಲಿ ಏನೂ ಬರೆದಿಲ್ಲ.
+ದಾರಿಯಲ್ಲಿ ಚೀಲ ಸಿಕ್ಕರೆ ಹತ್ತಿರದ ಠಾಣೆಗೆ ಒಪ್ಪಿಸಬೇಕು. ಒಂದು ವರ್ಷದ ನಂತರ ಅದನ್ನು ಕೇಳಬಹುದು.
+ಗುತ್ತಿಗೆದಾರ ಮುಂಗಡ ತೆಗೆದುಕೊಂಡು ಅಡುಗೆಮನೆಯ ಗೋಡೆ ಒಡೆದು ಬೇರೆ ಊರಿಗೆ ಹೋದ. ಬಾಯಿಮಾತಿನ ಒಪ್ಪಂದ ನ್ಯಾಯಾಲಯದಲ್ಲಿ ನಿಲ್ಲುತ್ತದೆಯೇ?
+ವಿದ್ಯಾರ್ಥಿನಿಲಯದಲ್ಲಿ ಹತ್ತು ಗಂಟೆಯ ನಂತರ ಗದ್ದಲ ಮಾಡಬಾರದು, ಆದರೂ ದಿನವೂ ಹಾಡು ಕೇಳುತ್ತದೆ. ಯಾರಿಗೆ ದೂರಬೇಕು?
+ನ್ಯಾಯಾಧೀಶರು ನಕ್ಷೆ, ಲೆಕ್ಕಪುಸ್ತಕ ಮತ್ತು ಎರಡು ಚಿತ್ರಗಳನ್ನು ತರಿಸಿದರು. ನಂತರ ಹೊಲವನ್ನು ನೋಡಿ ಬೇಲಿ ಓರೆಯಾಗಿದೆ ಎಂದರು.
+ರಜೆಯ ಹೆಸರಿನಲ್ಲಿ ಕೂಲಿ ಕಡಿತ ಮಾಡುವಂತಿಲ್ಲ. ಕಾರ್ಮಿಕ ಅಧಿಕಾರಿಗಳು ಲೆಕ್ಕ ಪರಿಶೀಲಿಸಬಹುದು.
+ಮನೆ ಬಾಡಿಗೆಗೆ ಕೊಟ್ಟವರು ಕೇಳಿದಾಗ ರಸೀದಿ ಕೊಡಲೇಬೇಕು. ಹನ್ನೊಂದು ತಿಂಗಳಿಗಿಂತ ಹೆಚ್ಚಿನ ಕರಾರು ನೋಂದಣಿಯಾಗಬೇಕು.
+ಮಗಳಿಗೆ ಶಾಲೆಯಲ್ಲಿ ಪ್ರವೇಶ ಸಿಗಲಿಲ್ಲ, ಏಕೆಂದರೆ ಪ್ರಮಾಣಪತ್ರ ಬೇರೆ ಭಾಷೆಯಲ್ಲಿತ್ತು. ಈಗ ಅನುವಾದಕ್ಕೆ ಮುದ್ರೆ ಬೇಕಂತೆ.
+ಹಸು ಪಕ್ಕದ ಹೊಲಕ್ಕೆ ನುಗ್ಗಿತು, ಅವರು ಕಟ್ಟಿಹಾಕಿದ್ದಾರೆ. ನಷ್ಟ ಕೊಡುವ ತನಕ ಇಟ್ಟುಕೊಳ್ಳಬಹುದೇ?
+ಪಟ್ಟಿಯನ್ನು ಸೂಚನಾ ಫಲಕದಲ್ಲಿ ಹಾಕಲಾಗುವುದು. ಆಕ್ಷೇಪಣೆಗಳನ್ನು ಕಾರಣ ಸಹಿತ ವಾರದ ಕೊನೆಯೊಳಗೆ ನೀಡಬೇಕು.
+ಅನ್ಯಾಯವಾಗಿದೆ ಎಂದರೆ ಸಾಲದು. ಏನು ಮಾತಾಗಿತ್ತು, ಏನು ಸಿಕ್ಕಿತು, ಎಷ್ಟು ನಷ್ಟ ಎಂದು ತೋರಿಸಿ.
+ಬಿಲ್ ಪೂರ್ತಿ ಕಟ್ಟಿದ್ದರೂ ಹೇಳದೆ ನೀರು ನಿಲ್ಲಿಸಿದರು. ಸಣ್ಣ ಪಟ್ಟಣದಲ್ಲಿ ಇದನ್ನು ಯಾರು ನೋಡುತ್ತಾರೆ?
+ತಪ್ಪಾಗಿ ತುಂಬಿದ ನಮೂನೆಯನ್ನು ದಂಡವಿಲ್ಲದೆ ತಿದ್ದಬಹುದು. ಬೇಕೆಂದೇ ಸುಳ್ಳು ಹೇಳಿದರೆ ಬೇರೆ ಮಾತು.
+ಚಾಲಕ ದೀಪ ಹಸಿರಾಗಿತ್ತು ಎನ್ನುತ್ತಾನೆ, ದಾರಿಹೋಕ ಕೆಂಪಾಗಿತ್ತು ಎನ್ನುತ್ತಾನೆ. ಕ್ಯಾಮೆರಾ ಖಾಸಗಿ ಸಂಸ್ಥೆಯದು.
+ಸಹಿ ಮಾಡುವ ಮೊದಲು ಕೊನೆಯ ಪುಟ ಓದಿ, ಕಠಿಣ ಷರತ್ತುಗಳು ಅಲ್ಲೇ ಇರುತ್ತವೆ. ನಿಮ್ಮ ಭಾಷೆಯಲ್ಲಿ ಪ್ರತಿ ಕೇಳಿ.
+ಆದೇಶವಿಲ್ಲದೆ ಯಾರನ್ನೂ ಮನೆಯಿಂದ ಹೊರಹಾಕುವಂತಿಲ್ಲ. ಆದೇಶದಲ್ಲಿ ದಿನ ಮತ್ತು ಸಮಯ ಇರಬೇಕು.
+ವಿಮೆಯವರು ಮೂಲ ಬಿಲ್ ಕೇಳುತ್ತಾರೆ, ಆಸ್ಪತ್ರೆ ಕೊಡುತ್ತಿಲ್ಲ. ನಕಲು ಪ್ರತಿ ಸಾಕೇ?
+ಜನವರಿಯಿಂದ ತನಿಖೆಯ ಫಲಿತಾಂಶ ಬಂದಿಲ್ಲ. ಪ್ರತಿ ಸಲ ಹೊಸ ಗುಮಾಸ್ತ ಕೂತಿರುತ್ತಾನೆ, ಮುಂದಿನ ತಿಂಗಳು ಬನ್ನಿ ಎನ್ನುತ್ತಾನೆ.
+ಅವನು ತನ್ನ ಗಾಡಿಯನ್ನು ತಮ್ಮನಿಗೆ ಕೊಟ್ಟ, ಅವನು ಜಾತ್ರೆಯಲ್ಲಿ ಮಾರಿದ. ಕೊಂಡವನು ವಾಪಸ್ ಕೊಡಲು ಸಿದ್ಧನಿಲ್ಲ.
+ಮೊದಲು ಸಮಾಧಾನವಾಗಿರಿ, ನಂತರ ನಡೆದದ್ದನ್ನು ನೆನಪಿರುವಾಗಲೇ ಬರೆದಿಡಿ. ಕಾಗದಗಳಿಗೆ ಅಂಕಿ ಹಾಕಿ ಒಂದು ಪ್ರತಿ ಮನೆಯಲ್ಲಿಡಿ.
+ನಾವು ಬಹಳ ವರ್ಷಗಳಿಂದ ಇಲ್ಲೇ ವಾಸವಾಗಿದ್ದೇವೆ, ತೆರಿಗೆಯನ್ನೂ ಕಟ್ಟುತ್ತೇವೆ. ಈಗ ಜಾಗ ಸರ್ಕಾರದ್ದು ಎನ್ನುತ್ತಾರೆ.
+ಕಾಲುವೆಯ ಮರಗಳು ಇಲಾಖೆಯವು, ಹಣ್ಣು ಊರಿನವರದು. ಈ ಹಳೆ ರೂಢಿಯನ್ನು ಈಗ ಬರೆದಿಡಲಾಗಿದೆ.
+ನೀವು ಹೇಳಿದಂತೆ ಮಾಡಿದೆ, ಆದರೆ ಅವರು ಪತ್ರ ತೆಗೆದುಕೊಳ್ಳಲಿಲ್ಲ. ಮುಂದಿನ ದಾರಿ ಏನು ಎಂದು ಹೇಳುವಿರಾ?
+ಕೆಲಸ ಕೊಡಿಸುವುದಾಗಿ ಹೇಳಿ ಹನ್ನೊಂದು ಜನರಿಂದ ಹಣ ಪಡೆದರು. ಕಚೇರಿ ಮುಚ್ಚಿದೆ, ಯಾರೂ ಸಿಗುತ್ತಿಲ್ಲ.
+barish der se hui to kisanon ne bank se samay manga, manager maan gaye lekin likhit vachan chahte hain
+dukandar kehta hai ki marammat ke baad wapsi nahin hoti, kya aisa koi niyam hai? parchi par kuchh nahin likha
+thekedar ne paise liye, chhat todi aur doosre shehar chala gaya. ab hum kis adalat mein jaayein?
+bina bataye pani kaat diya jabki bill poora bhara tha. chhote kasbe mein aisi baat kaun sunta hai?
+hum log kai saal se yahin rehte hain aur tax bhi bharte hain, ab kehte hain zameen sarkar ki hai
+dastakhat se pehle aakhri panna zaroor padhein, kathin shartein aksar wahin hoti hain
+beema wale asli bill chahte hain par aspatal ne rakh liye, nakal chalegi kya?
+usne apni gaadi bhai ko di thi jisne mele mein bech daali aur ab lautata nahin
+jo aapne bataya woh kiya magar unhone chitthi lene se inkar kiya, aage ka raasta kya hai?
+malik bijli kaat deta hai aur kehta hai pehle kiraya do, kya hum kiraya rok sakte hain?
+male tadavagi bandiddarinda raitaru bank ninda samaya kelidaru, aadare barahadalli maatu kodabeku
+angadiyavanu vastuvannu hintirugisuvudilla endu heluttane, intha niyama ideye? cheetiyalli enu baredilla
+guttigedara munganda tegedukondu gode odedu bere oorige hoda, eega yava nyayalayakke hogabeku?
+bill poorti kattiddaru helade neeru nillisidaru, sanna pattanadalli idannu yaru noduttare?
+naavu bahala varshagalinda ille vasavagiddeve, terigeyannu kattutteve, eega jaaga sarkaraddu ennuttare
+sahi maaduva modalu koneya puta odi, kathina sharatugalu alle iruttave
+vimeyavaru moola bill keluttare, aspatre koduttilla, nakalu prati saake?
+avanu tanna gaadiyannu tammanige kotta, avanu jaatreyalli maarida, eega kodalu siddhanilla
+neevu helidante maadide aadare avaru patra tegedukollalilla, mundina daari enu?
+maneya odeya vidyut nillisuttane, bere daari ideya antha tilisi
+"""
+
+
+#: Words of the prose: Latin letters, Devanagari, Kannada.
+_WORDS = [sorted((re.findall(p, PROSE + 2 * VOCABULARY))) for p in (r"\b[a-z]{4,}\b", r"[\u0900-\u0963]{2,}", r"[\u0c80-\u0ce3]{2,}")]
+
 
 class _Fill:
     def __init__(self, seed: int) -> None:
@@ -252,17 +508,22 @@ class _Fill:
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
+    def some(self, share: float) -> bool:
+        return self.r.random() < share
+
     def _person(self, first: list[str], last: list[str], cap: bool) -> str:
         r = self.r
         a = "".join(r.choice(first) for _ in range(r.randint(2, 3)))
-        b = r.choice(first) + (r.choice(first) if r.random() < 0.3 else "") + r.choice(last)
+        b = "".join(r.choice(first) for _ in range(r.randint(1, 2))) + r.choice(last)
         if cap:
             a, b = a.capitalize(), b.capitalize()
             kind = r.random()
-            if kind < 0.12:
+            if kind < 0.14:
                 return f"{a[0]}. {b}"
-            if kind < 0.22:
+            if kind < 0.3:
                 return f"{a} {r.choice('ABDGKLMNPRSTV')}. {b}"
+            if kind < 0.34:
+                return f"{a} {''.join(r.choice(first) for _ in range(2)).capitalize()} {b}"
         return f"{a} {b}"
 
     def name(self) -> str:
@@ -281,14 +542,24 @@ class _Fill:
         return self._person(_KN, _KN_Z, False)
 
     def phone(self) -> str:
+        """Ten digits in one or more groups, with or without the country's or the trunk's prefix."""
         r, d = self.r, self.r.choice("6789") + self.digits(9)
-        forms = (d, d, f"{d[:5]}-{d[5:]}", f"{d[:5]} {d[5:]}", f"{d[:3]} {d[3:6]} {d[6:]}", f"{d[:2]} {d[2:6]} {d[6:]}", f"+91-{d}", f"+91 {d[:5]} {d[5:]}", f"(+91) {d[:5]}.{d[5:]}", f"0{d}", f"0{d[:5]} {d[5:]}", f"0091 {d[:4]} {d[4:7]} {d[7:]}", f"+91{d}")
-        return r.choice(forms)
+        sizes = r.choice(((10,), (10,), (10,), (10,), (5, 5), (5, 5), (3, 3, 4), (4, 3, 3), (2, 4, 4), (4, 6)))
+        groups, at = [], 0
+        for n in sizes:
+            groups.append(d[at : at + n])
+            at += n
+        body = r.choice((" ", " ", "-", ".")).join(groups)
+        prefix = r.choice(("", "", "", "+91", "+91 ", "+91-", "(+91) ", "0", "0091 ", "91 ", "91-"))
+        return prefix + body
 
     def phone_words(self) -> str:
         words = "zero one two three four five six seven eight nine".split()
-        sep = self.r.choice((" ", " ", "-"))
-        return sep.join(words[int(c)] for c in self.r.choice("6789") + self.digits(9))
+        out = [words[int(c)] for c in self.r.choice("6789") + self.digits(9)]
+        if self.some(0.2):
+            n = self.r.randint(1, 8)
+            out[n : n + 2] = ["double", out[n]]
+        return self.r.choice((" ", " ", "-", ", ")).join(out)
 
     def phone_hi(self) -> str:
         return self.phone().translate(_NATIVE["hi"])
@@ -299,72 +570,101 @@ class _Fill:
     def email(self) -> str:
         r = self.r
         a, b = "".join(r.choice(_A) for _ in range(2)), r.choice(_A) + r.choice(_Z)
-        user = r.choice((f"{a}.{b}", f"{a[0]}_{b}", f"{b}+legal", f"{a}{r.randint(10, 99)}", f"{b}{a[0]}", f"{a}{b}"))
-        host = r.choice(("ferrynet.test", "lekhapost.example", "kagaz-mail.invalid", "pitch.test", "mail.orchard.example", "post.example"))
+        user = r.choice((f"{a}.{b}", f"{a[0]}_{b}", f"{b}-{a}", f"{b}+home", f"{a}{r.randint(1, 1999)}", f"{b}{a[0]}", f"{a}{b}"))
+        host = r.choice(("webmail", "inbox", "my-post", "mail.city", "letters", "office", "dak.seva", "net-mail")) + "." + r.choice(("example", "test", "invalid", "example.com", "example.org"))
         kind = r.random()
-        if kind < 0.25:
-            open_, close = r.choice(((" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] ")))
+        if kind < 0.38:
+            open_, close = r.choice(((" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", ".")))
             return user + open_ + host.replace(".", close)
         mail = f"{user}@{host}"
-        return mail.upper() if kind < 0.35 else mail.title() if kind < 0.4 else f"<{mail}>" if kind < 0.48 else mail
+        return mail.upper() if kind < 0.48 else mail.title() if kind < 0.53 else f"<{mail}>" if kind < 0.62 else mail
 
     def id_number(self) -> str:
-        r, up = self.r, lambda n: "".join(self.r.choice("ABCDEFGHJKLMNPQRSTVXYZ") for _ in range(n))
-        kind, d = r.randint(0, 5), self.digits(12)
-        if kind <= 1:
-            return r.choice((d, f"{d[:4]} {d[4:8]} {d[8:]}", f"{d[:4]}-{d[4:8]}-{d[8:]}"))
-        if kind == 2:
-            a, b, c = up(5), d[:4], up(1)
-            return r.choice((a + b + c, f"{a} {b} {c}", f"{a}-{b}-{c}"))
-        if kind == 3:
-            a = up(3)
-            return r.choice((a + d[:7], f"{a}-{d[:7]}", f"{a} {d[:7]}"))
-        a, b = r.choice(("XJ", "QX", "ZQ", "KA", "MH")), d[:2]
-        return r.choice((f"{a}{b}20{d}"[:15], f"{a}-{b} 20{d[:9]}", f"{a}{b} 20{d[:9]}")) if kind == 4 else up(1) + d[:7]
+        """Twelve digits; five letters, four digits and a letter; three and seven; two and thirteen; one and seven."""
+        r, letters = self.r, lambda n: "".join(self.r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+        sizes = r.choice((("", 4, 4, 4), ("", 4, 4, 4), (5, 4, "x"), (3, 7), (2, 2, 11), (1, 7)))
+        if sizes[0] == "":
+            groups = [self.digits(4) for _ in range(3)]
+        elif len(sizes) == 3 and sizes[2] == "x":
+            groups = [letters(5), self.digits(4), letters(1)]
+        elif len(sizes) == 3:
+            groups = [f"{letters(2)}{r.choice(('', '', '-', ' '))}{self.digits(2)}", f"{r.choice(('19', '20'))}{self.digits(9)}"]
+        else:
+            groups = [letters(sizes[0]), self.digits(sizes[1])]
+        if sizes[0] == 1:
+            return "".join(groups)
+        return r.choice(("", " ", "-")).join(groups)
 
     def id_low(self) -> str:
         return self.id_number().lower()
 
     def id_hi(self) -> str:
-        d = self.digits(12)
-        return self.r.choice((d, f"{d[:4]} {d[4:8]} {d[8:]}", f"{d[:4]}-{d[4:8]}-{d[8:]}")).translate(_NATIVE["hi"])
+        return self.r.choice(("", " ", "-")).join(self.digits(4) for _ in range(3)).translate(_NATIVE["hi"])
 
     def place(self) -> str:
         r = self.r
-        made = "".join(r.choice(_A) for _ in range(2)) + r.choice(("pur", "kote", "pet", "bandi", "ghat", "mangal", "gar", "para", "kudi", "manda"))
-        return r.choice(_PLACES).replace("_", " ") if r.random() < 0.4 else (made.replace("u", "ü", 1) if r.random() < 0.15 else made).capitalize()
+        made = "".join(r.choice(_A) for _ in range(r.randint(1, 2))) + r.choice(("pur", "kote", "pet", "halli", "ghat", "gal", "nagar", "para", "kudi", "manda", "giri", "bad", "wadi", "ganj", "pura", "ur", "bandi"))
+        if r.random() < 0.2:
+            made = made.translate({ord(c): t for c, t in zip("aue", r.choice(("āūē", "áúé", "àüè")), strict=True)})
+        return made.capitalize() + (r.choice((" Bandar", " Town", " East", " Road")) if r.random() < 0.08 else "")
 
     def address(self) -> str:
-        r, p, n, pin, street = self.r, self.place(), self.r.randint(1, 400), self.digits(6), self.r.choice(_STREETS)
-        return r.choice((
-            f"{n} {street}, {p} {pin}", f"{n} {street}, {p}", f"Flat {n % 9 + 1}{r.choice('ABC')}, Temple View Apartments, {street}, {p}", f"Plot {n}, Sector {n % 25}, {p}, PIN {pin[:3]} {pin[3:]}",
-            f"H.No. {n % 30}-{n}/{r.choice('ABC')}, near Old Well, {p} - {pin}", f"door no {n}, tank street, {p.lower()}", f"C/o {r.choice(_ORGS)}, {n} {street}, {p}", f"House No. {n}, {street}, {p} {pin}", f"P.O. Box {n}, {p} {pin}", f"No. {n}, {n % 30 + 1}th Cross, {p} {pin}",
-        ))
+        """A number or box, then house, street, landmark, place and code, some of them left out."""
+        r, p, n, street = self.r, self.place(), self.r.randint(1, 900), self.r.choice(_STREETS) if self.some(0.5) else f"{self._title()} {self.r.choice(('Road', 'Street', 'Lane', 'Cross', 'Marg', 'Nagar'))}"
+        code = self.digits(6)
+        end = r.choice(("", "", f" {code}", f" - {code}", f"-{code}", f", PIN {code[:3]} {code[3:]}", f" {code[:3]} {code[3:]}", f", Dist. {self.place()}"))
+        number = r.choice((f"{n}", f"No. {n}", f"House No. {n}", f"Door No. {n}/{n % 7}", f"H.No. {n % 40}-{n}/{r.choice('ABCD')}", f"Shed {n}", f"#{n}", f"{n}/{r.choice('ABC')}"))
+        middle = r.choice((street, street, f"{n % 30 + 1}th Cross, {street}", f"{n % 30 + 1}th Cross", r.choice(_NEARBY), f"{street}, {r.choice(_NEARBY)}", f"Ward {n % 50}"))
+        kind = r.random()
+        if kind < 0.14:
+            out = f"Flat {n % 30 + 1}{r.choice('ABC')}, {r.choice(_HOUSES)}, {street}, {p}{end}"
+        elif kind < 0.22:
+            out = f"Plot {n}, Sector {n % 40}, {p}{end}"
+        elif kind < 0.32:
+            out = f"{r.choice(('P.O. Box', 'PO Box', 'Post Box'))} {n}, {p}{end}"
+        elif kind < 0.44:
+            out = f"C/o {r.choice((self.org(), self.name()))}, {n} {street}, {p}{end}"
+        elif kind < 0.62:
+            out = f"{number} {street}, {p}{end}"
+        else:
+            out = f"{number}, {middle}, {p}{end}"
+        return out.lower() if r.random() < 0.15 else out
+
+    def address_low(self) -> str:
+        return self.address().lower()
 
     def address_hi(self) -> str:
-        r, n, p = self.r, self.r.randint(1, 400), self.place_hi()
-        return r.choice((f"{n}, पुराना कुआँ मार्ग, {p}", f"मकान नंबर {n}, गली {n % 9}, {p} {self.digits(6)}", f"मकान नंबर {n}, गली {n % 9}, {p}", f"{n}, मंदिर रोड, {p}", f"फ्लैट {n}, शांति भवन, {p} - {self.digits(6)}", self.address()))
+        r, n, p = self.r, self.r.randint(1, 900), self.place_hi()
+        way = r.choice((f"{self._words(1)} {r.choice(('मार्ग', 'गली', 'रोड', 'चौक', 'मोहल्ला'))}", f"{r.choice(_HI)}{r.choice(_HI_Z)} {r.choice(('मार्ग', 'रोड'))}", "नदी किनारा", f"गली {n % 20}"))
+        end = r.choice(("", "", f" {self.digits(6)}", f" - {self.digits(6)}"))
+        return r.choice((f"{n}, {way}, {p}{end}", f"{n}, {way}, {p}", f"मकान {n}, {way}, {p}{end}", f"मकान संख्या {n}, {way}, {p}{end}", f"फ्लैट {n}, गंगा भवन, {p}{end}", f"प्लॉट {n}, {way}, {p}{end}", self.address()))
 
     def address_kn(self) -> str:
-        r, n, p = self.r, self.r.randint(1, 400), self.place_kn()
-        return r.choice((f"{n}, ಹಳೆ ಬಾವಿ ರಸ್ತೆ, {p}", f"ಮನೆ ಸಂಖ್ಯೆ {n}, {n % 9}ನೇ ಅಡ್ಡರಸ್ತೆ, {p} {self.digits(6)}", f"ಮನೆ ಸಂಖ್ಯೆ {n}, {n % 9}ನೇ ಅಡ್ಡರಸ್ತೆ, {p}", self.address()))
+        r, n, p = self.r, self.r.randint(1, 900), self.place_kn()
+        way = r.choice((f"{self._words(2)} {r.choice(('ರಸ್ತೆ', 'ಬೀದಿ', 'ವೃತ್ತ', 'ಕೇರಿ'))}", f"{r.choice(_KN)}{r.choice(_KN_Z)} {r.choice(('ರಸ್ತೆ', 'ಬೀದಿ'))}", f"{n % 20}ನೇ ಮುಖ್ಯರಸ್ತೆ", f"{n % 20}ನೇ ತಿರುವು"))
+        end = r.choice(("", "", f" {self.digits(6)}", f" - {self.digits(6)}"))
+        return r.choice((f"{n}, {way}, {p}{end}", f"{n}, {way}, {p}", f"ಮನೆ {n}, {way}, {p}{end}", f"ಮನೆ ನಂ. {n}, {way}, {p}{end}", f"ನಿವೇಶನ {n}, {way}, {p}{end}", self.address()))
 
     def place_hi(self) -> str:
-        return self.r.choice("केट्टानूर|निराकोटे|रामसेतु बंदर|राजपुर बंदर|वर्णापेट|डोराघाट|सोलीमंगल|तारापुर".split("|")) if self.r.random() < 0.4 else self.r.choice(_HI) + self.r.choice(_HI) + self.r.choice(("पुर", "कोटे", "पेट", "घाट", "गर"))
+        r = self.r
+        return "".join(r.choice(_HI) for _ in range(r.randint(1, 2))) + r.choice(("पुर", "कोटे", "पेट", "घाट", "गर", "गंज", "वाड़ी", "बाद", "हल्ली", "नगर")) + (r.choice((" बंदर", " टाउन")) if r.random() < 0.08 else "")
 
     def place_kn(self) -> str:
-        return self.r.choice("ಕೆಟ್ಟಾನೂರು|ನಿರಾಕೋಟೆ|ರಾಮಸೇತು ಬಂದರ್|ರಾಜಪುರ ಬಂದರ್|ವರ್ಣಾಪೇಟೆ|ಡೋರಾಘಾಟ್|ಚಕೋರ್ಲಾ|ತಾರಾಪುರ".split("|")) if self.r.random() < 0.4 else self.r.choice(_KN) + self.r.choice(_KN) + self.r.choice(("ಪುರ", "ಕೋಟೆ", "ಪೇಟೆ", "ಘಾಟ್"))
+        r = self.r
+        return "".join(r.choice(_KN) for _ in range(r.randint(1, 2))) + r.choice(("ಪುರ", "ಕೋಟೆ", "ಪೇಟೆ", "ಘಾಟ್", "ಹಳ್ಳಿ", "ನಗರ", "ವಾಡಿ", "ಊರು", "ಗಿರಿ")) + (r.choice((" ಬಂದರ್", " ಪಟ್ಟಣ")) if r.random() < 0.08 else "")
 
     def sum(self) -> str:
-        n = f"{self.r.randint(1, 4)},{self.digits(2)},{self.digits(2)}0"
-        return self.r.choice((f"₹{n}", f"Rs. {n}/-", f"INR {n}"))
+        r = self.r
+        n = r.choice((f"{r.randint(100, 999)}", f"{r.randint(1, 99)},{self.digits(3)}", f"{r.randint(1, 9)},{self.digits(2)},{self.digits(3)}"))
+        return r.choice((f"₹{n}", f"Rs. {n}/-", f"Rs.{n}", f"INR {n}", f"₹{n}/-"))
 
     def date(self) -> str:
         s = self.r.choice("/-.")
-        return f"{self.r.randint(1, 28)}{s}{self.r.randint(1, 12):02d}{s}20{self.digits(2)}"
+        day, month = self.r.randint(1, 28), self.r.randint(1, 12)
+        return f"{day}{s}{month}{s}20{self.digits(2)}" if self.some(0.4) else f"{day:02d}{s}{month:02d}{s}20{self.digits(2)}"
 
     def case(self) -> str:
-        return self.r.choice(("MC-{}/20{}", "O.S. No. {}/20{}", "CC {}/20{}", "Crl.P. {}/20{}")).format(self.digits(self.r.randint(2, 4)), self.digits(2))
+        return self.r.choice(("MC-{}/20{}", "O.S. No. {}/20{}", "O.S. {}/20{}", "CC {}/20{}", "CC No. {} of 20{}", "Crl.P. {}/20{}", "W.P. {}/20{}", "MVC {}/20{}", "A-{}/20{}")).format(self.digits(self.r.randint(1, 5)), self.digits(2))
 
     def number10(self) -> str:
         return self.r.choice("6789") + self.digits(9)
@@ -374,62 +674,121 @@ class _Fill:
 
     def number13s(self) -> str:
         d = self.digits(13)
-        return f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}"
+        return self.r.choice((f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:5]} {d[5:9]} {d[9:]}"))
 
     def utr(self) -> str:
-        return "UTR" + self.digits(12)
+        return self.r.choice(("UTR", "TXN", "REF")) + self.digits(12)
 
     def tollfree(self) -> str:
-        return f"1800 {self.digits(3)} {self.digits(4)}"
+        d = self.digits(7)
+        return self.r.choice((f"1800 {d[:3]} {d[3:]}", f"1800-{d[:3]}-{d[3:]}", f"1860 {d[:3]} {d[3:]}", f"1800{d}"))
 
     def section(self) -> str:
-        return str(self.r.randint(1, 240)) + self.r.choice(("", "", "A", "B"))
+        return str(self.r.randint(1, 400)) + self.r.choice(("", "", "A", "B"))
 
     def act(self) -> str:
-        r = self.r
-        return r.choice(_ACTS) if r.random() < 0.3 else r.choice((" ", " ", " and ", " of ")).join(r.sample(_ACT_WORDS, r.randint(2, 3))) + " Act"
+        return self.r.choice((" ", " ", " and ", " of ")).join(self._title() for _ in range(self.r.randint(2, 3))) + " Act"
 
     def org(self) -> str:
         r = self.r
-        return r.choice(_ORGS) if r.random() < 0.4 else " ".join(r.sample(_ACT_WORDS, r.randint(1, 2))) + " " + r.choice(("Stores", "Society", "Traders", "Cycles", "Credit Society", "Services", "Works"))
+        return " ".join(r.choice(_ORG_WORDS) if r.random() < 0.4 else self._title() for _ in range(r.randint(1, 2))) + " " + r.choice(_ORG_ENDS)
+
+    def nonsense(self) -> list[tuple[str, str]]:
+        """A sentence of made words or of shuffled ones, so that a word isn't taken for a name because it is new."""
+        r = self.r
+        if r.random() < 0.4:
+            words = [r.choice(_WORDS[r.choice((0, 1, 1, 2, 2))]) for _ in range(1)]
+            language = next(i for i, w in enumerate(_WORDS) if words[0] in w)
+            words = self._words(language).split() + self._words(language).split()
+            return [(" ".join(words).capitalize() + r.choice((".", "?", "", "।", ", " + self._words(language))), "")]
+        first, last = r.choice(((_HI, _HI_Z), (_KN, _KN_Z), (_A, _Z)))
+        words = ["".join(r.choice(first if n else last + first) for n in range(r.randint(1, 4))) for _ in range(r.randint(4, 12))]
+        if first is _A and r.random() < 0.5:
+            words[0] = words[0].capitalize()
+        for n in range(len(words)):
+            if r.random() < 0.12:
+                words[n] = r.choice((self.section(), self.date(), self.sum(), f"{words[n]},"))
+        return [(" ".join(words) + r.choice((".", "?", "", "।")), "")]
+
+    def _title(self) -> str:
+        """A word of a heading: one of acts, any word of the prose, or a made one."""
+        r = self.r
+        kind = r.random()
+        return r.choice(_ACT_WORDS) if kind < 0.3 else r.choice(_WORDS[0]).capitalize() if kind < 0.75 else (r.choice(_A) + r.choice(_A) + r.choice(("", "t", "m", "sh"))).capitalize()
+
+    def word(self) -> str:
+        return self._title()
+
+    def _words(self, language: int) -> str:
+        return " ".join(self.r.choice(_WORDS[language]) for _ in range(self.r.randint(1, 4)))
+
+    def words(self) -> str:
+        return self._words(0) if self.some(0.5) else self._words(0).capitalize()
+
+    def words_hi(self) -> str:
+        return self._words(1)
+
+    def words_kn(self) -> str:
+        return self._words(2)
+
+    def topic(self) -> str:
+        return self.r.choice(_TOPICS) if self.some(0.5) else self._words(0)
 
     def topic_hi(self) -> str:
-        return self.r.choice("खराब पंप|देर से आया पार्सल|कम तौल|बीज का कर्ज़|साझा कुआँ|सीमा की दीवार|बकाया मज़दूरी|नाव की दुर्घटना|चोरी हुई साइकिल|लौटा हुआ चेक|किराये की जमा राशि|भरण-पोषण का दावा".split("|"))
+        return self.r.choice(_TOPICS_HI) if self.some(0.5) else self._words(1)
 
     def topic_kn(self) -> str:
-        return self.r.choice("ಹಂಚಿಕೆಯ ಬಾವಿ|ಬಾಕಿ ವೇತನ|ಗಡಿ ಗೋಡೆ|ದೋಣಿ ಅಪಘಾತ|ಮರಳಿದ ಚೆಕ್|ಕೆಟ್ಟ ಪಂಪ್|ಕಡಿಮೆ ತೂಕ|ಜೀವನಾಂಶದ ಹಕ್ಕು|ಕಳವಾದ ಸೈಕಲ್|ಬಾಡಿಗೆ ಠೇವಣಿ|ತಡವಾದ ಪಾರ್ಸೆಲ್|ಬಿತ್ತನೆ ಸಾಲ".split("|"))
+        return self.r.choice(_TOPICS_KN) if self.some(0.5) else self._words(2)
 
-    def topic(self) -> str:
-        return self.r.choice(_TOPICS)
+
+def forms() -> list[str]:
+    """The sentence forms, those with personal data first."""
+    return [x for x in (SENTENCES + PLAIN).split("\n") if x]
+
+
+def held_out(n: int = 6) -> tuple[list[str], list[str]]:
+    """The forms to train on, and every n-th form, which training then never sees."""
+    each = forms()
+    return [f for i, f in enumerate(each) if i % n != n - 1], each[n - 1 :: n]
+
+
+_CHOICE = re.compile(r"\(([^()]*\|[^()]*)\)")
+_SLOT = re.compile(r"(\{\w+\}|<\w+>)")
 
 
-def labelled_table(copies: int = 10, seed: int = 7) -> list[list[tuple[str, str]]]:
+def labelled_table(copies: int = 8, seed: int = 7, of: list[str] | None = None) -> list[list[tuple[str, str]]]:
     """The rows: each a list of (text, kind), kind "" for what is no personal data.
 
-    Every row stands alone and also among others, with and without a stop between them, and some words that
-    aren't personal data are left out, so that no single neighbour decides.
+    Every form stands alone and also among others, with and without a stop between them, and some words beside
+    personal data are left out, so that no single neighbour decides. What tells a meter from a telephone stays.
     """
     fill, alone, others = _Fill(seed), [], []
     r = fill.r
-    general = [x + end for text in SAMPLES.values() for x, end in re.findall(r"([^.?!।\n]+)([.?!।])", text)]
-    others += [[(x.strip(), "")] for x in general]
-    for line in [s for s in (SENTENCES + PLAIN).strip().split("\n") if s]:
-        for n in range(2 * copies if re.search("<act|<org", line) else copies if re.search("{|<place|<topic_", line) else max(3, copies // 2)):
+    others += [[(x.strip(), "")] for x in re.findall(r"[^.?।\n]+[.?।]?", PROSE) if x.strip()]
+    others += [fill.nonsense() for _ in range(30 * copies)]
+    for form in forms() if of is None else of:
+        personal = "{" in form
+        for n in range(2 * copies if re.search(r"<act>|<org>|\{name_up|<number1|<case|^\(?\w*<words", form) else copies if personal or "<place" in form else max(3, copies // 2)):
+            line = form
+            while m := _CHOICE.search(line):
+                line = line[: m.start()] + r.choice(m.group(1).split("|")) + line[m.end() :]
             parts = []
-            for piece in re.split(r"(\{\w+\}|<\w+>)", line):
+            for piece in _SLOT.split(line):
                 if piece[:1] == "{":
                     slot = piece[1:-1]
                     kind = next(k for k in ("id_number", "address", "email", "phone", "name") if slot.startswith(k[:2] if k == "id_number" else k))
                     parts.append((getattr(fill, slot)(), kind))
-                elif re.fullmatch(r"<\w+>", piece):
+                elif _SLOT.fullmatch(piece):
                     parts.append((getattr(fill, piece[1:-1])(), ""))
                 elif piece:
-                    parts.append((piece if n % 3 else " ".join(w for w in piece.split(" ") if not w or r.random() > 0.25), ""))
-            (alone if "{" in line else others).append(parts)
+                    if n % 3 == 0 and personal:
+                        kept = " ".join(w for w in piece.split() if r.random() > 0.25)
+                        piece = (" " if piece[:1] == " " else "") + kept + (" " if piece[-1:] == " " and (kept or piece[:1] != " ") else "")
+                    parts.append((piece, ""))
+            (alone if personal else others).append([p for p in parts if p[0]])
     rows = alone + others
     for parts in alone:
-        before, after = r.choice(others), r.choice(others)
         stop = parts[-1][0].endswith((".", "?", "।"))
         mid = [(" ", "")] if stop or r.random() < 0.5 else [(". ", "")]
-        rows.append([*(before if r.random() < 0.6 else []), (" ", ""), *parts, *mid, *(after if r.random() < 0.8 else [])])
+        rows.append([*(r.choice(others) if others and r.random() < 0.6 else []), (" ", ""), *parts, *mid, *(r.choice(others) if others and r.random() < 0.8 else [])])
     return rows

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from granthika.llm import conversations as C
 from granthika.llm import language, lookalike, packing, pii, scans, tokens, truncation
-from granthika.llm.pii_samples import labelled_table
+from granthika.llm.pii_samples import held_out, labelled_table
 
 VOCABULARY = f"{tokens.TOKENIZERS}/{tokens.BYTE_BPE_50K}"
 MESSAGE = "session_id string, id long, user_id long, role string, text string, sources_json string, created_at double, speaker string, day int"
@@ -310,14 +311,30 @@ def test_wrong_labels(spark):
 # 1: personal data
 
 
-def test_held_out_accuracy():
-    field, right, found, wanted = pii.train(), 0, 0, 0
-    for parts in labelled_table(2, seed=1234):
+def accuracy(field, rows):
+    """Recall and precision of the items of labelled rows."""
+    pii._known.clear()
+    right, found, wanted = 0, 0, 0
+    for parts in rows:
         text = "".join(t for t, _ in parts)
         gold = {(k, pii.value(k, t)) for t, k in parts if k}
         got = {(k, v) for k, v, _, _ in pii.find(field, [text], False)[0][1]}
         right, found, wanted = right + len(gold & got), found + len(got), wanted + len(gold)
-    assert right / found > 0.97 and right / wanted > 0.96
+    pii._known.clear()
+    return right / wanted, right / found
+
+
+def test_held_out_accuracy():
+    recall, precision = accuracy(pii.train(), labelled_table(2, seed=1234))
+    assert precision > 0.97 and recall > 0.96
+
+
+def test_held_out_forms():
+    """A field that never saw a sentence form finds the items of its sentences."""
+    kept, other = held_out()
+    assert not set(kept) & set(other) and len(other) > 40
+    recall, precision = accuracy(pii.train(labelled_table(of=kept)), labelled_table(3, seed=99, of=other))
+    assert recall >= 0.9 and precision >= 0.9
 
 
 def test_viterbi_against_brute_force():
@@ -348,3 +365,26 @@ def test_redaction(spark):
     req = spark.createDataFrame([], "request_id long, text string")
     got = {r.row_id: r.text for r in pii.redacted(chat, req).collect()}
     assert got == {1: "My name is [NAME] and you can reach me on [PHONE].", 2: None, 3: " ", 4: "The meter number 9876543210 on the bill is wrong, who corrects it?"}
+
+
+def test_redaction_changes_nothing_else(spark):
+    own = "The p\u0430ge is \u00bd done. ｍｙ ｎａｍｅ ｉｓ Ravinath Kumar\u200bpatil, call me on ９８７６５ 43210 to\u00ad\u00admorrow e\u0301."
+    chat = spark.createDataFrame([(1, own)], "id long, text string")
+    req = spark.createDataFrame([(2, "Some words be-\nfore it. Call me on 98765\n43210 and noth-\ning else.")], "request_id long, text string")
+    got = {r.row_id: r.text for r in pii.redacted(chat, req).collect()}
+    assert got[1] == own.replace("Ravinath Kumar\u200bpatil", "[NAME]").replace("９８７６５ 43210", "[PHONE]")
+    assert got[2] == "Some words be-\nfore it. Call me on [PHONE] and noth-\ning else."
+
+
+def test_labelled_forms_are_not_of_the_tables():
+    """No form's literal part of five words or more occurs in the texts that the queries read."""
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    texts = [t for n in ("chat_messages", "analyze_text_requests") for t in pq.read_table(f"{d}/{n}.parquet", columns=["text"])["text"].to_pylist() if t]
+    seen = " \n ".join(" ".join(t.split()) for t in texts)
+    parts = {" ".join("".join(x for x, k in [p] if not k).split()) for row in labelled_table(4)[:] for p in row if not p[1]}
+    long = [p for p in parts if len(p.split()) >= 5]
+    assert len(long) > 200 and not [p for p in long if p in seen]
