@@ -7,6 +7,11 @@ the budget is found. Candidates are ranked by cost, by the words beside them and
 furniture is found by its form and by its regular return, then removed, and the lines are joined into
 paragraphs; a word broken by the line end is joined unless its hyphenated form is the commoner one.
 
+Counts whose number stays below HELD are handed to every task whole. Beyond it nothing is cut off: texts then
+ask their questions (is this line furniture, how often does this word occur, what does this word mean here)
+as rows, the questions meet the counts by joins, and candidates are searched in tries of one length and first
+letter each. Both ways give the same results.
+
 Defined results: null, empty and blank texts have no findings and stay as they are; lines are split at
 \\n and counted from 1, a \\r before it is outer white space; ties between candidates go to the more
 frequent, then the smaller word; a repeated text is judged alike; very long texts are read whole, line by
@@ -18,16 +23,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granthika.sources.tables import cut
+
 #: Least occurrences of a word of the vocabulary, and how much more frequent a correction must be.
 MIN_COUNT, RATIO = 4, 8
-#: Sizes of the model that reaches every task: the most frequent words, word pairs and furniture lines.
-MAX_WORDS, MAX_PAIRS, MAX_LINES = 300_000, 500_000, 50_000
+#: Words, word pairs and furniture lines that are handed to every task; more of them are met by joins.
+HELD = 400_000
 #: Costs of the automaton: a confusion, any other edit, and the budget of a word.
 CONFUSION, EDIT, BUDGET = 0.3, 0.9, 0.95
 
@@ -37,9 +45,10 @@ CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("b", "h"), ("h", "b"), ("u", "n"), ("n", "u"), ("v", "y"), ("y", "v"), ("a", "o"), ("o", "a"), ("$", "s"), ("@", "a"), ("2", "z"),
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"), ("ri", "n"), ("n", "ri"), ("li", "h"), ("h", "li"), ("nn", "m"), ("lc", "k"), ("ll", "u"), ("in", "m"), ("iu", "m"),
 )
-_SINGLE = frozenset((a, b) for a, b in CONFUSIONS if len(a) == len(b) == 1)
-_TWO_ONE = frozenset((a, b) for a, b in CONFUSIONS if len(a) == 2)
-_ONE_TWO = frozenset((a, b) for a, b in CONFUSIONS if len(b) == 2)
+#: For a letter: 1 or the letter that must follow it, and what both together stand for.
+_FROM: dict[str, list[tuple[int | str, str]]] = {}
+for _a, _b in CONFUSIONS:
+    _FROM.setdefault(_a[0], []).append((1 if len(_a) == 1 else _a[1], _b))
 
 _OUTER = " \t\r\f\v.,;:!?()[]{}\"'“”‘’।|*_—–"
 _WORD = re.compile(r"^[a-zà-ɏ]+(?:[-'][a-zà-ɏ]+)*$")
@@ -92,7 +101,7 @@ def page_marks(lines: list[str]) -> dict[int, bool]:
     """Lines with only a page mark: True where the form alone shows it, False where neighbours must."""
     out, bare = {}, {}
     for i, s in enumerate(lines):
-        if not s or len(s) > 40:
+        if not s:
             continue
         for p in _MARKS:
             if m := p.match(s):
@@ -122,7 +131,7 @@ def furniture(lines: list[str], known: frozenset[str] | set[str] = frozenset())
     groups: dict[str, list[int]] = {}
     keys: list[str] = []
     for i, s in enumerate(lines):
-        k = skeleton(s) if s and i not in sure and len(s) <= 100 else ""
+        k = skeleton(s) if s and i not in sure else ""
         keys.append(k)
         if len(k) >= 4:
             groups.setdefault(k, []).append(i)
@@ -174,6 +183,7 @@ class Vocabulary:
         self._measure()
         self._top = self._most[id(self._root)]
         self._seen: dict[tuple[str, int], list[tuple[float, str]]] = {}
+        self._viable: dict[str, list[tuple[float, str, int]]] = {}
 
     def _measure(self) -> None:
         order, stack = [], [self._root]
@@ -198,58 +208,79 @@ class Vocabulary:
         return found
 
     def _walk(self, word: str, least: int) -> list[tuple[float, str]]:
-        n = len(word)
-        out: list[tuple[float, str]] = []
-        stack = [(self._root, [i * EDIT for i in range(n + 1)], None, "")]
+        """Runs the automaton: a state is (read letters of the word, cost so far) at a node of the trie.
+
+        Only a state without any cost can afford an edit, so edits branch along the word itself; elsewhere a
+        state goes on by the next letter or by its confusions alone.
+        """
+        n, best = len(word), {}
+        stack = [(self._root, 0, 0.0)]
         while stack:
-            node, row, above, parent = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[n] <= BUDGET and self.counts[child] >= least:
-                        out.append((row[n], child))
-                    continue
-                if self._most[id(child)] < least:
-                    continue
-                new = [row[0] + EDIT]
-                for j in range(1, n + 1):
-                    w = word[j - 1]
-                    cost = row[j - 1] if w == c else row[j - 1] + (CONFUSION if (w, c) in _SINGLE else EDIT)
-                    cost = min(cost, row[j] + EDIT, new[j - 1] + EDIT)
-                    if j > 1 and (word[j - 2 : j], c) in _TWO_ONE:
-                        cost = min(cost, row[j - 2] + CONFUSION)
-                    if above is not None and (w, parent + c) in _ONE_TWO:
-                        cost = min(cost, above[j - 1] + CONFUSION)
-                    new.append(cost)
-                # The row above can still reach words by a confusion of two letters.
-                if min(new) <= BUDGET or min(row) + CONFUSION <= BUDGET:
-                    if min(new) <= BUDGET or any((w, c + d) in _ONE_TWO for w in word for d in child if d):
-                        stack.append((child, new, row, c))
-        return out
+            node, j, cost = stack.pop()
+            if j == n and "" in node and (w := node[""]) and self.counts[w] >= least and cost < best.get(w, 9.0):
+                best[w] = cost
+            steps = []
+            if j < n and (child := node.get(word[j])) is not None:
+                steps.append((child, j + 1, cost))
+            if j < n and cost + CONFUSION <= BUDGET:
+                more = cost + CONFUSION
+                for length, to in _FROM.get(word[j], ()):
+                    if length == 1 or word[j + 1 : j + 2] == length:
+                        child = node
+                        for c in to:
+                            child = child.get(c) if child is not None else None
+                        if child is not None:
+                            steps.append((child, j + (1 if length == 1 else 2), more))
+            if cost + EDIT <= BUDGET:
+                if j < n:
+                    stack.append((node, j + 1, cost + EDIT))
+                for c, child in node.items():
+                    if c:
+                        steps.append((child, j, cost + EDIT))
+                        if j < n and c != word[j]:
+                            steps.append((child, j + 1, cost + EDIT))
+            stack.extend(x for x in steps if self._most[id(x[0])] >= least)
+        return [(cost, w) for w, cost in best.items()]
+
+    def count(self, word: str) -> int:
+        return self.counts.get(word, 0)
+
+    def viable(self, token: str) -> list[tuple[float, str, int]]:
+        """(cost, word, count) of the words that can be meant by a token, whatever stands beside it."""
+        found = self._viable.get(token)
+        if found is None:
+            if len(self._viable) > 200_000:
+                self._viable.clear()
+            word = token.lower()
+            own = self.counts.get(word, 0)
+            found = self._viable[token] = [(cost, c, self.counts[c]) for cost, c in self.candidates(word, RATIO * max(own, 1)) if can_mean(token, own, c, cost, self.counts[c])]
+        return found
 
     def meant(self, token: str, before: str, after: str) -> str | None:
         """The word that was meant by a misread one, or None if the token is a word or can't be told."""
-        word = token.lower()
-        own = self.counts.get(word, 0)
-        if len(word) < 2 or not _LETTERS.search(word):
+        if len(token) < 2 or not _LETTERS.search(token):
             return None
-        odd = any(c in "0156!|$@89" for c in word)
-        best = None
-        for cost, c in self.candidates(word, RATIO * max(own, 1)):
-            n = self.counts[c]
-            # A form that occurs by itself needs the majority once for each confusion.
-            if c == word or n < RATIO ** (max(1, round(cost / CONFUSION)) if own else 1) * max(own, 1):
-                continue
-            if cost > CONFUSION * 3 - 1e-9 and (cost >= EDIT - 1e-9 and (len(word) < 6 or token[:1].isupper() or n < 50 * max(own, 1))):
-                continue
-            near = self.pairs.get((before, c), 0) + self.pairs.get((c, after), 0)
-            rank = (-(near > 0), round(cost, 3), -near, -n, c)
-            if best is None or rank < best[0]:
-                best = (rank, c)
-        if best is None:
+        found = self.viable(token)
+        if not found:
             return None
-        if token[:1].isupper() and not odd and not best[0][2]:
-            return None  # a name that resembles a word, with nothing beside it to support the word
-        return best[1]
+        pairs = self.pairs
+        return choose(token, [(cost, c, n, pairs.get((before, c), 0) + pairs.get((c, after), 0)) for cost, c, n in found])
+
+
+def can_mean(token: str, own: int, c: str, cost: float, n: int) -> bool:
+    """Whether a word of count n can be meant by a token that occurs `own` times: by ratios, alike at every size."""
+    # A form that occurs by itself needs the majority once for each confusion.
+    if c == token.lower() or n < RATIO ** (max(1, round(cost / CONFUSION)) if own else 1) * max(own, 1):
+        return False
+    return cost < EDIT - 1e-9 or not (len(token) < 6 or token[:1].isupper() or n < 50 * max(own, 1))
+
+
+def choose(token: str, found: list[tuple[float, str, int, int]]) -> str | None:
+    """The best of (cost, word, count, times beside the token's neighbours)."""
+    best = min(((-(near > 0), round(cost, 3), -near, -n, c) for cost, c, n, near in found), default=None)
+    if best is None or token[:1].isupper() and not any(x in "0156!|$@89" for x in token.lower()) and not best[2]:
+        return None  # a name that resembles a word, with nothing beside it to support the word
+    return best[4]
 
 
 def core(token: str) -> str:
@@ -291,15 +322,13 @@ def read(text: str, vocabulary: Vocabulary, known: frozenset[str] | set[str]) ->
                     tokens[i][-1] = f"{a[:-1]}-{b}"
                     tokens[j] = tokens[j][1:]
     flat = [(i, n, t) for i in words for n, t in enumerate(tokens[i])]
-    plain = [core(t).lower() for _, _, t in flat]
+    seen = [_classed(t) for _, _, t in flat]
     for at, (i, n, t) in enumerate(flat):
-        item = _amount(t)
+        _, c, item = seen[at]
         if item is None:
-            c = _core_scan(t)
-            w = c.lower()
-            if not c or not c.isascii() or vocabulary.settled(w) or not _misreadable(c):
+            if not c or vocabulary.settled(c.lower()):
                 continue
-            item = vocabulary.meant(c, plain[at - 1] if at else "", plain[at + 1] if at + 1 < len(plain) else "")
+            item = vocabulary.meant(c, seen[at - 1][0] if at else "", seen[at + 1][0] if at + 1 < len(seen) else "")
             if item is None or (joined.get(i) == t and n == len(tokens[i]) - 1):
                 if item is not None:
                     tokens[i][n] = _replace(t, c, item)
@@ -320,10 +349,10 @@ def _crosses_paragraph(lines: list[str], i: int, j: int, marks: set[int], heads:
 def _is_compound(left: str, right: str, whole: str, compound: str, mark: str, v: Vocabulary) -> bool:
     if mark not in "-‐":
         return False
-    n_whole, n_compound = v.counts.get(whole, 0), v.counts.get(compound, 0)
+    n_whole, n_compound, n_left, n_right = v.count(whole), v.count(compound), v.count(left), v.count(right)
     if n_whole or n_compound:
         return n_compound > n_whole
-    return mark == "-" and left in v.counts and right in v.counts
+    return mark == "-" and bool(n_left and n_right)
 
 
 def _misreadable(c: str) -> bool:
@@ -370,6 +399,20 @@ def _reflow(lines: list[str], body: list[int], tokens: dict[int, list[str]]) ->
     return "\n\n".join(" ".join(p) for p in out if p)
 
 
+@lru_cache(maxsize=300_000)
+def _classed(token: str) -> tuple[str, str, str | None]:
+    """The plain word of a token, the form that may be misread (empty if none), and the sum that was meant."""
+    item, c = _amount(token), _core_scan(token)
+    return core(token).lower(), c if item is None and c.isascii() and _misreadable(c) else "", item
+
+
+@lru_cache(maxsize=300_000)
+def _plain_word(token: str) -> str | None:
+    """The counted form of a token: empty for what isn't a word, None for what shows nothing."""
+    t = core(token).lower()
+    return (t if _WORD.match(t) else "") if t else None
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (w), word pairs (p) and furniture lines that return within one text (l)."""
     for batch in batches:
@@ -377,33 +420,38 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: Counter = Counter()
         heads: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            toks = [t for t in (core(x).lower() for x in text.split()) if t]
+            toks = [t for t in map(_plain_word, text.split()) if t is not None]
             words.update(toks)
-            ok = [t if _WORD.match(t) else "" for t in toks]
-            pairs.update(zip(ok, ok[1:]))
-            if text.count("\n") > 12:
+            pairs.update(zip(toks, toks[1:]))
+            if text.count("\n") >= 12:  # a line that returns twice at six lines or more needs thirteen lines
                 heads.update(set(furniture([x.strip() for x in text.split("\n")])[2]))
-        rows = [("w", w, n) for w, n in words.items() if _WORD.match(w)] + [("p", f"{a} {b}", n) for (a, b), n in pairs.items() if a and b] + [("l", k, n) for k, n in heads.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()))] if rows else [pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], ["kind", "item", "n"])
+        del words[""]
+        rows = [("w", w, n) for w, n in words.items()] + [("p", f"{a} {b}", n) for (a, b), n in pairs.items() if a and b] + [("l", k, n) for k, n in heads.items()]
+        yield _batch(rows, ["kind", "item", "n"], (pa.string(), pa.string(), pa.int64()))
 
 
-def fit(requests: DataFrame, text: str = "text") -> tuple[dict[str, int], dict[tuple[str, str], int], frozenset[str]]:
-    """Words, word pairs and furniture lines that occur often enough in all texts.
+def _batch(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    Counting is partial in every batch. The model holds the most frequent MAX_WORDS, MAX_PAIRS and
-    MAX_LINES, which bounds what is collected and broadcast whatever the input.
-    """
+
+def counts(requests: DataFrame, text: str = "text") -> DataFrame:
+    """kind, item and n of the words, word pairs and furniture lines that occur often enough in all texts; partial in every batch."""
     counted = requests.select(requests[text].alias("text")).where(F.col("text").isNotNull()).mapInArrow(_gather, "kind string, item string, n bigint")
-    counted = counted.groupBy("kind", "item").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_COUNT) | (F.col("kind") == "l") & (F.col("n") >= 2)).persist()
-    try:
-        top = [{r.item: r.n for r in counted.where(F.col("kind") == k).orderBy(F.desc("n"), "item").limit(m).collect()} for k, m in (("w", MAX_WORDS), ("p", MAX_PAIRS), ("l", MAX_LINES))]
-    finally:
-        counted.unpersist()
-    words, pairs, heads = top
-    return words, {tuple(k.split(" ")): n for k, n in pairs.items()}, frozenset(heads)
+    return counted.groupBy("kind", "item").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_COUNT) | (F.col("kind") == "l") & (F.col("n") >= 2))
+
+
+def held(counted: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], int], frozenset[str]]:
+    """All counts as they reach every task; only for counts of a checked number of rows."""
+    by: dict[str, dict[str, int]] = {"w": {}, "p": {}, "l": {}}
+    for r in counted.collect():
+        by[r.kind][r.item] = r.n
+    return by["w"], {tuple(k.split(" ")): n for k, n in by["p"].items()}, frozenset(by["l"])
 
 
 _OUT = "request_id bigint, kind string, line_no int, item string"
+_TYPES = {True: (pa.int64(), pa.string(), pa.int32(), pa.string()), False: (pa.int64(), pa.string())}
+_NAMES = {True: ["request_id", "kind", "line_no", "item"], False: ["request_id", "text"]}
 
 
 def _task(model, findings: bool):
@@ -412,15 +460,12 @@ def _task(model, findings: bool):
         for batch in batches:
             rows = []
             for request_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not findings and (text is None or not text.strip()):
-                    rows.append((request_id, text))
-                elif text is not None and text.strip():
+                if text is not None and text.strip():
                     items, repaired = read(text, v, known)
                     rows.extend((request_id, *x) for x in items) if findings else rows.append((request_id, repaired))
-            types = (pa.int64(), pa.string(), pa.int32(), pa.string()) if findings else (pa.int64(), pa.string())
-            names = ["request_id", "kind", "line_no", "item"] if findings else ["request_id", "text"]
-            columns = zip(*rows, strict=True) if rows else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+                elif not findings:
+                    rows.append((request_id, text))
+            yield _batch(rows, _NAMES[findings], _TYPES[findings])
 
     return run
 
@@ -438,27 +483,182 @@ def _vocabulary(model) -> tuple[Vocabulary, frozenset[str]]:
 
 
 class Model:
-    """A broadcast of the fitted counts with an id that survives pickling."""
+    """A broadcast of the counts with an id that survives pickling."""
 
     def __init__(self, spark, fitted) -> None:
         self._b = spark.sparkContext.broadcast(fitted)
-        self.id = self._b._jbroadcast.id() if hasattr(self._b, "_jbroadcast") else id(self._b)
+        self.id = id(self._b)
 
     @property
     def value(self):
         return self._b.value
 
 
-def found(requests: DataFrame) -> DataFrame:
+# The other way: questions and answers as rows.
+
+
+class Answers:
+    """What one text has been told; what it asks beyond that is noted and answered as if nothing were known."""
+
+    def __init__(self, told: list[tuple[str, str, str | None]]) -> None:
+        self.known = {q for kind, q, _ in told if kind == "l"}
+        self._counts = {q: int(a) for kind, q, a in told if kind == "c"}
+        self._meant = {q: a for kind, q, a in told if kind == "m"}
+        self.asked: set[tuple[str, str]] = set()
+
+    def settled(self, word: str) -> bool:
+        return False
+
+    def count(self, word: str) -> int:
+        self.asked.add(("c", word))
+        return self._counts.get(word, 0)
+
+    def meant(self, token: str, before: str, after: str) -> str | None:
+        if len(token) < 2 or not _LETTERS.search(token):
+            return None
+        question = f"{token}\x1f{before}\x1f{after}"
+        self.asked.add(("m", question))
+        return self._meant.get(question)
+
+
+_TOLD = "key string, text string, told array<struct<kind:string,question:string,answer:string>>"
+
+
+def _told(batch: pa.RecordBatch) -> Iterator[tuple[str, str, list[tuple]]]:
+    for key, text, told in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        yield key, text, [(x["kind"], x["question"], x["answer"]) for x in told or ()]
+
+
+def _asking(kind: str):
+    """The questions of a kind that each text has, given what it was told before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text, told in _told(batch):
+                if kind == "l":
+                    asked = {("l", k) for x in text.split("\n") if len(k := skeleton(x)) >= 4}
+                else:
+                    answers = Answers(told)
+                    read(text, answers, answers.known)
+                    asked = answers.asked
+                rows.extend((key, q) for k, q in asked if k == kind)
+            yield _batch(rows, ["key", "question"], (pa.string(), pa.string()))
+
+    return run
+
+
+def _ending(findings: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text, told in _told(batch):
+                answers = Answers(told)
+                items, repaired = read(text, answers, answers.known)
+                rows.extend((key, *x) for x in items) if findings else rows.append((key, repaired))
+            yield _batch(rows, ["key", *_NAMES[findings][1:]], (pa.string(), *_TYPES[findings][1:]))
+
+    return run
+
+
+def _firsts(word: str) -> list[str]:
+    """First letters that a word within the budget can have, if no whole edit lies at the front."""
+    return sorted({word[0]} | {b[0] for a, b in CONFUSIONS if word.startswith(a)})
+
+
+def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(w, n, size, c) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for size in range(max(1, len(w) - 3), len(w) + 4) for c in _firsts(w)]
+        yield _batch(rows, ["word", "own", "size", "first"], (pa.string(), pa.int64(), pa.int32(), pa.string()))
+
+
+def _walk_group(asked: pa.Table, words: pa.Table) -> pa.Table:
+    """Every word of one trie within the budget of each asked word."""
+    trie = Vocabulary(dict(zip(words["item"].to_pylist(), words["n"].to_pylist(), strict=True)), {})
+    rows = [(w, own, c, cost, trie.counts[c]) for w, own in zip(asked["word"].to_pylist(), asked["own"].to_pylist(), strict=True) for cost, c in trie._walk(w, RATIO * max(own, 1))]
+    return pa.Table.from_batches([_batch(rows, ["word", "own", "c", "cost", "n"], (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64()))])
+
+
+def candidates(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """word, own, c, cost, n: for each asked word (word, own) every counted word (item, n) within the budget.
+
+    Words lie in tries of one length and first letter. An asked word visits the tries that its confusions can
+    reach; an edit at its front uses up the budget, so those words equal it behind the front and meet it there.
+    """
+    routed = asked.mapInArrow(_routes, "word string, own bigint, size int, first string")
+    tries = words.select("item", "n", F.length("item").alias("size"), F.substring("item", 1, 1).alias("first"))
+    walked = routed.groupBy("size", "first").cogroup(tries.groupBy("size", "first")).applyInArrow(_walk_group, "word string, own bigint, c string, cost double, n bigint")
+    tail = F.expr("substring(item, 2)")
+    fronts = [(F.col("word"), tail), (F.expr("substring(word, 2)"), tail), (F.expr("substring(word, 2)"), F.col("item"))]
+    for mine, theirs in fronts:
+        met = asked.select("word", "own", mine.alias("k")).join(words.select("item", "n", theirs.alias("k")), "k")
+        walked = walked.unionAll(met.where("item <> word").select("word", "own", F.col("item").alias("c"), F.lit(EDIT).alias("cost"), "n"))
+    return walked.groupBy("word", "own", "c", "n").agg(F.min("cost").alias("cost"))
+
+
+def _choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for question, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows.append((question, choose(question.split("\x1f")[0], [(x["cost"], x["c"], x["n"], x["near"]) for x in found])))
+        yield _batch([r for r in rows if r[1] is not None], ["question", "answer"], (pa.string(), pa.string()))
+
+
+def _meanings(questions: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """question and answer of what tokens mean beside their neighbours; without a row where nothing is meant."""
+    part = F.split("question", "\x1f")
+    q = questions.select("question").distinct().select("question", part[0].alias("token"), part[1].alias("before"), part[2].alias("after"))
+    tokens = q.select("token").distinct().select("token", F.lower("token").alias("word")).join(words.select(F.col("item").alias("word"), F.col("n").alias("own")), "word", "left").select("token", "word", F.coalesce("own", F.lit(0)).alias("own"))
+    c = cut(candidates(tokens.select("word", "own").distinct(), words))
+    times = F.when(F.col("own") > 0, F.pow(F.lit(float(RATIO)), F.greatest(F.lit(1.0), F.round(F.col("cost") / CONFUSION)))).otherwise(float(RATIO))
+    own, upper = F.greatest("own", F.lit(1)), F.substring("token", 1, 1).rlike(r"\p{Lu}")
+    viable = tokens.join(c, ["word", "own"]).where((F.col("c") != F.col("word")) & (F.col("n") >= times * own) & ((F.col("cost") < EDIT - 1e-9) | ~((F.length("token") < 6) | upper | (F.col("n") < 50 * own))))
+    met = q.join(viable.select("token", "c", "cost", "n"), "token")
+    near = pairs.select(F.col("item").alias("pair"), F.col("n").alias("times"))
+    for side in (F.concat_ws(" ", "before", "c"), F.concat_ws(" ", "c", "after")):
+        met = met.withColumn("pair", side).join(near, "pair", "left").withColumn("near", F.coalesce("times", F.lit(0)) + (F.col("near") if "near" in met.columns else F.lit(0))).drop("pair", "times")
+    grouped = met.groupBy("question").agg(F.collect_list(F.struct("cost", "c", "n", "near")).alias("found"))
+    return grouped.mapInArrow(_choices, "question string, answer string")
+
+
+def _by_questions(requests: DataFrame, counted: DataFrame, findings: bool) -> DataFrame:
+    """The same as with counts at hand, for any number of counts: four passes over the distinct texts."""
+    counted = cut(counted)
+    words, pairs, lines = (counted.where(F.col("kind") == k).select("item", "n") for k in "wpl")
+    keyed = requests.select(F.col("request_id").cast("bigint").alias("request_id"), "text", F.sha2("text", 256).alias("key"))
+    blank = F.coalesce(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), F.lit("")) == ""
+    texts = cut(keyed.where(~blank).groupBy("key").agg(F.min("text").alias("text")).withColumn("told", F.expr("cast(array() as array<struct<kind:string,question:string,answer:string>>)")))
+    for kind in "lcm":
+        asked = cut(texts.mapInArrow(_asking(kind), "key string, question string"))
+        if kind == "m":
+            answers = _meanings(asked, words, pairs)
+        else:
+            answers = (lines if kind == "l" else words).select(F.col("item").alias("question"), F.col("n").cast("string").alias("answer"))
+        told = asked.join(answers, "question").groupBy("key").agg(F.collect_list(F.struct(F.lit(kind).alias("kind"), "question", "answer")).alias("more"))
+        texts = cut(texts.join(told, "key", "left").select("key", "text", F.concat("told", F.coalesce("more", F.expr("cast(array() as array<struct<kind:string,question:string,answer:string>>)"))).alias("told")))
+    ended = texts.mapInArrow(_ending(findings), "key string, " + (_OUT if findings else "request_id bigint, text string").split(", ", 1)[1])
+    if findings:
+        return keyed.select("request_id", "key").join(ended, "key").select("request_id", "kind", "line_no", "item")
+    done = ended.withColumnRenamed("text", "repaired").withColumn("read", F.lit(True))
+    return keyed.join(done, "key", "left").select("request_id", F.when(F.col("read"), F.col("repaired")).otherwise(F.col("text")).alias("text"))
+
+
+def found(requests: DataFrame, held_rows: int = HELD) -> DataFrame:
     """request_id, kind, line_no and item of every finding."""
-    return _apply(requests, True, _OUT)
+    return _apply(requests, True, _OUT, held_rows)
 
 
-def repaired(requests: DataFrame) -> DataFrame:
+def repaired(requests: DataFrame, held_rows: int = HELD) -> DataFrame:
     """request_id and the text as continuous paragraphs."""
-    return _apply(requests, False, "request_id bigint, text string")
+    return _apply(requests, False, "request_id bigint, text string", held_rows)
 
 
-def _apply(requests: DataFrame, findings: bool, schema: str) -> DataFrame:
-    model = Model(requests.sparkSession, fit(requests))
+def _apply(requests: DataFrame, findings: bool, schema: str, held_rows: int) -> DataFrame:
+    counted = counts(requests).persist()
+    try:
+        if counted.count() > held_rows:
+            return _by_questions(requests, counted, findings)
+        model = Model(requests.sparkSession, held(counted))
+    finally:
+        counted.unpersist()
     return requests.select(F.col("request_id").cast("bigint"), "text").mapInArrow(_task(model, findings), schema)

@@ -246,10 +246,10 @@ def brute_cost(a, b):
                 best = min(best, d[i, j - 1] + scans.EDIT)
             if i and j:
                 x, y = a[i - 1], b[j - 1]
-                best = min(best, d[i - 1, j - 1] + (0 if x == y else scans.CONFUSION if (x, y) in scans._SINGLE else scans.EDIT))
-                if i > 1 and (a[i - 2 : i], y) in scans._TWO_ONE:
+                best = min(best, d[i - 1, j - 1] + (0 if x == y else scans.CONFUSION if (x, y) in scans.CONFUSIONS else scans.EDIT))
+                if i > 1 and (a[i - 2 : i], y) in scans.CONFUSIONS:
                     best = min(best, d[i - 2, j - 1] + scans.CONFUSION)
-                if j > 1 and (x, b[j - 2 : j]) in scans._ONE_TWO:
+                if j > 1 and (x, b[j - 2 : j]) in scans.CONFUSIONS:
                     best = min(best, d[i - 1, j - 2] + scans.CONFUSION)
             d[i, j] = best
     return d[len(a), len(b)]
@@ -265,6 +265,34 @@ def test_automaton_finds_every_candidate():
         assert {w for _, w in v.candidates(noisy)} == want
 
 
+def test_counts_by_joins_give_the_same(spark):
+    """However many counts there are: handed to every task, or met by joins, the results are equal."""
+    good = ["The clerk shall record the petition", "in the register and inform the parties", "until the surety remains bound by it", "and the tribunal hears the complaint"]
+    texts, r = [], random.Random(8)
+    for n in range(60):
+        body = [r.choice(good) + ("." if r.random() < 0.3 else "") for _ in range(14)]
+        body[r.randrange(14)] = r.choice(["the cIerk shall recond the petifion", "in the neqister and inforrn the par-", "ties of the surefy t2,50,000 and bound", "and the tribunal heans the com- ", "plaint of the co-", "owner until then"])
+        texts.append((n, "\n".join(x for i in range(3) for x in ["Lease deed, schedule B", *body[i * 4 : i * 4 + 6], f"- {i + 1} -"])))
+    df = spark.createDataFrame([*texts, (90, None), (91, " \n"), (92, texts[0][1]), (92, texts[0][1])], "request_id long, text string")
+    for one in (scans.found, scans.repaired):
+        a, b = (sorted(map(tuple, one(df, *held).collect()), key=repr) for held in ((), (0,)))
+        assert a == b and len(a) > 60
+
+
+def test_partitioned_tries_find_every_candidate(spark):
+    r = random.Random(6)
+    words = {"".join(r.choice("mrnclduiwvehb") for _ in range(r.randrange(1, 7))): r.randrange(1, 90) for _ in range(300)}
+    asked = {"".join(r.choice("mrnclduiwvehb1") for _ in range(r.randrange(2, 7))): r.randrange(0, 3) for _ in range(60)}
+    got: dict = {}
+    w = spark.createDataFrame(list(words.items()), "item string, n long")
+    for x in scans.candidates(spark.createDataFrame(list(asked.items()), "word string, own long"), w).collect():
+        if x.n >= scans.RATIO * max(x.own, 1) and x.c != x.word:
+            got.setdefault(x.word, {})[x.c] = round(x.cost, 6)
+    for word, own in asked.items():
+        want = {c: round(k, 6) for c, n in words.items() if n >= scans.RATIO * max(own, 1) and c != word and (k := brute_cost(word, c)) <= scans.BUDGET + 1e-9}
+        assert got.get(word, {}) == want
+
+
 @pytest.mark.parametrize("times", [1, 10, 100])
 def test_readings_are_alike_at_every_size(times):
     counts = {"shall": 8601, "sball": 28, "clerk": 900, "certified": 1201, "ccrtified": 12, "old": 130, "aid": 1926, "copy": 700}
@@ -370,10 +398,10 @@ def test_redaction(spark):
 def test_redaction_changes_nothing_else(spark):
     own = "The p\u0430ge is \u00bd done. ｍｙ ｎａｍｅ ｉｓ Ravinath Kumar\u200bpatil, call me on ９８７６５ 43210 to\u00ad\u00admorrow e\u0301."
     chat = spark.createDataFrame([(1, own)], "id long, text string")
-    req = spark.createDataFrame([(2, "Some words be-\nfore it. Call me on 98765\n43210 and noth-\ning else.")], "request_id long, text string")
+    req = spark.createDataFrame([(2, "Some words be-\nfore it stand here. Please call me on 98765\n43210 and noth-\ning else.")], "request_id long, text string")
     got = {r.row_id: r.text for r in pii.redacted(chat, req).collect()}
     assert got[1] == own.replace("Ravinath Kumar\u200bpatil", "[NAME]").replace("９８７６５ 43210", "[PHONE]")
-    assert got[2] == "Some words be-\nfore it. Call me on [PHONE] and noth-\ning else."
+    assert got[2] == "Some words be-\nfore it stand here. Please call me on [PHONE] and noth-\ning else."
 
 
 def test_labelled_forms_are_not_of_the_tables():
