@@ -71,20 +71,26 @@ _BARE = re.compile(r"^\d{1,3}$")
 _ROMAN = re.compile(r"^(?=[ivxl])(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _WITH_PAGE = re.compile(r"[\s|,;:·–—-]*(?:(?:page|pg\.?|p\.|पृष्ठ|ಪುಟ)\s*)?#+\s*$")
 _END_PAGE = re.compile(r"[\s|,;:·–—-]*(?:page|pg\.?|p\.|पृष्ठ|ಪುಟ)\s*\d+\s*$", re.I)
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"#+")
 _IN_WORD = re.compile(r"(?<=[a-z])[015]|[015](?=[a-z])")
 _AS_LETTER = str.maketrans("015", "ols")
 _FOLD = (("rn", "m"), ("nn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"))
-_FOLD_ONE = str.maketrans({"1": "i", "l": "i", "!": "i", "|": "i", "0": "o", "5": "s", "c": "e", "f": "t", "b": "h"})
+_FOLD_ONE = (("1", "i"), ("l", "i"), ("!", "i"), ("|", "i"), ("0", "o"), ("5", "s"), ("c", "e"), ("f", "t"), ("b", "h"))
 
 
 def skeleton(line: str) -> str:
     """A line without case, spaces, the values of digits, an ending page number, and scanner confusions."""
-    s = _IN_WORD.sub(lambda m: m.group().translate(_AS_LETTER), line.strip().lower())
-    s = re.sub(r"\d", "#", s)
-    s = _WITH_PAGE.sub("", s) or s
+    s = line.strip().lower()
+    if _DIGIT.search(s):
+        s = _DIGIT.sub("#", _IN_WORD.sub(lambda m: m.group().translate(_AS_LETTER), s))
+        s = _DIGITS.sub("#", _WITH_PAGE.sub("", s) or s)
     for a, b in _FOLD:
-        s = s.replace(a, b)
-    return re.sub(r"\s+", "", re.sub(r"#+", "#", s.translate(_FOLD_ONE)))
+        if a in s:
+            s = s.replace(a, b)
+    for a, b in _FOLD_ONE:
+        if a in s:
+            s = s.replace(a, b)
+    return "".join(s.split())
 
 
 def _value(digits: str) -> int:
@@ -103,7 +109,10 @@ def page_marks(lines: list[str]) -> dict[int, bool]:
     for i, s in enumerate(lines):
         if not s:
             continue
-        for p in _MARKS:
+        digits = _DIGIT.search(s)
+        if not digits and len(s) > 8:  # a mark has a number, and the longest Roman one has eight letters
+            continue
+        for p in _MARKS if digits else ():
             if m := p.match(s):
                 of = _OF.match(s)
                 if not of or _value(of.group(1)) <= _value(of.group(2)):
@@ -181,7 +190,6 @@ class Vocabulary:
             node[""] = w
         self._most: dict[int, int] = {}  # the count of the commonest word below each node
         self._measure()
-        self._top = self._most[id(self._root)]
         self._seen: dict[tuple[str, int], list[tuple[float, str]]] = {}
         self._viable: dict[str, list[tuple[float, str, int]]] = {}
 
@@ -194,10 +202,6 @@ class Vocabulary:
         for node in reversed(order):
             self._most[id(node)] = max((self._most[id(x)] if c else self.counts[x] for c, x in node.items()), default=0)
 
-    def settled(self, word: str) -> bool:
-        """Whether no word at all is RATIO times commoner, so that none can be meant."""
-        return self.counts.get(word, 0) * RATIO > self._top
-
     def candidates(self, word: str, least: int = 0) -> list[tuple[float, str]]:
         """Every word of the vocabulary within the budget of `word` that occurs `least` times, with its cost."""
         found = self._seen.get((word, least))
@@ -247,20 +251,19 @@ class Vocabulary:
 
     def viable(self, token: str) -> list[tuple[float, str, int]]:
         """(cost, word, count) of the words that can be meant by a token, whatever stands beside it."""
-        found = self._viable.get(token)
-        if found is None:
-            if len(self._viable) > 200_000:
-                self._viable.clear()
-            word = token.lower()
-            own = self.counts.get(word, 0)
-            found = self._viable[token] = [(cost, c, self.counts[c]) for cost, c in self.candidates(word, RATIO * max(own, 1)) if can_mean(token, own, c, cost, self.counts[c])]
+        if len(self._viable) > 200_000:
+            self._viable.clear()
+        word = token.lower()
+        own = self.counts.get(word, 0)
+        near = self.candidates(word, RATIO * max(own, 1)) if len(word) > 1 and _LETTERS.search(word) else ()
+        found = self._viable[token] = [(cost, c, self.counts[c]) for cost, c in near if can_mean(token, own, c, cost, self.counts[c])]
         return found
 
     def meant(self, token: str, before: str, after: str) -> str | None:
         """The word that was meant by a misread one, or None if the token is a word or can't be told."""
-        if len(token) < 2 or not _LETTERS.search(token):
-            return None
-        found = self.viable(token)
+        found = self._viable.get(token)
+        if found is None:
+            found = self.viable(token)
         if not found:
             return None
         pairs = self.pairs
@@ -326,7 +329,7 @@ def read(text: str, vocabulary: Vocabulary, known: frozenset[str] | set[str]) ->
     for at, (i, n, t) in enumerate(flat):
         _, c, item = seen[at]
         if item is None:
-            if not c or vocabulary.settled(c.lower()):
+            if not c:
                 continue
             item = vocabulary.meant(c, seen[at - 1][0] if at else "", seen[at + 1][0] if at + 1 < len(seen) else "")
             if item is None or (joined.get(i) == t and n == len(tokens[i]) - 1):
@@ -506,9 +509,6 @@ class Answers:
         self._meant = {q: a for kind, q, a in told if kind == "m"}
         self.asked: set[tuple[str, str]] = set()
 
-    def settled(self, word: str) -> bool:
-        return False
-
     def count(self, word: str) -> int:
         self.asked.add(("c", word))
         return self._counts.get(word, 0)
