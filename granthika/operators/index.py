@@ -1,34 +1,61 @@
 """Inverted index and ranked retrieval for batches of questions.
 
-Postings, document frequencies and lengths are tables; a question is a row. Nothing is broadcast that grows
-with the corpus: questions meet postings by token, and top lists are cut by Spark's window group limit
-before the shuffle by question.
+The corpus is read once: an Arrow map counts the words of each document inside its row and hands on postings,
+which are written down and then serve document frequencies, length statistics and scores. Questions meet
+postings by token and salt, so that a word of all documents is spread over tasks. Nothing is broadcast that
+grows with the corpus; top lists are cut by Spark's window group limit before the shuffle by question.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthika.functions.text import tokens
+from granthika.sources.tables import cut
 
 # Fixed values of the ranking.
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, token, tf, dl. Documents without a token have no posting, but count in the statistics.
+#: Parts into which the postings of one token are spread.
+SALTS = 32
 
-    Term counts of a document are made inside its row, so that the corpus isn't shuffled by document.
-    """
-    t = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("ts"))
-    counted = t.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
-    return counted.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
+_WORD = re.compile(r"[a-z0-9]+(?:[-'][a-z0-9]+)?")
+_POSTINGS = pa.schema([("doc_id", pa.int64()), ("dl", pa.int32()), ("token", pa.string()), ("tf", pa.int32())])
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, lengths, words, times = [], [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = Counter(_WORD.findall(text.lower())) if text else {}
+            n = sum(found.values())
+            ids += [doc_id] * (len(found) + 1)
+            lengths += [n] * (len(found) + 1)
+            words += [None, *found]
+            times += [0, *found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((ids, lengths, words, times), _POSTINGS, strict=True)], schema=_POSTINGS)
+
+
+def indexed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, dl, token, tf: the postings, and for each document a row without a token that carries its length."""
+    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(_post, "doc_id bigint, dl int, token string, tf int")
+
+
+def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, token, tf, dl; made inside each row, without a shuffle. Documents without a token have no posting."""
+    return indexed(docs, doc_id, text).where(F.col("token").isNotNull())
 
 
-def statistics(docs: DataFrame, text: str) -> DataFrame:
-    """One row: n_docs and avgdl over all documents, the empty ones too."""
-    return docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+def statistics(index: DataFrame) -> DataFrame:
+    """One row: n_docs and avgdl over all documents of an index, the empty ones too."""
+    return index.where(F.col("token").isNull()).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -40,14 +67,15 @@ def bm25(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int)
 
     A token that a question repeats counts as often as it occurs. Ties go to the smaller doc_id.
     """
-    posts = postings(docs, doc_id, text)
+    index = cut(indexed(docs, doc_id, text))
+    posts = index.where(F.col("token").isNotNull())
     asked = questions.select("qid", F.explode(tokens(F.col("question"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
-    stats = statistics(docs, text)
-    df = document_frequency(posts)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))), F.lit(1e-9))
-    weighted = asked.join(df, "token").join(F.broadcast(stats), F.lit(True)).select("qid", "token", "times", "avgdl", idf.alias("idf"))
-    hits = weighted.join(posts, "token").withColumn("part", F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm)
+    weighted = asked.join(document_frequency(posts), "token").join(F.broadcast(statistics(index)), F.lit(True)).select("qid", "token", "times", "avgdl", idf.alias("idf"))
+    salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = salted.join(posts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), ["token", "salt"])
+    hits = hits.select("qid", "doc_id", (F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
     scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return ranked(scored, F.col("score").desc(), k)
 
