@@ -57,6 +57,10 @@ def _inner(value: object) -> object:
     return value
 
 
+# In a shape the characters that build it are escaped where a key holds them.
+_MARKS, _ESCAPED = re.compile(r"[\\{}\[\],:|]"), r"\\\g<0>"
+
+
 def _scalar_state(value: object) -> str:
     if value is None:
         return "null"
@@ -86,7 +90,7 @@ def walk(value: object) -> list[tuple[str, str, str, str, list[tuple[str, str]]]
     for at in range(len(order) - 1, -1, -1):
         v, _, _, _, parent, key, _ = order[at]
         if isinstance(v, dict):
-            state = "{" + ",".join(f"{k}:{s}" for k, s in sorted(below[at])) + "}"
+            state = "{" + ",".join(f"{_MARKS.sub(_ESCAPED, k)}:{s}" for k, s in sorted(below[at])) + "}"
         elif isinstance(v, list):
             state = "[" + "|".join(sorted({s for _, s in below[at]})) + "]"
         else:
@@ -180,8 +184,14 @@ def field_values(scalars: DataFrame) -> DataFrame:
     return picked.select("src", "row_id", "path", "kind", "key", "type", of("string", "string").alias("as_string"), of("number", "double").alias("as_number"), of("bool", "boolean").alias("as_bool"))
 
 
+def routed(nodes: DataFrame) -> DataFrame:
+    """The common supertype of all subtype tables: every object with its parent link, and by kind and shape the table it goes to."""
+    return nodes.select("src", "row_id", "path", "parent_path", "kind", F.sha1("shape").alias("shape_id"))
+
+
 def found(nodes: DataFrame) -> DataFrame:
-    return nodes.select("src", "row_id", "path", "parent_path")
+    """The objects of all variants with their parent links: what every subtype table keeps of its supertype."""
+    return routed(nodes).where(F.col("shape_id").isNotNull()).select("src", "row_id", "path", "parent_path")
 
 
 def shapes(nodes: DataFrame) -> DataFrame:
@@ -198,25 +208,27 @@ def shapes(nodes: DataFrame) -> DataFrame:
 
 
 def shape_states(shape: str) -> list[tuple[str, str]]:
-    """(key, state) of the outermost object of a shape text, at any depth below it."""
-    parts, depth, at = [], 0, 1
-    for i, c in enumerate(shape):
-        depth += (c in "{[") - (c in "}]")
-        if (c == "," and depth == 1) or (depth == 0 and i):
-            parts.append(shape[at:i])
-            at = i + 1
-    pairs = []
-    for p in parts:
-        if p:
-            m = _STATE.search(p)
-            pairs.append((p[: m.start()], m.group(1)))
+    """(key, state) of the outermost object of a shape text, at any depth below it and with any characters in its keys."""
+    pairs, depth, key, part, i = [], 0, None, [], 1
+    while i < len(shape):
+        c = shape[i]
+        if c == "\\":
+            part.append(shape[i + 1] if key is None else shape[i : i + 2])
+            i += 2
+            continue
+        if depth == 0 and key is None and c == ":":
+            key, part = "".join(part), []
+        elif depth == 0 and c in ",}":
+            if key is not None:
+                pairs.append((key, "".join(part)))
+            key, part = None, []
+        else:
+            depth += (c in "{[") - (c in "}]")
+            part.append(c)
+        i += 1
     return pairs
 
 
-# The state begins at the first colon that a complete state follows.
-_STATE = re.compile(r":(null|bool|number|string|[{\[].*)$", re.S)
-
-
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         each = [shape_states(x) for x in batch.column("shape").to_pylist()]

@@ -91,5 +91,17 @@ FROM tree WHERE type = 'OBJECT'
 """
 
 
+# Scalars of the same trees: type and text as JSON writes them, the array or object that holds them, and its nearest object.
+_P6_SCALARS = P6_FOUND.split("SELECT src, row_id, replace(fullkey")[0].replace("t.fullkey, t.path, t.type FROM", "t.fullkey, t.path, t.type, t.key, t.atom FROM").rstrip() + r""",
+s AS (SELECT src, row_id, replace(path, '"', '') AS holder, key, fullkey, CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'NULL' THEN 'null' WHEN type = 'BOOLEAN' THEN 'bool' ELSE 'number' END AS state, CASE WHEN type <> 'NULL' THEN json_extract_string(atom, '$') END AS value
+  FROM tree WHERE type NOT IN ('OBJECT', 'ARRAY') AND fullkey <> '$')
+"""
+P6_VALUES = _P6_SCALARS + r"""SELECT src, row_id, holder AS path,
+  CASE WHEN regexp_matches(holder, '^\$(\[\d+\])*$') THEN '' ELSE regexp_replace(holder, '\.[^.\[\]]+(\[\d+\])*$', '') END AS parent_path, regexp_replace(holder, '\[\d+\]', '[]', 'g') AS kind,
+  regexp_extract(fullkey, '\[(\d+)\]$', 1)::INT AS "index", state AS type, value FROM s WHERE regexp_matches(fullkey, '\]$')"""
+P6_FIELDS = _P6_SCALARS + r"""SELECT src, row_id, holder AS path, regexp_replace(holder, '\[\d+\]', '[]', 'g') AS kind, key, state AS type,
+  CASE WHEN state = 'string' THEN value END AS as_string, CASE WHEN state = 'number' THEN value::DOUBLE END AS as_number, CASE WHEN state = 'bool' THEN value::BOOLEAN END AS as_bool FROM s WHERE NOT regexp_matches(fullkey, '\]$')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_FOUND} | retrieval.oracle_sql() | documents.oracle_sql() | service.oracle_sql()
+    return {"p6_found": P6_FOUND, "p6_values": P6_VALUES, "p6_fields": P6_FIELDS} | retrieval.oracle_sql() | documents.oracle_sql() | service.oracle_sql()
