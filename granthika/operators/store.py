@@ -5,13 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granthika.functions.text import normalise
+from granthika.functions.text import clean, normalise
+from granthika.operators import chunks
 
 
 def chunk_id(document_id: Column, chunk_index: Column) -> Column:
     return F.sha2(F.concat_ws("_", document_id, chunk_index), 256)
 
 
+def document_id(act_name: Column, year: Column) -> Column:
+    """The letters and digits of an act's name and its year, joined by underscores."""
+    name = F.btrim(F.regexp_replace(act_name, "[^A-Za-z0-9]+", "_"), F.lit("_"))
+    return F.concat(name, F.coalesce(F.concat(F.lit("_"), year.cast("string")), F.lit("")))
+
+
+# Reasons for which an ingest refuses a document, in the order in which they are tried.
+def refusal(text: Column, act_name: Column, source: Column) -> Column:
+    return (
+        F.when(text.isNull(), "no text").when(F.length(F.regexp_replace(text, r"\s+", "")) == 0, "blank text")
+        .when(F.coalesce(act_name, F.lit("")) == "", "no act").when(F.coalesce(source, F.lit("")) == "", "no source")
+    )
+
+
+def refused(docs: DataFrame) -> DataFrame:
+    """doc_id and reason of the documents that `records` leaves out; nothing is lost between both."""
+    reason = refusal(F.col("text"), F.col("act_name"), F.col("source"))
+    return docs.select("doc_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def records(docs: DataFrame, size: int = chunks.SIZE, overlap: int = chunks.OVERLAP) -> DataFrame:
+    """The ingest as one plan: texts are cleaned and cut, chunks get id, section and text key, and of equal ones the first is kept.
+
+    Chunks are equal if act, year, section and text are; first is the one of the smallest doc_id and index. The
+    texts are read once, and one shuffle by key finds the first with a partial minimum.
+    """
+    good = docs.where(refusal(F.col("text"), F.col("act_name"), F.col("source")).isNull())
+    cleaned = good.select("doc_id", clean(F.col("text")).alias("text"), F.struct("act_name", F.col("act_year").alias("year"), "source").alias("of"))
+    rows = chunks.chunk_rows(cleaned, "doc_id", "text", size, overlap, kept=["of"])
+    x = rows.select("doc_id", "chunk_index", "of.act_name", "of.year", "of.source", "section_number", "section_title", "chunk", text_key(F.col("chunk")).alias("text_key"))
+    first = x.groupBy("act_name", "year", "section_number", "text_key").agg(F.min_by(F.struct("doc_id", "chunk_index", "source", "section_title", "chunk"), F.struct("doc_id", "chunk_index")).alias("r"), F.count("*").alias("copies"))
+    flat = first.select("act_name", "year", "section_number", "text_key", "copies", "r.*")
+    return flat.withColumn("document_id", document_id(F.col("act_name"), F.col("year"))).withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_index")))
+
+
 def text_key(text: Column) -> Column:
     return F.sha1(normalise(text))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granthika.functions.text import AMENDMENT_NOTE, normalise, tokens
-from granthika.operators import index, vectors
+from granthika.functions.text import AMENDMENT_NOTE, normalise, script_language, tokens
+from granthika.operators import facts, index, vectors
+from granthika.operators.names import holding
 from granthika.operators.store import latest_n
 from granthika.sources.tables import table
 
@@ -91,11 +92,149 @@ def section_expansion(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(docs.select("doc_id", "section_number", "route"), ["section_number", "route"]).select("qid", "doc_id", "section_number", F.lit(0.15).alias("score"))
 
 
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-queries of each question: its title, its act, and section and act; qid, hop, question."""
+    docs = table(spark, d, "documents").where(F.col("doc_id") % 100 == 0)
+    section = F.when(F.coalesce("section_number", F.lit("")) != "", F.concat_ws(" ", F.lit("section"), "section_number", "act_name"))
+    each = F.filter(F.array(F.col("title"), F.col("act_name"), section), lambda q: F.coalesce(q, F.lit("")) != "")
+    return docs.select(F.col("doc_id").alias("qid"), F.posexplode(F.array_distinct(each)).alias("hop", "question"))
+
+
+def _hops(spark: SparkSession, d: str) -> DataFrame:
+    """qid, hop, doc_id, rank of the candidates of every sub-query, all retrieved in one batch."""
+    asked = _searches(spark, d).select((F.col("qid") * MOST_HOPS + F.col("hop")).alias("qid"), "question")
+    hits = index.bm25(asked, table(spark, d, "documents"), "doc_id", "text", CANDIDATES)
+    return hits.select(F.floor(F.col("qid") / MOST_HOPS).cast("bigint").alias("qid"), F.pmod("qid", F.lit(MOST_HOPS)).cast("int").alias("hop"), "doc_id", "rank")
+
+
+#: Sub-queries of a question, weight of the first, characters by which equal texts are known, and texts that are verified.
+MOST_HOPS, FIRST_WEIGHT, PREFIX, SOURCES, EXCERPT, CARDS = 4, 1.2, 120, 8, 350, 5
+# Authority of an act of the catalogue, and of any other source.
+CATALOGUED, OTHER = 1.0, 0.85
+
+
+def multi_query_union(spark: SparkSession, d: str) -> DataFrame:
+    """RET-10, SET-04: candidates of all sub-queries one after the other, the first of those that begin alike, by position."""
+    docs = table(spark, d, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, PREFIX).alias("head"))
+    x = _hops(spark, d).join(docs, "doc_id").groupBy("qid", "head").agg(F.min(F.struct("hop", "rank", "doc_id")).alias("m")).select("qid", "m.*")
+    w = Window.partitionBy("qid").orderBy("hop", "rank")
+    return x.select("qid", "doc_id", F.row_number().over(w).alias("place"))
+
+
+def multi_hop_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """HOP-01, TOP-05, TOP-09, DOC-13: ranks of all sub-queries fused, the first one's counting more; the best of each title and section, ten each."""
+    weighted = _hops(spark, d).select("qid", "doc_id", F.lit("bm25").alias("method"), "rank", F.when(F.col("hop") == 0, FIRST_WEIGHT).otherwise(1.0).alias("weight"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("section_number", F.lit("")).alias("section"))
+    fused = index.fuse(weighted).join(docs, "doc_id")
+    best = fused.groupBy("qid", "title", "section").agg(F.max_by(F.struct("doc_id", "rrf"), F.struct(F.col("rrf"), -F.col("doc_id"))).alias("b"))
+    return index.ranked(best.select("qid", "b.*"), F.col("rrf").desc(), 10).select("qid", "doc_id", F.round("rrf", 4).alias("score"), "rank")
+
+
+def section_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """RET-18: of the candidates of a question the first of each act, source and section, or of each beginning where there is no section."""
+    section = F.coalesce("section_number", F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("title", "act_name", F.lit("")).alias("act"), F.coalesce("source", F.lit("")).alias("source"), F.when(section != "", section).otherwise(F.concat(F.lit("\x01"), F.substring(F.coalesce("text", F.lit("")), 1, PREFIX))).alias("key"))
+    first = _bm25(spark, d).join(docs, "doc_id").groupBy("qid", "act", "source", "key").agg(F.min(F.struct("rank", "doc_id")).alias("m"))
+    return first.select("qid", "m.doc_id", "m.rank")
+
+
+def section_accessor(spark: SparkSession, d: str) -> DataFrame:
+    """RET-21: the section of each document, from its number or else from the beginning of its title."""
+    of_title = F.regexp_extract(F.coalesce("title", F.lit("")), r"^(?:Section\s*)?([0-9]+[A-Za-z]?)\b", 1)
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.trim("section_number"), F.lit("")), of_title).alias("section"))
+
+
+def rerank_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-06: candidates with a fused score above 0.05 or a similarity above 0.4, or else the first three of the question."""
+    x = _fused(spark, d).groupBy("qid", "doc_id").agg(F.sum(F.col("weight") / (index.RRF_K + F.col("rank"))).alias("rrf"), F.max(F.when(F.col("method") == "semantic", F.col("score"))).alias("semantic"))
+    x = x.withColumn("good", (F.round("rrf", 8) > 0.05) | (F.coalesce("semantic", F.lit(0.0)) > 0.4))
+    w = Window.partitionBy("qid")
+    x = x.withColumn("any", F.bool_or("good").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.round("rrf", 8).desc(), "doc_id")))
+    return x.where(F.col("good") | ~F.col("any") & (F.col("place") <= 3)).select("qid", "doc_id")
+
+
+def source_cards(spark: SparkSession, d: str) -> DataFrame:
+    """CIT-04: the final list of each question as cards, five each."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("act_name", "title", F.lit("Statutory Act")).alias("act_name"), F.coalesce(F.nullif("section_number", F.lit("")), F.lit("General")).alias("section"), F.coalesce("authority", F.lit("Government of India")).alias("authority"), F.col("act_year").alias("year"), "source", F.coalesce(F.nullif("route", F.lit("")), F.lit("general")).alias("route"))
+    return minmax_hybrid(spark, d).where(F.col("rank") <= CARDS).join(docs, "doc_id").select("qid", "rank", "act_name", "section", "authority", "year", "source", F.when(F.col("score") > 0.3, "high").otherwise("verified").alias("confidence"), "route")
+
+
+def source_list(spark: SparkSession, d: str) -> DataFrame:
+    """CIT-05: the first five different sources and sections among the candidates of a question."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("section_number", F.lit("")).alias("section"))
+    first = _bm25(spark, d).join(docs, "doc_id").groupBy("qid", "source", "section").agg(F.min("rank").alias("first"))
+    return latest_n(first, "qid", [F.col("first")], 5).select("qid", "source", "section", "place")
+
+
+def _verified(spark: SparkSession, d: str) -> DataFrame:
+    acts = table(spark, d, "acts").select("act_name", F.lit(CATALOGUED).alias("known"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("section_number", F.lit("")).alias("section"), "act_name", F.coalesce("text", F.lit("")).alias("t"))
+    hits = _bm25(spark, d).select("qid", "doc_id", "rank").join(docs, "doc_id")
+    first = hits.groupBy("qid", "title", "section").agg(F.min(F.struct("rank", "doc_id", "act_name", "t")).alias("m"))
+    kept = latest_n(first.select("qid", "title", "section", "m.*"), "qid", [F.col("rank")], SOURCES).drop("place").join(acts, "act_name", "left")
+    bare = F.regexp_replace("t", r"^\s+|\s+$", "")
+    return kept.select(
+        "qid", "doc_id", "rank", "title", "section", ((F.col("section") != "") | (F.col("title") != "") | (F.length(bare) > 40)).alias("is_verified"),
+        F.concat(F.substring(bare, 1, EXCERPT), F.when(F.length(bare) > EXCERPT, "...").otherwise("")).alias("excerpt"), F.coalesce("known", F.lit(OTHER)).alias("authority_score"),
+    )
+
+
+def verified_sources(spark: SparkSession, d: str) -> DataFrame:
+    """CIT-02, CIT-03, TOP-06: the first eight different titles and sections of a question, verified, by authority."""
+    w = Window.partitionBy("qid").orderBy(F.desc("authority_score"), "rank")
+    return _verified(spark, d).withColumn("place", F.row_number().over(w)).drop("rank")
+
+
+def source_authority(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-09: sources and average authority of each question."""
+    return _verified(spark, d).groupBy("qid").agg(F.count("*").alias("n_sources"), F.round(F.avg("authority_score"), 6).alias("avg_authority"))
+
+
+def evidence_graph(spark: SparkSession, d: str) -> DataFrame:
+    """GPH-01: the edges from each question over its text's first sums and deadlines to the issue, and on to provisions and their sources."""
+    docs = table(spark, d, "documents").where(F.col("doc_id") % 100 == 0)
+    text = F.coalesce("text", F.lit(""))
+    few = lambda items: F.least(F.size(items), F.lit(2))
+    sums = F.filter(F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in facts.AMOUNTS]), lambda v: F.lower(F.regexp_replace(v, r"[^0-9A-Za-z_]", "")))), lambda v: v != "")
+    counted = docs.select(F.col("doc_id").alias("qid"), few(sums).alias("sums"), few(facts.values(F.col("text"), "notice_deadline")).alias("days"))
+    named = lambda n, name, how: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.struct(F.concat(F.lit(name), i.cast("string")).alias("id"), F.lit(how).alias("how")))
+    claims = F.concat(named(F.col("sums"), "node_claim_amt_", "references_claim"), named(F.col("days"), "node_claim_dl_", "stipulates_timeline"))
+    inquiry = F.array(F.struct(F.lit("node_fact_inquiry").alias("id"), F.lit("formulates_inquiry").alias("how")))
+    claim = counted.select("qid", F.explode(F.when(F.col("sums") + F.col("days") > 0, claims).otherwise(inquiry)).alias("c"))
+    edge = lambda a, b, how: F.struct(a.alias("source_id"), b.alias("target_id"), how.alias("relationship"))
+    above = claim.select("qid", F.explode(F.array(edge(F.lit("node_question"), F.col("c.id"), F.col("c.how")), edge(F.col("c.id"), F.lit("node_legal_issue"), F.lit("raises_issue")))).alias("e"))
+    found = verified_sources(spark, d).where("place <= 4").select("qid", (F.col("place") - 1).cast("string").alias("i"))
+    prov, src = F.concat(F.lit("node_prov_"), "i"), F.concat(F.lit("node_src_"), "i")
+    below = found.select("qid", F.explode(F.array(edge(F.lit("node_legal_issue"), prov, F.lit("governed_by")), edge(prov, src, F.lit("codified_in")))).alias("e"))
+    return above.unionAll(below).select("qid", "e.*")
+
+
+def kb_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-01: documents by parts of domain, section and authority; `all` leaves one out."""
+    return kb_filter(table(spark, d, "documents"), domain="tenancy", section="1", authority="all").select("doc_id", "route", "act_name", "section_number")
+
+
+def kb_filter(docs: DataFrame, domain: str = "all", section: str = "all", authority: str = "all") -> DataFrame:
+    has = lambda c, part: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(part.lower()))
+    for wanted, test in ((domain, lambda p: has("route", p) | has("act_name", p)), (section, lambda p: has("section_number", p)), (authority, lambda p: has("authority", p))):
+        if wanted.lower() not in ("", "all"):
+            docs = docs.where(test(wanted))
+    return docs
+
+
+def label_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-10: how many labelled documents have the language of their script, in percent by label."""
+    x = table(spark, d, "documents").where(F.coalesce("lang", F.lit("")) != "").select("lang", F.substring(script_language(F.col("text")), 1, 2).alias("found"))
+    same = (F.when(F.col("found") == "ka", "kn").otherwise(F.col("found")) == F.col("lang")).cast("int")
+    return x.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(same) * 100, 4).alias("accuracy"))
+
+
 def kb_search(spark: SparkSession, d: str) -> DataFrame:
     """FLT-01..03, TOP-07: each act's name searched over the dataset sections, five best."""
-    acts = table(spark, d, "acts").select("act_id", F.lower("act_name").alias("q"))
+    acts = table(spark, d, "acts").select(F.col("act_id").cast("bigint").alias("act_id"), F.lower("act_name").alias("q"))
     rows = table(spark, d, "datasets").select("dataset_id", "act_name", "section_number", "section_title", "text")
-    x = rows.join(F.broadcast(acts.limit(1_000)), F.lower(F.coalesce("text", F.lit(""))).contains(F.col("q")) | F.lower(F.coalesce("act_name", F.lit(""))).contains(F.col("q")))
+    met = holding(rows, ["lower(text)", "lower(act_name)"], acts, "act_id", "q")
+    x = met.where(F.size("held") > 0).withColumn("act_id", F.explode("held")).join(acts, "act_id").withColumn("act_id", F.col("act_id").cast("int"))
     body = F.lower(F.concat_ws(" ", F.col("act_name"), F.col("section_title"), F.col("text")))
     words = F.split("q", " ")
     hits = F.size(F.filter(words, lambda w: F.contains(body, w)))
@@ -120,14 +259,15 @@ def kb_acts_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def statute_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """CIT-01, JOIN-08: the first act, in table order, that each request's text names. The acts are a fixed table."""
-    acts = table(spark, d, "acts").limit(1_000).select("act_id", F.lower("act_name").alias("q"))
+    """CIT-01, JOIN-08: the first act, in table order, that each request's text names; each text is read once for all acts."""
+    acts = table(spark, d, "acts").select("act_id", F.lower("act_name").alias("q"))
     texts = table(spark, d, "analyze_text_requests").select("request_id", normalise(F.col("text")).alias("t"))
-    return texts.join(F.broadcast(acts), F.contains(F.col("t"), F.col("q"))).groupBy("request_id").agg(F.min("act_id").alias("act_id"), F.count("*").alias("n_acts"))
+    met = holding(texts, ["t"], acts, "act_id", "q").where(F.size("held") > 0)
+    return met.groupBy("request_id").agg(F.min(F.array_min("held")).cast("int").alias("act_id"), F.sum(F.size("held")).alias("n_acts"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (token_df_top, doc_length_stats, bm25_topk, knn_l2_topk, rrf_fusion, minmax_hybrid, token_overlap, section_expansion, kb_search, kb_stats, kb_acts_catalog, statute_resolve)}
+    return {f.__name__: f for f in (token_df_top, doc_length_stats, bm25_topk, knn_l2_topk, rrf_fusion, minmax_hybrid, token_overlap, section_expansion, kb_search, kb_stats, kb_acts_catalog, statute_resolve, multi_query_union, multi_hop_fusion, section_dedup, section_accessor, rerank_threshold, source_cards, source_list, verified_sources, source_authority, evidence_graph, kb_filtered, label_accuracy)}
 
 
 _TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '([a-z0-9]+(?:[-''][a-z0-9]+)?)', 1)"
@@ -154,8 +294,59 @@ fr AS (SELECT qid, doc_id, 'bm25' AS method, rank, score FROM bm UNION ALL SELEC
 """
 
 
-def oracle_sql() -> dict[str, str]:
+def _bm25_of(questions: str) -> str:
+    """The same for any questions, a query with qid and token."""
+    head, tail = _BM25.split("q AS (")[0], _BM25.split("scored AS (")[1]
+    return head + f"q AS ({questions}),\nscored AS (" + tail
+
+
+_SEARCHES = f"""SELECT qid * 4 + hop AS qid, unnest({_TOKENS.format('question')}) AS token FROM (SELECT qid, unnest(qs) AS question, generate_subscripts(qs, 1) - 1 AS hop FROM (
+  SELECT doc_id AS qid, list_filter(qs, lambda x, i: list_position(qs, x) = i) AS qs FROM (SELECT doc_id, list_filter([title, act_name, CASE WHEN coalesce(section_number, '') <> '' THEN concat_ws(' ', 'section', section_number, act_name) END], lambda x: coalesce(x, '') <> '') AS qs FROM documents WHERE doc_id % 100 = 0)))"""
+_HOPS = _bm25_of(_SEARCHES).rstrip() + ",\nhops AS (SELECT qid // 4 AS qid, qid % 4 AS hop, doc_id, rank FROM bm)"
+_VERIFIED = _BM25.rstrip() + f""",
+vf AS (SELECT bm.qid, bm.doc_id, rank, coalesce(title, '') AS title, coalesce(section_number, '') AS section, d.act_name, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM bm JOIN documents d ON d.doc_id = bm.doc_id
+  QUALIFY row_number() OVER (PARTITION BY bm.qid, coalesce(title, ''), coalesce(section_number, '') ORDER BY rank) = 1),
+v8 AS (SELECT * FROM vf QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= {SOURCES}),
+vs AS (SELECT qid, doc_id, rank, title, section, section <> '' OR title <> '' OR length(t) > 40 AS is_verified, substr(t, 1, {EXCERPT}) || CASE WHEN length(t) > {EXCERPT} THEN '...' ELSE '' END AS excerpt,
+  CASE WHEN act_name IN (SELECT act_name FROM acts) THEN {CATALOGUED} ELSE {OTHER} END::DOUBLE AS authority_score FROM v8)
+"""
+
+
+def _more_sql(hybrid: str) -> dict[str, str]:
+    sums = "list_filter(list_distinct(list_transform(list_concat(" + ", ".join(f"regexp_extract_all(coalesce(text, ''), '{p}', 0)" for p in facts.AMOUNTS) + "), lambda x: lower(regexp_replace(x, '[^0-9A-Za-z_]', '', 'g')))), lambda x: x <> '')"
+    days = f"list_distinct(regexp_extract_all(coalesce(text, ''), '{facts.FACTS['notice_deadline'][0]}', 0))"
+    place = "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY authority_score DESC, rank) AS place FROM vs"
     return {
+        "multi_query_union": _HOPS + f""" SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY hop, rank) AS place FROM (SELECT hops.*, substr(coalesce(text, ''), 1, {PREFIX}) AS head FROM hops JOIN documents USING (doc_id)
+  QUALIFY row_number() OVER (PARTITION BY qid, head ORDER BY hop, rank, doc_id) = 1)""",
+        "multi_hop_fusion": _HOPS + f""", f AS (SELECT qid, doc_id, round(sum(CASE WHEN hop = 0 THEN {FIRST_WEIGHT}::DOUBLE ELSE 1.0 END / (60 + rank)), 8) AS rrf FROM hops GROUP BY 1, 2),
+b AS (SELECT qid, f.doc_id, rrf FROM f JOIN documents d ON d.doc_id = f.doc_id QUALIFY row_number() OVER (PARTITION BY qid, coalesce(title, ''), coalesce(section_number, '') ORDER BY rrf DESC, f.doc_id) = 1)
+SELECT qid, doc_id, round(rrf, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id) AS rank FROM b QUALIFY rank <= 10""",
+        "section_dedup": _BM25 + f"""SELECT qid, bm.doc_id, rank FROM bm JOIN documents d ON d.doc_id = bm.doc_id QUALIFY row_number() OVER (PARTITION BY qid, coalesce(title, act_name, ''), coalesce(source, ''),
+  CASE WHEN coalesce(section_number, '') <> '' THEN section_number ELSE chr(1) || substr(coalesce(text, ''), 1, {PREFIX}) END ORDER BY rank) = 1""",
+        "section_accessor": r"SELECT doc_id, coalesce(nullif(trim(section_number, ' '), ''), regexp_extract(coalesce(title, ''), '^(?:Section\s*)?([0-9]+[A-Za-z]?)\b', 1)) AS section FROM documents",
+        "rerank_threshold": _FUSED + """, x AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf, max(CASE WHEN method = 'semantic' THEN score END) AS s FROM fr GROUP BY 1, 2),
+y AS (SELECT *, rrf > 0.05 OR coalesce(s, 0) > 0.4 AS good, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id) AS place FROM x),
+z AS (SELECT *, bool_or(good) OVER (PARTITION BY qid) AS hit FROM y) SELECT qid, doc_id FROM z WHERE good OR (NOT hit AND place <= 3)""",
+        "source_cards": f"""WITH h AS ({hybrid}) SELECT qid, rank, coalesce(act_name, title, 'Statutory Act') AS act_name, coalesce(nullif(section_number, ''), 'General') AS section, coalesce(authority, 'Government of India') AS authority, act_year AS year, source,
+  CASE WHEN score > 0.3 THEN 'high' ELSE 'verified' END AS confidence, coalesce(nullif(route, ''), 'general') AS route FROM h JOIN documents d ON d.doc_id = h.doc_id WHERE rank <= {CARDS}""",
+        "source_list": _BM25 + """SELECT qid, source, section, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM (SELECT qid, coalesce(source, '') AS source, coalesce(section_number, '') AS section, min(rank) AS first FROM bm JOIN documents d ON d.doc_id = bm.doc_id GROUP BY 1, 2, 3) QUALIFY place <= 5""",
+        "verified_sources": _VERIFIED + f"SELECT * EXCLUDE (rank) FROM ({place})",
+        "source_authority": _VERIFIED + "SELECT qid, count(*) AS n_sources, round(avg(authority_score), 6) AS avg_authority FROM vs GROUP BY 1",
+        "evidence_graph": _VERIFIED.rstrip() + f""",
+n AS (SELECT doc_id AS qid, least(len({sums}), 2) AS a, least(len({days}), 2) AS b FROM documents WHERE doc_id % 100 = 0),
+c AS (SELECT qid, 'node_claim_amt_' || unnest(range(a)) AS id, 'references_claim' AS how FROM n UNION ALL SELECT qid, 'node_claim_dl_' || unnest(range(b)), 'stipulates_timeline' FROM n UNION ALL SELECT qid, 'node_fact_inquiry', 'formulates_inquiry' FROM n WHERE a + b = 0),
+p AS (SELECT qid, (place - 1)::VARCHAR AS i FROM ({place}) WHERE place <= 4)
+SELECT qid, 'node_question' AS source_id, id AS target_id, how AS relationship FROM c UNION ALL SELECT qid, id, 'node_legal_issue', 'raises_issue' FROM c
+UNION ALL SELECT qid, 'node_legal_issue', 'node_prov_' || i, 'governed_by' FROM p UNION ALL SELECT qid, 'node_prov_' || i, 'node_src_' || i, 'codified_in' FROM p""",
+        "kb_filtered": "SELECT doc_id, route, act_name, section_number FROM documents WHERE (contains(lower(coalesce(route, '')), 'tenancy') OR contains(lower(coalesce(act_name, '')), 'tenancy')) AND contains(lower(coalesce(section_number, '')), '1')",
+        "label_accuracy": r"""SELECT lang, count(*) AS n, round(avg(CASE WHEN found = lang THEN 1 ELSE 0 END) * 100, 4) AS accuracy FROM (SELECT lang, CASE WHEN kn > hi AND kn > 0 THEN 'kn' WHEN hi > 0 THEN 'hi' ELSE 'en' END AS found FROM
+  (SELECT lang, length(regexp_replace(coalesce(text, ''), '[^\x{0900}-\x{097F}]', '', 'g')) AS hi, length(regexp_replace(coalesce(text, ''), '[^\x{0C80}-\x{0CFF}]', '', 'g')) AS kn FROM documents WHERE coalesce(lang, '') <> '')) GROUP BY 1""",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    own = {
         "token_df_top": f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY 1 ORDER BY df DESC, token LIMIT 100",
         "doc_length_stats": f"SELECT source, count(*) AS n_docs, sum(len({_TOKENS.format('text')}))::BIGINT AS n_tokens, max(len({_TOKENS.format('text')})) AS longest, round(avg(len({_TOKENS.format('text')})), 6) AS avgdl FROM documents GROUP BY 1",
         "bm25_topk": _BM25 + "SELECT qid, doc_id, score, rank FROM bm",
@@ -185,3 +376,4 @@ SELECT *, row_number() OVER (PARTITION BY act_id ORDER BY relevance DESC, datase
         "kb_acts_catalog": "SELECT a.act_name, a.act_year, a.route, count(d.doc_id) AS n_docs, arg_min_null(d.authority, d.doc_id) AS authority, min(d.doc_id) AS first_doc FROM acts a LEFT JOIN documents d USING (act_name) GROUP BY 1, 2, 3",
         "statute_resolve": r"SELECT request_id, min(act_id) AS act_id, count(*) AS n_acts FROM analyze_text_requests, acts WHERE contains(regexp_replace(trim(lower(coalesce(text, ''))), '\s+', ' ', 'g'), lower(act_name)) GROUP BY 1",
     }
+    return own | _more_sql(own["minmax_hybrid"])
