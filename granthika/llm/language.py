@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granthika.llm.conversations import clean_role
-from granthika.llm.language_samples import SAMPLES
+from granthika.llm.prose import MORE, PROSE
 from granthika.llm.lookalike import CYRILLIC, GREEK, LATIN
 
 LANGUAGES = ("english", "hindi", "kannada")
@@ -74,6 +74,10 @@ def _bundle(words: list[str]) -> np.ndarray:
     return total
 
 
+#: The texts from which the profiles are made, by language and script.
+SAMPLES = {k: text + MORE.get(k, "") for k, text in PROSE.items()}
+
+
 @lru_cache(maxsize=1)
 def prototypes() -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the profiles, and the language of each; the mean of all profiles is taken out."""

@@ -215,14 +215,18 @@ def all_rows(datasets: DataFrame, messages: DataFrame) -> DataFrame:
     return rows_of(datasets, "datasets", "dataset_id").unionAll(rows_of(messages, "chat_messages", "id", part))
 
 
+def _keyed(looks: DataFrame) -> DataFrame:
+    """src, id, k (part and look) and raw (characters) of the rows that can be paired."""
+    return looks.where((F.col("look") != "") & F.col("part").isNotNull()).select("src", "id", F.sha1(F.concat_ws("\x1e", "part", "look")).alias("k"), F.xxhash64("text", F.length("text")).alias("raw"))
+
+
 def pairs(looks: DataFrame) -> DataFrame:
     """src, a_id < b_id of rows that look the same but differ in their characters.
 
     Distinct spellings of a look are paired first and their rows joined afterwards, so that a look with very
     many identical copies costs no more than the pairs that come out.
     """
-    rows = looks.where((F.col("look") != "") & F.col("part").isNotNull()).select("src", "id", F.sha1(F.concat_ws("\x1e", "part", "look")).alias("k"), F.xxhash64("text", F.length("text")).alias("raw"))
-    rows = cut(rows)  # read three times below; texts are rewritten once
+    rows = cut(_keyed(looks))  # read three times below; texts are rewritten once
     spellings = rows.groupBy("src", "k", "raw").agg(F.lit(1).alias("one")).drop("one")
     several = spellings.groupBy("src", "k").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("src", "k")
     some = spellings.join(several, ["src", "k"], "left_semi")
@@ -233,6 +237,30 @@ def pairs(looks: DataFrame) -> DataFrame:
     return y.where("x <> y").select("src", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
 
 
+#: Parts into which the rows of one look are spread for a join.
+SALTS = 16
+
+
+def classes_of(looks: DataFrame) -> DataFrame:
+    """src, id, class_id and n_links of every row that has a look and a part.
+
+    class_id is the smallest id of the rows that look the same; n_links is how many of them differ in their
+    characters. Rows with equal characters are counted before they meet, and every count is carried back with
+    a salt, so that a look that a third of all rows have is neither paired nor collected.
+    """
+    rows = cut(_keyed(looks))
+    spelt = rows.groupBy("src", "k", "raw").agg(F.count("*").alias("same"), F.min("id").alias("first"))
+    whole = spelt.groupBy("src", "k").agg(F.sum("same").alias("all"), F.min("first").alias("class_id"))
+    facts = spelt.join(whole, ["src", "k"]).select("src", "k", "raw", "class_id", (F.col("all") - F.col("same")).alias("n_links"))
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["src", "k", "raw", "salt"])
+    return met.select("src", "id", "class_id", "n_links")
+
+
+def classed(datasets: DataFrame, messages: DataFrame) -> DataFrame:
+    return classes_of(looks(datasets, messages, paired=True))
+
+
 def looks(datasets: DataFrame, messages: DataFrame, paired: bool = False) -> DataFrame:
     """The look of every text, or only of the rows that can be `paired`."""
     to = representatives(member_counts([datasets.select("text"), messages.select("text")]))

@@ -26,6 +26,11 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segment_rows(table(spark, d, "chat_messages"))
 
 
+def p2_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every message with its confidence, and the languages of its whole sentences; null where it shows none."""
+    return language.labelled(table(spark, d, "chat_messages")).select("id", "lang", "confidence", "whole")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.found(table(spark, d, "analyze_text_requests"))
 
@@ -51,6 +56,11 @@ def p5_looks(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.looks(table(spark, d, "datasets"), table(spark, d, "chat_messages")).select("src", "id", "look")
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each row with the class of its look and its number of links to rows with other characters."""
+    return lookalike.classed(table(spark, d, "datasets"), table(spark, d, "chat_messages"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -73,4 +83,4 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_segments, p3_found, p3_texts, p4_found, p4_turns, p5_found, p5_looks, p7_ids, p8_containers, p8_utilisation, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_messages, p2_segments, p3_found, p3_texts, p4_found, p4_turns, p5_found, p5_looks, p5_classes, p7_ids, p8_containers, p8_utilisation, p9_found, p9_sources)}

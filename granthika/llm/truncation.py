@@ -27,6 +27,8 @@ from granthika.sources.tables import cut
 
 #: Words of an ending, and the least distinct texts by which a closing line is known.
 ENDING_WORDS, KNOWN_CLOSINGS = 4, 3
+#: A closing line is short; a longer last line is text.
+CLOSING_WORDS = 8
 #: Share of all distinct texts from which a line counts as a closing; chance repeats of cut lines stay below it.
 CLOSING_SHARE = 0.0005
 #: From this share of unterminated texts on, a source's missing terminators say little.
@@ -43,7 +45,7 @@ _SENTENCE_END = re.compile(r"[.?!।॥]+[\"”’)\]]*(?=\s|$)")
 _ELLIPSIS = re.compile(r"(?:\.{2,}|…)$")
 _STRUCTURE = re.compile(r"[\"“”()\[\]{}]|</?[A-Za-z][^<>\n]*>|<\|?[a-z_]+\|?>|\n")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“"}
-_BROKEN = re.compile(r"(?:�|\\u?[0-9A-Fa-f]{0,3}|&#?[A-Za-z0-9]{1,8}|<[A-Za-z/!|][^<>\s]{0,40}|%[0-9A-F]?)$")
+_BROKEN = re.compile(r"(?:�|\\u?[0-9A-Fa-f]{0,3}|&#?[A-Za-z0-9]{1,8}|<[A-Za-z/!|][^<>\s]*|%[0-9A-F]?)$")
 # Abbreviations whose dot ends no sentence.
 _ABBREVIATION = re.compile(r"(?:^|[\s(])(?:Rs|No|Nos|INR|Smt|Shri|Dr|Mr|Mrs|Ms|Sri|St|H\.No|O\.S|Crl|Crl\.P|W\.P|C\.C|Art|Sec|vs?|viz|i\.e|e\.g|p\.a|p|O|S|M/s|C/o|[A-Z](?:\.[A-Z])*|\d{1,2}[./-]\d{1,2}|(?:of|on|dated|from|since|by) \d{1,2})\.$")
 _DATE = r"\d{1,2}[./-]\d{1,2}[./-]\d{4}"
@@ -51,7 +53,7 @@ _CLOSING = re.compile(
     r"^(?:\[[^\[\]]+\]|\((?:[a-z]|[ivx]{1,4})\) \S.*|[^\s:]+(?: [^\s:]+){0,3}: ?(?:(?:₹|Rs\.?|INR) ?[\d,]*\d{3}(?:/-)?|.*\bsection \d+[A-Z]?|" + _DATE + r")"
     r"|(?:\S+ ){0,6}?" + _DATE + r"|[A-Z][A-Z ]+[A-Z]|(?:Sd|Signed|हस्ता|ಸಹಿ)[^ ]*.*)$"
 )
-_SIGNED = re.compile(r"(?:^|\n)(?:Sd|Signed|हस्ता|ಸಹಿ)[./-]*\s*\n[^\n]{1,80}$")
+_SIGNED = re.compile(r"^(?:Sd|Signed|हस्ता|ಸಹಿ)[./-]*\s*$")
 
 _TAIL = "doc_id bigint, source string, terminated boolean, evidence string, ending string, closing string, last_word string, n int, h bigint"
 _TAIL_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("terminated", pa.bool_()), ("evidence", pa.string()), ("ending", pa.string()), ("closing", pa.string()), ("last_word", pa.string()), ("n", pa.int32()), ("h", pa.int64())])
@@ -93,6 +95,17 @@ def open_at_end(text: str) -> str:
     return "".join(x if len(x) == 1 else f"<{x}>" for x in stack)
 
 
+def _last_words(text: str) -> str:
+    """The last two words: no abbreviation has more."""
+    return " ".join(text.rsplit(None, 2)[-2:])
+
+
+def _signed(body: str) -> bool:
+    """Whether the last line is what stands below a signature."""
+    lines = body.rsplit("\n", 2)
+    return len(lines) > 1 and bool(_SIGNED.match(lines[-2]))
+
+
 def judge(text: str) -> tuple[bool, str, str, str, str] | None:
     """(terminated, evidence, ending, closing line, last word) of a text that shows something.
 
@@ -101,7 +114,8 @@ def judge(text: str) -> tuple[bool, str, str, str, str] | None:
     body = _UNSEEN_TAIL.sub("", text)
     if not body:
         return None
-    if _BROKEN.search(body[-60:]):
+    end = body.rsplit(None, 1)[-1]
+    if _BROKEN.search(end):
         return False, "cut", "", "", ""
     bare = _ELLIPSIS.sub("", body)
     dotted = len(bare) < len(body)
@@ -109,19 +123,19 @@ def judge(text: str) -> tuple[bool, str, str, str, str] | None:
     terminated = not dotted and unquoted[-1:] in TERMINATORS and unquoted != ""
     line = bare[bare.rfind("\n") + 1 :].strip()
     if terminated:
-        short = _ABBREVIATION.search(unquoted[-40:])
+        short = _ABBREVIATION.search(_last_words(unquoted))
         return True, "cut" if short or open_at_end(body) else "whole", "", "", ""
-    if not dotted and (_CLOSING.match(line) and not open_at_end(body) or _SIGNED.search(body[-120:])):
+    if not dotted and (_CLOSING.match(line) and not open_at_end(body) or _signed(body)):
         return False, "whole", "", "", ""
     if open_at_end(body):
         return False, "cut", "", "", ""
     at = 0
     for m in _SENTENCE_END.finditer(bare, max(0, bare.rfind("\n"))):
-        if not _ABBREVIATION.search(bare[max(0, m.end() - 40) : m.start() + 1]):
+        if not _ABBREVIATION.search(_last_words(bare[bare.rfind("\n", 0, m.start()) + 1 : m.start() + 1])):
             at = m.end()
     last = bare[max(at, bare.rfind("\n") + 1) :]
     words = last.split()
-    return False, "", ending(last), mask(line) if len(line) <= 120 else "", mask(words[-1]) if words else ""
+    return False, "", ending(last), mask(line) if len(line.split()) <= CLOSING_WORDS else "", mask(words[-1]) if words else ""
 
 
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +166,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(words) > 2:  # a mark and a single word are no sentence
                     seen.add(" ".join(words))
                 at = m.end()
-        kept = {mask(x) for x in seen if not _ABBREVIATION.search(x[-30:] + ".")}
+        kept = {mask(x) for x in seen if not _ABBREVIATION.search(_last_words(x) + ".")}
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string())], ["ending"])
 
 
@@ -181,29 +195,31 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     lines = open_.where(F.col("closing") != "").select("closing", "h").distinct().groupBy("closing").agg(F.count("*").alias("closers"))
     all_texts = t.select("h").distinct().agg(F.count("*").alias("all_texts"))
     lines = lines.where(F.col("closers") >= KNOWN_CLOSINGS).crossJoin(F.broadcast(all_texts))
-    known = lines.where(F.col("closers") >= CLOSING_SHARE * F.col("all_texts")).where(F.size(F.split("closing", " ")) <= 8)
+    known = lines.where(F.col("closers") >= CLOSING_SHARE * F.col("all_texts")).select("closing", F.lit(True).alias("closes"))
+    # Only endings that open tails have are carried back, and only words; all of them with a salt, as one tail may be a third of all.
+    ended = open_.select("ending").distinct().join(ends, "ending").select("ending", F.lit(True).alias("ends"))
     words = ends.select(F.element_at(F.split("ending", " "), -1).alias("last_word")).distinct()
-    x = open_.join(ends.withColumn("ends", F.lit(True)), "ending", "left")
-    x = x.join(known.select("closing", F.lit(True).alias("closes")), "closing", "left")
-    x = x.join(words.withColumn("worded", F.lit(True)), "last_word", "left")
+    worded = open_.select("last_word").distinct().join(words, "last_word").select("last_word", F.lit(True).alias("worded"))
+    x = _salted(_salted(open_, ended, ["ending"]), worded, ["last_word"])
+    x = _salted(x.where(F.col("closing") != ""), known, ["closing"]).unionByName(x.where(F.col("closing") == "").withColumn("closes", F.lit(None).cast("boolean")))
     per = open_.select("source", "n", "h").distinct().groupBy("source", "n").agg(F.count("*").alias("texts"))
     of = per.groupBy("source").agg(F.sum("texts").alias("all_texts"))
     limits = per.where(F.col("texts") >= LIMIT_TEXTS).join(of.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     limits = limits.where(F.col("texts") >= LIMIT_SHARE * F.col("all_texts")).select("source", "n", F.lit(True).alias("limited"))
-    x = _by_source(_by_source(x, habits, []), limits, ["n"])
+    x = _salted(_salted(x, habits, ["source"]), limits, ["source", "n"])
     whole = F.col("ends").isNotNull() | F.col("closes").isNotNull() | ((F.col("unterminated") > HABIT) & F.col("worded").isNotNull())
     undecided = x.select("doc_id", "source", (F.col("limited").isNotNull() | ~whole).alias("cut"))
     return t.where(F.col("evidence") != "").select("doc_id", "source", (F.col("evidence") == "cut").alias("cut")).unionAll(undecided)
 
 
-def _by_source(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the facts of their source. One source may hold a third of all rows, so both sides carry a salt."""
-    right = facts.select(*[F.col(c).alias(f"of_{c}") if c in ("source", *keys) else F.col(c) for c in facts.columns])
+def _salted(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the facts of their keys, null keys too. One key may hold a third of all rows, so both sides carry a salt."""
+    right = facts.select(*[F.col(c).alias(f"of_{c}") if c in keys else F.col(c) for c in facts.columns])
     right = right.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int") == F.col("of_salt")
-    for k in ("source", *keys):
+    for k in keys:
         on &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    return rows.join(right, on, "left").drop("of_salt", *[f"of_{k}" for k in ("source", *keys)])
+    return rows.join(right, on, "left").drop("of_salt", *[f"of_{k}" for k in keys])
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -128,6 +128,20 @@ def test_pairs_against_brute_force(spark):
     assert got == want | {("chat_messages", 1, 2), ("chat_messages", 2, 6)}
 
 
+def test_classes_count_their_links(spark):
+    r = random.Random(9)
+    texts = [r.choice(["pay", "p\u0430y", "pa\u200by", "Pay", "other", None, " "]) for _ in range(80)]
+    data = spark.createDataFrame(list(enumerate(texts)), "dataset_id long, text string")
+    chat = spark.createDataFrame([(1, "s", "user", "ok"), (2, "s", "Human", "o\u200bk"), (3, None, "user", "ok")], "id long, session_id string, role string, text string")
+    got = {(x.src, x.id): (x.class_id, x.n_links) for x in lookalike.classed(data, chat).collect()}
+    look = lambda t: t.replace("\u0430", "a").replace("\u200b", "")
+    shown = {i: t for i, t in enumerate(texts) if t and t.strip()}
+    want = {("datasets", i): (min(j for j, u in shown.items() if look(u) == look(t)), sum(look(u) == look(t) and u != t for u in shown.values())) for i, t in shown.items()}
+    assert got == want | {("chat_messages", 1): (1, 1), ("chat_messages", 2): (1, 1)}
+    links = lookalike.found(data, chat).count()
+    assert sum(n for _, n in got.values()) == 2 * links
+
+
 def test_every_text_has_a_look(spark):
     data = spark.createDataFrame([(1, "p\u0430y"), (2, None)], "dataset_id long, text string")
     chat = spark.createDataFrame([(1, "s", "user", "pay"), (2, None, "user", "p\u0430y"), (3, "s", "?", "p\u200bay"), (4, "s", None, "pay"), (5, None, None, None)], "id long, session_id string, role string, text string")
@@ -198,6 +212,17 @@ def test_structure(text, evidence):
     assert (found and found[1]) == evidence
 
 
+def test_tails_of_any_length():
+    long = "x" * 500
+    assert truncation.judge(f"Text. See <{long}")[1] == "cut" and truncation.judge(f"Text.\nSd/-\n{long} {long}")[1] == "whole" and truncation.judge(f"Text.\n{long} No.")[1] == "cut"
+    assert truncation.judge("a " * 9 + "end")[3] == "" and truncation.judge(f"Text.\nCopy: {long}")[3] == f"Copy: {long}"
+
+
+def test_messages_have_languages(spark):
+    rows = spark.createDataFrame([(1, "s", 1, "user", "Which papers should I bring for the hearing?"), (2, None, None, None, None), (3, "s", 1, "?", "12")], "id long, session_id string, user_id long, role string, text string")
+    assert {r.id: r.lang for r in language.labelled(rows).collect()} == {1: "english", 2: None, 3: None}
+
+
 def test_truncation_learns_endings(spark):
     docs = [(i, f"The clerk keeps a book of {w} for all. The office is open on every day.", "s", "x") for i, w in enumerate(["maps", "laws", "fees", "boats"])]
     docs += [(10, "The clerk keeps a book. The office is open on every day", "s", "x"), (11, "The clerk keeps a book. The office is open on ev", "s", "x"), (12, None, None, "x")]
