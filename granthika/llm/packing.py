@@ -36,17 +36,14 @@ _ARROW = pa.schema([("window_name", pa.string()), ("shard", pa.int32()), ("conta
 def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each item, for items in descending order of size, none above the capacity.
 
-    The number of open sequences starts at the least that could hold everything.
+    A sequence is opened only where none has room: many open ones would share out small items evenly and
+    leave a little room in each, too little for any.
     """
-    n = max(1, -(-int(sizes.sum()) // capacity)) if len(sizes) else 0
-    room = np.full(max(16, 2 * n), -1, dtype=np.int64)
-    room[:n] = capacity
-    cost = np.full(len(room), np.inf)
-    cost[:n] = 0.0
+    room, cost, n = np.full(16, -1, dtype=np.int64), np.full(16, np.inf), 0
     out = np.empty(len(sizes), dtype=np.int32)
     for k, size in enumerate(sizes.tolist()):
-        best = int(np.argmin(np.where(room[:n] >= size, cost[:n], np.inf)))
-        if room[best] < size:
+        best = int(np.argmin(np.where(room[:n] >= size, cost[:n], np.inf))) if n else 0
+        if not n or room[best] < size:
             if n == len(room):
                 room, cost = np.concatenate([room, np.full(n, -1)]), np.concatenate([cost, np.full(n, np.inf)])
             best, room[n], cost[n] = n, capacity, 0.0
@@ -93,7 +90,7 @@ def pack(sizes: DataFrame, windows: DataFrame, n_items: int, shard_items: int =
     if len(fixed) > MAX_WINDOWS:
         raise ValueError(f"more than {MAX_WINDOWS} windows")
     shards = max(1, -(-n_items // shard_items))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
+    shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("n_tokens"))), F.lit(shards)).cast("int").alias("shard")
     each = F.array(*[F.struct(F.lit(w.window_name).alias("window_name"), F.lit(w.capacity).alias("capacity")) for w in fixed])
     if not fixed:
         return sizes.sparkSession.createDataFrame([], OUT)

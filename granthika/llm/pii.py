@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -255,31 +256,39 @@ def _train(table: list[list[tuple[str, str]]]) -> Field:
     by_word = [_runs(x) for x in inside]
     f_order, f_starts, f_ids = _runs(feats.reshape(-1))
     f_rows = f_order // width
-    for _ in range(ROUNDS):
-        shares = np.zeros((len(NEAR), pad + 1, k), np.float32)
+    def told(o: int) -> np.ndarray:
+        """What each word's neighbour at one place adds to its scores."""
+        share = np.zeros((pad + 1, k), np.float32)
         for j in range(width):
-            shares[:, :pad] += weights[:, feats[:, j]]
-        shares *= scale
-        emit = sum(shares[o][inside[o]] for o in range(len(NEAR)))
-        d, pair, g_first, from_ = np.empty_like(emit), np.zeros((k, k), np.float32), gold_first.copy(), 0
-        for ids, _, mask, live in blocks:
-            n = int(mask.sum())
-            full = np.zeros((*mask.shape, k), np.float32)
-            full[mask] = emit[from_ : from_ + n]
-            prob, pairs = _marginals(full, between, first, live)
-            pair += pairs
-            g_first -= prob[:, 0].sum(axis=0)
-            d[from_ : from_ + n] = gold_one[from_ : from_ + n] - prob[mask]
-            from_ += n
-        share = np.zeros((len(NEAR), pad + 1, k), np.float32)
-        for o, (order, starts, words) in enumerate(by_word):
-            share[o, words] = np.add.reduceat(d[order], starts) * SCALE[o]
-        g_weights = np.zeros_like(weights)
-        g_weights[:, f_ids] = np.add.reduceat(share[:, f_rows], f_starts, axis=1)
-        g_weights[:, none] = 0
-        for x, g, s in zip((weights, between, first), (g_weights - L2 * weights, gold_between - pair - L2 * between, g_first), sums, strict=True):
-            s += g * g
-            x += STEP * g / np.sqrt(s)
+            share[:pad] += weights[o, feats[:, j]]
+        share *= SCALE[o]
+        return share[inside[o]]
+
+    def learned(o: int) -> np.ndarray:
+        order, starts, words = by_word[o]
+        share, g = np.zeros((pad + 1, k), np.float32), np.zeros((none + 1, k), np.float32)
+        share[words] = np.add.reduceat(d[order], starts) * SCALE[o]
+        g[f_ids] = np.add.reduceat(share[f_rows], f_starts)
+        g[none] = 0
+        return g
+
+    with ThreadPoolExecutor(len(NEAR)) as pool:  # numpy lets the places be worked out side by side
+        for _ in range(ROUNDS):
+            emit = sum(pool.map(told, range(len(NEAR))))
+            d, pair, g_first, from_ = np.empty_like(emit), np.zeros((k, k), np.float32), gold_first.copy(), 0
+            for ids, _, mask, live in blocks:
+                n = int(mask.sum())
+                full = np.zeros((*mask.shape, k), np.float32)
+                full[mask] = emit[from_ : from_ + n]
+                prob, pairs = _marginals(full, between, first, live)
+                pair += pairs
+                g_first -= prob[:, 0].sum(axis=0)
+                d[from_ : from_ + n] = gold_one[from_ : from_ + n] - prob[mask]
+                from_ += n
+            g_weights = np.array(list(pool.map(learned, range(len(NEAR)))))
+            for x, g, s in zip((weights, between, first), (g_weights - L2 * weights, gold_between - pair - L2 * between, g_first), sums, strict=True):
+                s += g * g
+                x += STEP * g / np.sqrt(s)
     # An I- tag follows only its own kind; this is no matter of weights.
     for j, tag in enumerate(TAGS):
         if tag[0] == "I":
