@@ -90,7 +90,7 @@ def walk(value: object) -> list[tuple[str, str, str, str, list[tuple[str, str]]]
     for at in range(len(order) - 1, -1, -1):
         v, _, _, _, parent, key, _ = order[at]
         if isinstance(v, dict):
-            state = "{" + ",".join(f"{_MARKS.sub(_ESCAPED, k)}:{s}" for k, s in sorted(below[at])) + "}"
+            state = "{" + ",".join(f"{k if k.isidentifier() else _MARKS.sub(_ESCAPED, k)}:{s}" for k, s in sorted(below[at])) + "}"
         elif isinstance(v, list):
             state = "[" + "|".join(sorted({s for _, s in below[at]})) + "]"
         else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granthika.functions import text as T
 from granthika.operators import chunks, facts, store
+from granthika.sources import files
 from granthika.sources.tables import table
 
 
@@ -158,6 +159,22 @@ def document_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "acts").select("act_id", store.document_id(F.col("act_name"), F.col("act_year")).alias("document_id"))
 
 
+def dataset_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-02, SNK-06: what the path of each dataset's file tells, and the file's name made safe."""
+    path = F.concat_ws("/", "category", "folder", "filename")
+    return table(spark, d, "datasets").select("dataset_id", *files.path_facts(path), files.sanitised_name(path).alias("safe_name"))
+
+
+def discovered_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-01: the files of the data folder with their sizes; contents aren't read."""
+    return files.discover(spark, d, "*.parquet").select("name", "length")
+
+
+def kept_documents(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-02, SQL-08: the documents that stay when those that the ingest refuses are deleted by their ids."""
+    return store.delete(_docs(spark, d).select("doc_id", "source"), store.refused(_docs(spark, d)), "doc_id")
+
+
 def ingest_records(spark: SparkSession, d: str) -> DataFrame:
     """ING-15, ING-17, ING-20: chunks of the cleaned texts with ids, section and text key, the first of equal ones."""
     return store.records(_docs(spark, d))
@@ -207,7 +224,7 @@ def route_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (script_language, clean_texts, scanned_numbers, cleaned_requests, line_section_runs, section_ffill, chunk_documents, chunk_ids, exact_dedup, newest_copies, incremental_antijoin, new_sections, extracted_facts, timeline, document_amounts, document_dates, document_facts, evidence_lines, document_sentences, document_timeline, document_conflicts, document_contradictions, section_metadata, document_ids, ingest_records, ingest_errors, ocr_quality, conflict_sets, route_vote)}
+    return {f.__name__: f for f in (script_language, clean_texts, scanned_numbers, cleaned_requests, line_section_runs, section_ffill, chunk_documents, chunk_ids, exact_dedup, newest_copies, incremental_antijoin, new_sections, extracted_facts, timeline, document_amounts, document_dates, document_facts, evidence_lines, document_sentences, document_timeline, document_conflicts, document_contradictions, section_metadata, document_ids, dataset_files, discovered_files, kept_documents, ingest_records, ingest_errors, ocr_quality, conflict_sets, route_vote)}
 
 
 def _chain(col: str, rules: tuple[tuple[str, str], ...]) -> str:
@@ -293,6 +310,10 @@ two AS (SELECT act_name, section_number, largest, row_number() OVER (PARTITION B
 SELECT a.act_name, a.section_number, 'amount_conflict' AS kind, a.largest AS first_sum, b.largest AS second_sum FROM two a JOIN two b USING (act_name, section_number) WHERE a.n = 1 AND b.n = 2 AND abs(a.largest - b.largest) > 1
 UNION ALL SELECT act_name, section_number, 'forum_conflict', NULL, NULL FROM m GROUP BY 1, 2 HAVING count(*) > 1 AND bool_or({_any_sql('lower(t)', facts.ARBITRATION)}) AND bool_or({_any_sql('lower(t)', facts.COURT)})""",
         "document_ids": "SELECT act_id, trim(regexp_replace(act_name, '[^A-Za-z0-9]+', '_', 'g'), '_') || CASE WHEN act_year IS NOT NULL THEN '_' || act_year ELSE '' END AS document_id FROM acts",
+        "dataset_files": r"""WITH x AS (SELECT dataset_id, string_split(concat_ws('/', category, folder, filename), '/') AS p FROM datasets)
+SELECT dataset_id, CASE WHEN len(p) > 1 THEN lower(p[1]) ELSE 'general' END AS route, CASE WHEN len(p) > 2 THEN replace(p[2], '_', ' ') ELSE '' END AS folder,
+  try_cast(regexp_extract(replace(p[len(p)], '_', ' '), '\b((?:18|19|20)\d{2})\b', 1) AS INT) AS year, coalesce(nullif(regexp_replace(p[len(p)], '[^\p{L}\p{M}\p{N}_.\-]', '_', 'g'), ''), 'uploaded_document') AS safe_name FROM x""",
+        "kept_documents": r"SELECT doc_id, source FROM documents WHERE length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) > 0 AND coalesce(act_name, '') <> '' AND coalesce(source, '') <> ''",
         "ingest_errors": r"SELECT doc_id, CASE WHEN text IS NULL THEN 'no text' WHEN length(regexp_replace(text, '\s+', '', 'g')) = 0 THEN 'blank text' WHEN coalesce(act_name, '') = '' THEN 'no act' WHEN coalesce(source, '') = '' THEN 'no source' END AS reason FROM documents WHERE reason IS NOT NULL",
     }
 

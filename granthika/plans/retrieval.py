@@ -86,10 +86,11 @@ def token_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """RET-17, JOIN-05, FLT-10: for each question, all documents with a section number of its first three hits, same route."""
-    docs = table(spark, d, "documents").where(F.coalesce("section_number", F.lit("")) != "")
-    hits = _bm25(spark, d).where("rank <= 3").join(docs.select("doc_id", "section_number", "route"), "doc_id").select("qid", "section_number", "route").distinct()
-    return hits.join(docs.select("doc_id", "section_number", "route"), ["section_number", "route"]).select("qid", "doc_id", "section_number", F.lit(0.15).alias("score"))
+    """RET-17, JOIN-05, FLT-10: for each question all documents of the first three different sections among its candidates, same route."""
+    docs = table(spark, d, "documents").where(F.coalesce("section_number", F.lit("")) != "").select("doc_id", "section_number", "route")
+    hits = _bm25(spark, d).join(docs, "doc_id").groupBy("qid", "section_number", "route").agg(F.min("rank").alias("first"))
+    chosen = latest_n(hits, "qid", [F.col("first")], 3).select("qid", "section_number", "route")
+    return chosen.join(docs, ["section_number", "route"]).select("qid", "doc_id", "section_number", F.lit(0.15).alias("score"))
 
 
 def _searches(spark: SparkSession, d: str) -> DataFrame:
@@ -363,7 +364,8 @@ sc AS (SELECT qid, doc_id, route, q_route, round(rrf + 0.25 * bn + 0.35 * sn + C
 SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc
 WHERE coalesce(route, '') = '' OR coalesce(q_route, '') = '' OR route = q_route QUALIFY rank <= 8""",
         "token_overlap": f"SELECT doc_id, round(coalesce(len(list_intersect(list_distinct(a), b)) / nullif(len(list_distinct(a)), 0), 0), 6) AS overlap FROM (SELECT doc_id, {_TOKENS.format('title')} AS a, {_TOKENS.format('text')} AS b FROM documents)",
-        "section_expansion": _BM25 + """, h AS (SELECT DISTINCT qid, d.section_number, d.route FROM bm JOIN documents d USING (doc_id) WHERE rank <= 3 AND coalesce(d.section_number, '') <> '')
+        "section_expansion": _BM25 + """, h0 AS (SELECT qid, d.section_number, d.route, min(rank) AS first FROM bm JOIN documents d USING (doc_id) WHERE coalesce(d.section_number, '') <> '' GROUP BY 1, 2, 3),
+h AS (SELECT * FROM h0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY first) <= 3)
 SELECT qid, d.doc_id, d.section_number, 0.15::DOUBLE AS score FROM h JOIN documents d ON d.section_number = h.section_number AND d.route = h.route""",
         "kb_search": r"""WITH x AS (
   SELECT act_id, lower(a.act_name) AS q, dataset_id, lower(coalesce(d.act_name, '')) AS an, lower(coalesce(section_title, '')) AS st, lower(concat_ws(' ', d.act_name, section_title, text)) AS body,

@@ -19,10 +19,9 @@ def ingest(spark: SparkSession, arriving: str, schema: StructType, stored: str,
 
     def append(batch: DataFrame, _: int) -> None:
         keyed = keep_first(batch.withColumn("text_key", text_key(F.col("text"))), [F.col("text_key")], [F.col(order)])
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{stored}/_SUCCESS")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            keyed = only_new(keyed, spark.read.parquet(stored), F.col("text_key"))
-        keyed.write.mode("append").parquet(stored)
+        only_new(keyed, spark.read.schema(keyed.schema).parquet(stored), F.col("text_key")).write.mode("append").parquet(stored)
 
+    # The store is there before the first batch, empty if need be, so that no batch has to ask whether it is.
+    spark.createDataFrame([], schema).withColumn("text_key", text_key(F.col("text"))).write.mode("append").parquet(stored)
     stream = spark.readStream.schema(schema).parquet(arriving)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
