@@ -220,27 +220,37 @@ def _keyed(looks: DataFrame) -> DataFrame:
     return looks.where((F.col("look") != "") & F.col("part").isNotNull()).select("src", "id", F.sha1(F.concat_ws("\x1e", "part", "look")).alias("k"), F.xxhash64("text", F.length("text")).alias("raw"))
 
 
+#: Parts into which the rows of one look are spread for a join.
+SALTS = 16
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _every_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def pairs(looks: DataFrame) -> DataFrame:
     """src, a_id < b_id of rows that look the same but differ in their characters.
 
-    Distinct spellings of a look are paired first and their rows joined afterwards, so that a look with very
-    many identical copies costs no more than the pairs that come out.
+    Looks with more than one spelling are found by the smallest and largest of their spellings, which are partial
+    on the map side, and only their rows go on. Spellings are paired first and meet their rows afterwards, with a
+    salt, so that a look with very many identical copies costs no more than the pairs that come out.
     """
-    rows = cut(_keyed(looks))  # read three times below; texts are rewritten once
-    spellings = rows.groupBy("src", "k", "raw").agg(F.lit(1).alias("one")).drop("one")
-    several = spellings.groupBy("src", "k").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("src", "k")
-    some = spellings.join(several, ["src", "k"], "left_semi")
-    a, b = some.withColumnRenamed("raw", "raw_a"), some.withColumnRenamed("raw", "raw_b")
-    both = a.join(b, ["src", "k"]).where("raw_a < raw_b")
-    x = both.join(rows.select("src", "k", F.col("raw").alias("raw_a"), F.col("id").alias("x")), ["src", "k", "raw_a"])
-    y = x.join(rows.select("src", "k", F.col("raw").alias("raw_b"), F.col("id").alias("y")), ["src", "k", "raw_b"])
+    rows = cut(_keyed(looks))  # read twice below; texts are rewritten once
+    several = rows.groupBy("src", "k").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("src", "k")
+    some = cut(rows.withColumn("salt", _salt("id")).join(_every_salt(several), ["src", "k", "salt"], "left_semi").select("src", "k", "raw", "id"))
+    spellings = some.groupBy("src", "k", "raw").agg(F.lit(1).alias("one")).drop("one")
+    a, b = spellings.withColumnRenamed("raw", "raw_a"), spellings.withColumnRenamed("raw", "raw_b")
+    both = _every_salt(a.join(b, ["src", "k"]).where("raw_a < raw_b"))
+    first = some.select("src", "k", F.col("raw").alias("raw_a"), F.col("id").alias("x"), _salt("id").alias("salt"))
+    x = both.join(first, ["src", "k", "raw_a", "salt"]).select("src", "k", "raw_b", "x", _salt("x").alias("salt"))
+    y = x.join(_every_salt(some.select("src", "k", F.col("raw").alias("raw_b"), F.col("id").alias("y"))), ["src", "k", "raw_b", "salt"])
     return y.where("x <> y").select("src", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
 
 
-#: Parts into which the rows of one look are spread for a join.
-SALTS = 16
-
-
 def classes_of(looks: DataFrame) -> DataFrame:
     """src, id, class_id and n_links of every row that has a look and a part.
 
@@ -252,8 +262,7 @@ def classes_of(looks: DataFrame) -> DataFrame:
     spelt = rows.groupBy("src", "k", "raw").agg(F.count("*").alias("same"), F.min("id").alias("first"))
     whole = spelt.groupBy("src", "k").agg(F.sum("same").alias("all"), F.min("first").alias("class_id"))
     facts = spelt.join(whole, ["src", "k"]).select("src", "k", "raw", "class_id", (F.col("all") - F.col("same")).alias("n_links"))
-    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["src", "k", "raw", "salt"])
+    met = rows.withColumn("salt", _salt("id")).join(_every_salt(facts), ["src", "k", "raw", "salt"])
     return met.select("src", "id", "class_id", "n_links")
 
 
