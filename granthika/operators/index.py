@@ -1,7 +1,7 @@
 """Inverted index and ranked retrieval for batches of questions.
 
-The corpus is read once: an Arrow map counts the words of each document inside its row and hands on postings,
-which are written down and then serve document frequencies, length statistics and scores. Questions meet
+The corpus is read once: an Arrow map counts the words of each document inside its row and hands on postings.
+Those of words that are asked for are written down and serve document frequencies, length statistics and scores. Questions meet
 postings by token and salt, so that a word of all documents is spread over tasks. Nothing is broadcast that
 grows with the corpus; top lists are cut by Spark's window group limit before the shuffle by question.
 """
@@ -67,14 +67,17 @@ def bm25(questions: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int)
 
     A token that a question repeats counts as often as it occurs. Ties go to the smaller doc_id.
     """
-    index = cut(indexed(docs, doc_id, text))
-    posts = index.where(F.col("token").isNotNull())
     asked = questions.select("qid", F.explode(tokens(F.col("question"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    # Only what is asked for is written down, with the lengths of all documents.
+    wanted = asked.select("token").distinct().select("token", salts.alias("salt"), F.lit(True).alias("wanted"))
+    index = indexed(docs, doc_id, text).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    index = cut(index.join(wanted, ["token", "salt"], "left").where(F.col("token").isNull() | F.col("wanted")).drop("wanted"))
+    posts = index.where(F.col("token").isNotNull())
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))), F.lit(1e-9))
     weighted = asked.join(document_frequency(posts), "token").join(F.broadcast(statistics(index)), F.lit(True)).select("qid", "token", "times", "avgdl", idf.alias("idf"))
-    salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = salted.join(posts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), ["token", "salt"])
+    hits = weighted.withColumn("salt", salts).join(posts, ["token", "salt"])
     hits = hits.select("qid", "doc_id", (F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
     scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return ranked(scored, F.col("score").desc(), k)
