@@ -345,3 +345,56 @@ def test_records_and_refusals_cover_every_document(spark):
 def test_heading(spark):
     got = [one(spark, t, lambda c: F.concat_ws("|", *chunks.heading(c))) for t in ("x\nSection 12A. Theft\nmore", "Section 7\n\nTitle here", "5 - Fees", "nothing", None)]
     assert got == ["12A|Theft", "7|Title here", "5|Fees", "|", "|"]
+
+
+def written(spark, run):
+    """The rows that the shuffles of a run write."""
+    sc = spark.sparkContext
+    empty = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def rows():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, empty, sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = rows()
+    run()
+    return rows() - before
+
+
+def bm25_by_sql(questions, docs, k):
+    """The ranking of the queries' SQL, for any rows of (qid, question) and (doc_id, text)."""
+    import duckdb
+    import pandas as pd
+
+    from granthika.plans import retrieval
+
+    documents = pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    asked = pd.DataFrame(questions, columns=["qid", "question"])  # noqa: F841
+    sql = retrieval._bm25_of(f"SELECT qid, unnest({retrieval._TOKENS.format('question')}) AS token FROM asked").replace("rank <= 30", f"rank <= {k}")
+    return sorted(duckdb.sql(sql + "SELECT qid, doc_id, score, rank FROM bm").fetchall())
+
+
+def test_questions_with_equal_words_are_scored_once(spark):
+    docs = [(i, f"red ferry w{i % 7} " + "sea " * (i % 5)) for i in range(600)]
+    questions = [(q, ("Red sea", "sea, RED!", "ferry w3 w3")[q % 3]) for q in range(300)]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(questions, "qid long, question string")
+    got = []
+    n = written(spark, lambda: got.extend(map(tuple, index.bm25(q, d, "id", "text", 5).collect())))
+    assert sorted(got) == bm25_by_sql(questions, docs, 5) and len(got) == 1500
+    assert n < 10_000  # not 300 x 600 scores
+
+
+def test_bm25_of_repeated_and_missing_ids(spark):
+    docs = [(1, "red ferry red"), (1, "red sea"), (2, "blue ferry"), (None, "red"), (None, "blue"), (3, None), (4, ""), (5, "red"), (6, "red")]
+    questions = [(1, "red red ferry"), (2, "blue"), (2, "sea"), (3, "nothing"), (4, None), (5, "ಕನ್ನಡ")]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(questions, "qid long, question string")
+    assert sorted(map(tuple, index.bm25(q, d, "id", "text", 3).collect())) == bm25_by_sql(questions, docs, 3)
+    assert index.bm25(q, d.where("false"), "id", "text", 3).count() == 0 == index.bm25(q.where("false"), d, "id", "text", 3).count()
+
+
+def test_more_questions_than_a_pass_takes(spark):
+    d = spark.createDataFrame([(i, f"a{i % 3} b{i % 4} c{i % 5}") for i in range(100)], "id long, text string")
+    q = index.asked(spark.createDataFrame([(i, f"a{i % 4} c{i % 7} b1") for i in range(30)], "qid long, question string"))
+    one, many = (sorted(map(tuple, index.best(q, d, "id", "text", 4, most).collect())) for most in (1000, 7))
+    assert one == many and len({r[0] for r in one}) == 28
