@@ -26,6 +26,7 @@ def test_runs(spark, name):
 #: Queries that rank documents for every hundredth document's title.
 RANKED = (
     "multi_hop_fusion",
+    "rrf_fusion",
 )
 
 
