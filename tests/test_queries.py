@@ -27,6 +27,7 @@ def test_runs(spark, name):
 RANKED = (
     "multi_hop_fusion",
     "rrf_fusion",
+    "source_authority",
 )
 
 
