@@ -28,6 +28,7 @@ RANKED = (
     "multi_hop_fusion",
     "rrf_fusion",
     "source_authority",
+    "verified_sources",
 )
 
 
