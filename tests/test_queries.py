@@ -29,6 +29,7 @@ RANKED = (
     "rrf_fusion",
     "source_authority",
     "verified_sources",
+    "evidence_graph",
 )
 
 
