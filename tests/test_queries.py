@@ -30,6 +30,7 @@ RANKED = (
     "source_authority",
     "verified_sources",
     "evidence_graph",
+    "multi_query_union",
 )
 
 
