@@ -31,6 +31,7 @@ RANKED = (
     "verified_sources",
     "evidence_graph",
     "multi_query_union",
+    "section_dedup",
 )
 
 
