@@ -32,6 +32,7 @@ RANKED = (
     "evidence_graph",
     "multi_query_union",
     "section_dedup",
+    "source_cards",
 )
 
 
