@@ -33,6 +33,7 @@ RANKED = (
     "multi_query_union",
     "section_dedup",
     "source_cards",
+    "minmax_hybrid",
 )
 
 
