@@ -34,6 +34,7 @@ RANKED = (
     "section_dedup",
     "source_cards",
     "minmax_hybrid",
+    "rerank_threshold",
 )
 
 
