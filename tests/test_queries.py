@@ -35,6 +35,7 @@ RANKED = (
     "source_cards",
     "minmax_hybrid",
     "rerank_threshold",
+    "section_expansion",
 )
 
 
