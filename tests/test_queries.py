@@ -36,6 +36,7 @@ RANKED = (
     "minmax_hybrid",
     "rerank_threshold",
     "section_expansion",
+    "source_list",
 )
 
 
